@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup
+from .exact_dedup import op6_exact_dedup
+from .mixing import op10_source_mix
+from .packing import op4_best_fit_packing
+from .quality import op7_ordinal_quality
 from .simhash import op3_simhash_near_dedup
+from .suffix_lm import op9_suffix_tree_scoring
+from .token_count import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_ordinal_quality": op7_ordinal_quality,
+    "op8_token_counts": op8_token_counts,
+    "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
+    "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": exact_dedup.ORACLE,
+}
