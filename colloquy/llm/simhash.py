@@ -34,8 +34,8 @@ from .store import drop, save
 
 SEED = 42
 #: Rows that a shard should have, and the most that one task compares.
-SHARD_ROWS = 24_576
-SHARD_LIMIT = 65_536
+SHARD_ROWS = 131_072
+SHARD_LIMIT = 262_144
 #: The tree never has more leaves than 2**MAX_DEPTH, which bounds its broadcast and its sample.
 MAX_DEPTH = 16
 SAMPLE_PER_LEAF = 48
