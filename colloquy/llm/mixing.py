@@ -128,11 +128,12 @@ def _slots(spark: SparkSession, sizes: list[int], target: list[float], seed: int
     return j.select("source_no", permute("at", "blocks", "source_no", "pass").alias("block"), "pass")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken, pieces``.
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
+    """One row per document: ``doc_id, key, source, size, source_size, target, taken, pieces``.
 
     ``pieces`` lists what the mix takes of a document: arrays of (pass, from_word,
-    n_words), words counted from 0.  Sources are ordered by code point, null
+    n_words), words counted from 0.  ``key`` is handed through (null if not
+    given) for joins back to the rows.  Sources are ordered by code point, null
     last, and weigh ``weights`` in turn.  The same table gives the same mix.
 
     Null and empty texts have size 0 and nothing is taken of them.  A null
@@ -140,7 +141,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     Other columns are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sized = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sized = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(None).cast("long") if key is None else key.cast("long")).alias("key")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -162,7 +163,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     taken = taken.groupBy("row_no").agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     found = rows.join(taken, "row_no", "left")
     nothing = F.array().cast("array<struct<pass:int,from_word:bigint,n_words:bigint>>")
-    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", nothing).alias("pieces"))
+    return found.select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", nothing).alias("pieces"))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

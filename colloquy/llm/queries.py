@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import ann, chat_format, exact_dedup, url_reputation
+from .ann import op5_cross_polytope_ann
+from .chat_format import op2_chat_format
 from .exact_dedup import op6_exact_dedup
 from .mixing import op10_source_mix
 from .packing import op4_best_fit_packing
@@ -14,10 +16,14 @@ from .quality import op7_ordinal_quality
 from .simhash import op3_simhash_near_dedup
 from .suffix_lm import op9_suffix_tree_scoring
 from .token_count import op8_token_counts
+from .url_reputation import op1_url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_reputation": op1_url_reputation,
+    "op2_chat_format": op2_chat_format,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_cross_polytope_ann": op5_cross_polytope_ann,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_token_counts": op8_token_counts,
@@ -26,5 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_reputation": url_reputation.ORACLE,
+    "op2_chat_format": chat_format.ORACLE,
+    "op5_cross_polytope_ann": ann.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
