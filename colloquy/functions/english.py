@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Common English words that are not indexed.
 STOP_WORDS = frozenset(
@@ -87,7 +88,7 @@ def stemmed(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _lexemes(texts: pd.Series) -> pd.Series:
     # stop words keep their place as an empty lexeme, so distances count them
     return pd.Series([["" if w in STOP_WORDS else stem(w) for w in re.findall(r"\w+", (x or "").lower())] for x in texts])

@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SUMMARY = "title string, summary string, action_items array<string>, decisions array<string>, topics array<string>"
+_LIST = T.ArrayType(T.StringType())
+SUMMARY = T.StructType([T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("action_items", _LIST), T.StructField("decisions", _LIST), T.StructField("topics", _LIST)])
 
 
 def first_object(text: str | None) -> str | None:

@@ -28,7 +28,7 @@ def max_overlap(words: DataFrame, turns: DataFrame, bucket_ms: int = BUCKET_MS)
     turn_ord, local_idx, start_ms, end_ms.  Of equal overlaps the first turn wins.
     """
     w = words.select("recording_id", "word_ord", "start_ms", "end_ms").withColumn("bucket", _buckets(F.col("start_ms"), F.col("end_ms"), bucket_ms))
-    t = turns.select("recording_id", "turn_ord", "local_idx", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1")).withColumn("bucket", _buckets(F.col("start_ms"), F.col("end_ms"), bucket_ms))
+    t = turns.select("recording_id", "turn_ord", "local_idx", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1")).withColumn("bucket", _buckets(F.col("t0"), F.col("t1"), bucket_ms))
     shared = F.least("end_ms", "t1") - F.greatest("start_ms", "t0")
     pairs = w.join(t, ["recording_id", "bucket"]).where(shared > 0)
     best = pairs.groupBy("recording_id", "word_ord").agg(F.max(F.struct(shared.alias("overlap_ms"), (-F.col("turn_ord")).alias("o"), "local_idx")).alias("best"))

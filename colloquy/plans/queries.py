@@ -476,8 +476,8 @@ def tumbling_windows(spark, d):
 
 
 _OPEN = {
-    "at": "SELECT DISTINCT o_orderdate + to_hours(o_orderkey % 24) AS now_at FROM orders WHERE o_orderkey % 50 = 1",
-    "days": "SELECT now_at, CAST(now_at AS DATE) + CAST(i AS INTEGER) AS dt FROM at, range(-1, 8) r(i)",
+    "moments": "SELECT DISTINCT o_orderdate + to_hours(o_orderkey % 24) AS now_at FROM orders WHERE o_orderkey % 50 = 1",
+    "days": "SELECT now_at, CAST(now_at AS DATE) + CAST(i AS INTEGER) AS dt FROM moments, range(-1, 8) r(i)",
     "raw": """SELECT now_at, CAST(dt AS TIMESTAMP) + to_minutes(start_min) AS a, CAST(dt AS TIMESTAMP) + to_minutes(start_min + CASE WHEN end_min > start_min THEN end_min - start_min ELSE 1440 - start_min + end_min END) AS b
               FROM days JOIN schedule_v s ON s.day = isodow(dt) - 1 AND s.enabled""",
     "brk": "SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY now_at ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM raw",
