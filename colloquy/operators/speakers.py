@@ -149,3 +149,17 @@ def cluster_fragments(fragments: DataFrame, expected: str | None = None) -> Data
 def similarity(a: str, b: str):
     """Cosine of two columns, rounded as results are."""
     return F.round(cosine(F.col(a), F.col(b)), 6)
+
+
+def stub_speech(recordings: DataFrame, words: tuple[str, ...] = ("alpha", "bravo", "charlie", "delta", "echo"), turn_ms: int = 10_000) -> DataFrame:
+    """Speech made up from a duration: ``recording_id, word_ord, w, start_ms, end_ms, local_idx``.
+
+    Between 3 and 64 words, one per 1250 ms, spread evenly; two speakers take
+    turns of ten seconds.
+    """
+    n = F.least(F.greatest(F.floor(F.col("duration_ms") * 4 / 5000), F.lit(3)), F.lit(64))
+    rows = recordings.select("recording_id", "duration_ms", n.alias("n")).withColumn("word_ord", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    start = F.floor(F.col("duration_ms") * F.col("word_ord") / F.col("n"))
+    end = F.floor(F.col("duration_ms") * (F.col("word_ord") + 1) / F.col("n"))
+    word = F.get(F.array(*[F.lit(w) for w in words]), (F.col("word_ord") % len(words)).cast("int"))
+    return rows.select("recording_id", "word_ord", word.alias("w"), start.alias("start_ms"), end.alias("end_ms"), (F.floor(start / turn_ms) % 2).cast("int").alias("local_idx"))
