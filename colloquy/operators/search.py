@@ -64,8 +64,10 @@ def keyword_scores(rows: DataFrame, query: str, analyzer: Callable[[Column], Col
     """``chunk_id, score`` of the chunks that hold every lexeme of the query; a query without any finds nothing."""
     terms = query_lexemes if query_lexemes is not None else rows.sparkSession.range(1).select(analyzer(F.lit(query)).alias("x")).first()["x"]
     terms = list(dict.fromkeys(terms))
+    if not terms:
+        return rows.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     tokens = rows.select("chunk_id", analyzer(F.col("text")).alias("tokens"))
-    has_all = F.lit(bool(terms))
+    has_all = F.lit(True)
     for term in terms:
         has_all &= F.array_contains("tokens", term)
     hits = tokens.where(has_all).select("chunk_id", F.posexplode("tokens").alias("pos", "term")).where(F.col("term").isin(terms))
@@ -73,7 +75,7 @@ def keyword_scores(rows: DataFrame, query: str, analyzer: Callable[[Column], Col
     hits = hits.withColumn("nth", F.row_number().over(along))
     upto = along.rowsBetween(W.unboundedPreceding, 0)
     last = [F.max(F.when(F.col("term") == t, F.struct("pos", "nth"))).over(upto) for t in terms]
-    begin = F.least(*last) if len(last) > 1 else last[0] if last else F.lit(None)
+    begin = F.least(*last) if len(last) > 1 else last[0]
     complete = F.lit(True)
     for x in last:
         complete &= x.isNotNull()
