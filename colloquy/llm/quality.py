@@ -2,11 +2,15 @@
 
 A rating is a grade 0, 1, ... of a document.  The model is a cumulative link:
 ``P(grade <= k) = sigmoid(threshold_k - w.x)`` with one weight vector ``w`` for
-all grades and ordered thresholds.  ``x`` are hashed counts of a text's words and
-of their shapes (case, digits, punctuation), so that forms never seen in training
-still say something.  It yields the expected grade and the probability of the
+all grades and ordered thresholds.  ``x`` are hashed words and word beginnings of
+the text (32-bit hashes, so that words hardly ever meet by chance), and a few
+measures of its form.  It yields the expected grade and the probability of the
 upper grades, by which documents are selected.
 
+Features that do not differ between lower and upper grades by ``SCREEN`` standard
+errors are left out, and weights may not be positive: a text is of the highest
+grade until something in it tells otherwise, and unknown words tell nothing.
+
 The fit uses a bounded sample of rated rows (``FIT_ROWS`` per grade, chosen by a
 hash of the id).  Scoring reads every whole text once and shuffles nothing.
 """
@@ -24,76 +28,118 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS = 16
 #: Rated documents per grade that the fit uses at most.
 FIT_ROWS = 1500
-STEPS = 250
+STEPS = 300
 L2 = 1e-4
+SCREEN = 2.5
 MIN_TAIL = 0.5
 #: Words whose features a worker remembers.
 CACHE_WORDS = 400_000
-_SHAPE = bytes(ord("x") if 97 <= b <= 122 or b >= 128 else ord("X") if 65 <= b <= 90 else ord("9") if 48 <= b <= 57 else b for b in range(256))
-_REPEAT = re.compile(rb"(.)\1+", re.DOTALL)
-_PLAIN = re.compile(rb"[^a-z0-9\x80-\xff]+")
-
-
-class Features:
-    """Hashed word and shape features of texts; remembers words."""
-
-    def __init__(self, bits: int = BITS):
-        self.bits, self.mask, self.cache = bits, (1 << bits) - 1, {}
-
-    def of_word(self, word: bytes) -> tuple[int, int]:
-        found = self.cache.get(word)
-        if found is None:
-            shape = _REPEAT.sub(rb"\1", word.translate(_SHAPE))
-            found = (zlib.crc32(b"w" + _PLAIN.sub(b"", word.lower())) & self.mask, zlib.crc32(b"s" + shape) & self.mask)
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            if len(word) <= 64:
-                self.cache[word] = found
-        return found
-
-    def __call__(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and values: words dampened, shapes as shares of all words."""
-        counts = Counter((raw or b"").split())
-        n = sum(counts.values())
-        words: dict[int, int] = {}
-        shapes: dict[int, int] = {}
-        for word, k in counts.items():
-            w, s = self.of_word(word)
-            words[w] = words.get(w, 0) + k
-            shapes[s] = shapes.get(s, 0) + k
-        where = np.fromiter([*words, *shapes], dtype=np.int32, count=len(words) + len(shapes))
-        value = np.concatenate([np.minimum(np.fromiter(words.values(), float, len(words)), 3) / 3, 3 * np.fromiter(shapes.values(), float, len(shapes)) / max(n, 1)])
-        return where, value.astype(np.float32)
+#: Measures of form; their feature numbers lie above all hashes.
+FORMS = ("symbols", "capitals", "shouting", "digits", "word repeated", "line repeated")
+FORM_BASE = 1 << 32
+_SYMBOL = re.compile(rb"[^A-Za-z0-9\x80-\xff.,;:'\"!?()-]")
+_DROPPED = re.compile(rb"[^a-z0-9\x80-\xff]+")
+_DIGIT = re.compile(rb"[0-9]")
+
+
+def word_features(word: bytes) -> tuple[int, ...]:
+    """The word, its first four and its first five bytes, hashed."""
+    bare = _DROPPED.sub(b"", word.lower())
+    starts = [b"%d" % n + bare[:n] for n in (4, 5) if len(bare) > n]
+    return tuple(zlib.crc32(x) for x in (b"w" + bare, *starts)) if bare else ()
+
+
+def form(raw: bytes, words: list[bytes], counts: Counter) -> np.ndarray:
+    """Roots of shares, so that small shares count: of odd symbols, capitals, repetition ..."""
+    n = max(1, len(words))
+    shares = [0, 0, 0, 0, sum(a == b for a, b in zip(words, words[1:], strict=False)), 0.0]
+    for word, k in counts.items():
+        if _SYMBOL.search(word):
+            shares[0] += k
+        if word.isupper() and len(_DROPPED.sub(b"", word.lower())) > 1:
+            shares[1] += k
+        if word.endswith((b"!!", b"??")):
+            shares[2] += k
+        if _DIGIT.search(word):
+            shares[3] += k
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    shares[5] = n * (1 - len(set(lines)) / max(1, len(lines)))
+    return 3 * np.sqrt(np.array(shares) / n)
+
+
+def features(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of one text, for the fit."""
+    raw = raw or b""
+    words = raw.split()
+    counts, found = Counter(words), Counter()
+    for word, k in counts.items():
+        for f in word_features(word):
+            found[f] += k
+    where = np.array([*found, *range(FORM_BASE, FORM_BASE + len(FORMS))], dtype=np.int64)
+    return where, np.concatenate([np.minimum(np.fromiter(found.values(), float, len(found)), 3) / 3, form(raw, words, counts)])
 
 
 @dataclass
 class OrdinalModel:
-    weights: np.ndarray
+    """Weights of the features that have any, of the forms, and the thresholds."""
+
+    weights: dict[int, float]
+    forms: np.ndarray
     thresholds: np.ndarray
-    bits: int = BITS
 
-    def above(self, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """P(grade > k) for each threshold k."""
-        z = float(self.weights[x[0]] @ x[1])
+    def above(self, raw: bytes | None, cache: dict[bytes, tuple[int, ...]]) -> np.ndarray:
+        """P(grade > k) for each threshold k.  ``cache`` keeps what words say."""
+        raw = raw or b""
+        words = raw.split()
+        counts, found = Counter(words), {}
+        for word, k in counts.items():
+            known = cache.get(word)
+            if known is None:
+                known = tuple(f for f in word_features(word) if f in self.weights)
+                if len(cache) >= CACHE_WORDS:
+                    cache.clear()
+                if len(word) <= 64:
+                    cache[word] = known
+            for f in known:
+                found[f] = found.get(f, 0) + k
+        z = sum(self.weights[f] * min(k, 3) / 3 for f, k in found.items()) + float(self.forms @ form(raw, words, counts))
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -60, 60)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, bits: int = BITS, steps: int = STEPS, l2: float = L2, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood by Adam over sparse rows; every grade has the same total weight."""
-    index = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int32)
-    value = np.concatenate([r[1] for r in rows]).astype(float) if rows else np.empty(0)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    share = np.bincount(grades, minlength=n_grades).astype(float)
-    importance = 1 / (share[grades] * max(1, (share > 0).sum())) if len(rows) else np.empty(0)
-    size = 1 << bits
+def _screened(index: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, size: int) -> np.ndarray:
+    """The largest difference of means between lower and upper grades, in standard errors."""
+    best = np.zeros(size)
+    for cut in range(n_grades - 1):
+        mean, var = [], []
+        for side in (grades > cut, grades <= cut):
+            n, own = max(1, side.sum()), side[row]
+            m = np.bincount(index[own], weights=value[own], minlength=size) / n
+            mean.append(m)
+            var.append((np.bincount(index[own], weights=value[own] ** 2, minlength=size) / n - m * m + 1e-6) / n)
+        best = np.maximum(best, np.abs(mean[0] - mean[1]) / np.sqrt(var[0] + var[1]))
+    return best
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, l2: float = L2, rate: float = 0.05, screen: float = SCREEN) -> OrdinalModel:
+    """Maximum likelihood by Adam over sparse rows."""
+    thresholds = np.linspace(-1.0, -1.0 + 0.1 * (n_grades - 2), n_grades - 1)
+    if not rows:
+        return OrdinalModel({}, np.zeros(len(FORMS)), thresholds)
+    names, index = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    value, row = np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    keep = (_screened(index, value, row, grades, n_grades, len(names)) >= screen) | (names >= FORM_BASE)
+    number = np.cumsum(keep) - 1
+    used = keep[index]
+    names, index, value, row = names[keep], number[index[used]], value[used], row[used]
+    importance = 1 / len(rows)
+    size = len(names)
     # thresholds are a first one and positive steps, so they stay ordered
     theta = np.zeros(size + n_grades - 1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     lower, upper = grades > 0, grades < n_grades - 1
-    for step in range(1, steps + 1) if len(rows) else ():
+    for step in range(1, steps + 1):
         cut = np.concatenate([theta[size : size + 1], theta[size] + np.cumsum(np.exp(theta[size + 1 :]))])
         z = np.bincount(row, weights=value * theta[index], minlength=len(rows))
         hi = np.where(upper, 1 / (1 + np.exp(-np.clip(cut[np.minimum(grades, n_grades - 2)] - z, -30, 30))), 1.0)
@@ -102,13 +148,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         d_hi, d_lo = hi * (1 - hi) / p * importance, lo * (1 - lo) / p * importance
         g_cut = np.bincount(np.minimum(grades, n_grades - 2), weights=-d_hi * upper, minlength=n_grades - 1) + np.bincount(np.maximum(grades - 1, 0), weights=d_lo * lower, minlength=n_grades - 1)
         grad = np.concatenate([np.bincount(index, weights=value * (d_hi - d_lo)[row], minlength=size) + l2 * theta[:size], g_cut])
-        steps_at = np.exp(theta[size + 1 :])
         tail = np.cumsum(g_cut[::-1])[::-1]
-        grad[size], grad[size + 1 :] = tail[0], tail[1:] * steps_at
+        grad[size], grad[size + 1 :] = tail[0], tail[1:] * np.exp(theta[size + 1 :])
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return OrdinalModel(theta[:size], np.concatenate([theta[size : size + 1], theta[size] + np.cumsum(np.exp(theta[size + 1 :]))]), bits)
+        theta[:size] = np.minimum(theta[:size], 0)
+    forms = np.zeros(len(FORMS))
+    at = names >= FORM_BASE
+    forms[names[at] - FORM_BASE] = theta[:size][at]
+    weights = {int(f): float(w) for f, w in zip(names[~at], theta[:size][~at], strict=True) if w < 0}
+    return OrdinalModel(weights, forms, np.concatenate([theta[size : size + 1], theta[size] + np.cumsum(np.exp(theta[size + 1 :]))]))
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -125,7 +175,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, fit_rows: int
 
     ``ratings`` has ``doc_id`` and ``grade``.  Rows with a null id or grade, or a
     grade outside 0..n_grades-1, are not used; of several ratings of a document
-    the lowest counts.  Without ratings all weights are 0.
+    the lowest counts.  Without ratings all weights are 0 and all texts are kept.
     """
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     picked = None
@@ -134,17 +184,18 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, fit_rows: int
         picked = part if picked is None else picked.unionByName(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in batches:
             rows = [features(raw) for raw in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float32()))], ["doc_id", "grade", "where", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int64())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64()))], ["doc_id", "grade", "where", "value"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _raw(text_col).alias("raw"))
     # the sample has at most n_grades * fit_rows ids
-    sample = own.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "raw").mapInArrow(run, "doc_id long, grade int, where array<int>, value array<float>").collect()
-    sample.sort(key=lambda r: (r["doc_id"], len(r["where"]), r["where"][:8]))
-    rows = [(np.array(r["where"], dtype=np.int32), np.array(r["value"], dtype=np.float32)) for r in sample]
-    return fit(rows, np.array([r["grade"] for r in sample], dtype=np.int64), n_grades)
+    sample = own.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "raw").mapInArrow(run, "doc_id long, grade int, where array<long>, value array<double>").toArrow().sort_by("doc_id")
+    where, value = sample["where"].combine_chunks(), sample["value"].combine_chunks()
+    ends = where.offsets.to_numpy() - where.offsets[0].as_py()
+    where, value = where.flatten().to_numpy(), value.flatten().to_numpy()
+    rows = [(where[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return fit(rows, sample["grade"].to_numpy().astype(np.int64), n_grades)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,9 +208,9 @@ def score_quality(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TA
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(shared.value.bits)
+        model, cache = shared.value, {}
         for batch in batches:
-            above = np.array([shared.value.above(features(raw)) for raw in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
+            above = np.array([model.above(raw, cache) for raw in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, -1])], ["doc_id", "expected_grade", "tail_prob"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _raw(text_col).alias("raw"))
@@ -172,9 +223,9 @@ def keep_good(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL,
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(shared.value.bits)
+        model, cache = shared.value, {}
         for batch in batches:
-            keep = [shared.value.above(features((text or "").encode()))[-1] >= min_tail for text in batch.column(at).to_pylist()]
+            keep = [model.above((text or "").encode(), cache)[-1] >= min_tail for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,11 +19,12 @@ def test_held_out_accuracy(spark):
 
 def test_thresholds_are_ordered_and_gradient_descends():
     rng = np.random.default_rng(0)
-    rows = [(np.array([0, 1 + i % 3], dtype=np.int32), np.array([g, 0.1], dtype=np.float32)) for i, g in enumerate(np.repeat([0, 1, 2, 3], 40) + rng.normal(0, 0.1, 160))]
     grades = np.repeat([0, 1, 2, 3], 40)
-    model = Q.fit(rows, grades, 4, bits=4, steps=600)
+    rows = [(np.array([5, Q.FORM_BASE, 10 + i % 3]), np.array([3.0 - g, max(0.0, 3 - g + n), 0.1])) for i, (g, n) in enumerate(zip(grades, rng.normal(0, 0.1, 160)))]
+    model = Q.fit(rows, grades, 4, steps=600)
     assert (np.diff(model.thresholds) > 0).all()
-    above = np.array([model.above(r) for r in rows])
+    z = np.array([model.weights.get(5, 0) * r[1][0] + model.forms[0] * r[1][1] for r in rows])
+    above = 1 / (1 + np.exp(model.thresholds[None, :] - z[:, None]))
     assert (np.diff(above, axis=1) <= 0).all()
     assert (np.round(above.sum(axis=1)) == grades).mean() > 0.9
 
@@ -32,7 +33,7 @@ def test_nulls_missing_labels_and_other_columns(spark):
     docs = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (None, "a b", None), (2, "word " * 100_000, "z")], "doc_id long, text string, kept string")
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = Q.train(docs, none)
-    assert not model.weights.any()
+    assert not model.weights and Q.score_quality(docs, model).where("kept").count() == 4
     assert Q.score_quality(docs, model).count() == 4
     some = spark.createDataFrame([(1, 2), (None, 1), (2, None), (2, 7), (2, 0), (2, 1)], "doc_id long, grade int")
     model = Q.train(docs, some)
