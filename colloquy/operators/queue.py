@@ -47,8 +47,8 @@ def enqueue(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     """Add requests (recording_id, kind, priority, payload) that have no live job yet.
 
     Of several requests for one recording and kind the highest priority counts.
-    Ids go on from the largest, in order of recording and kind; null ids do not
-    occur.
+    Ids go on from the largest, in order of recording and kind; the requests are
+    those of one micro-batch, which is what a single sort numbers.
     """
     live = jobs.where(F.col("state").isin(*LIVE)).select("recording_id", "kind")
     fresh = requests.groupBy("recording_id", "kind").agg(F.max(F.struct("priority", "payload")).alias("r")).join(live, ["recording_id", "kind"], "left_anti")
