@@ -117,6 +117,8 @@ def _slots(spark: SparkSession, sizes: list[int], target: list[float], seed: int
     before = W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     drawn = drawn.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
     drawn = drawn.withColumn("stop", F.least(F.col("start") + F.col("count"), F.col("most"))).where("stop > start")
+    # rows of a shard become slots; those of one source must not do so in one task
+    drawn = drawn.repartition(max(1, min(shards, 4000)), "source_no", "shard")
 
     @F.pandas_udf(T.LongType())
     def permute(index: pd.Series, n: pd.Series, source_no: pd.Series, turn: pd.Series) -> pd.Series:
@@ -158,10 +160,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     begin = F.greatest(F.col("offset"), F.col("block") * BLOCK_WORDS)
     end = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
     parts = parts.select("row_no", "source_no", "block", (begin - F.col("offset")).alias("from_word"), (end - begin).alias("n_words"))
-    taken = parts.join(_slots(spark, sizes, goal, seed), ["source_no", "block"])
+    # slots and what is taken grow with the input, which their estimated sizes don't show
+    taken = parts.join(_slots(spark, sizes, goal, seed).hint("merge"), ["source_no", "block"])
     piece = F.struct("pass", "from_word", "n_words")
     taken = taken.groupBy("row_no").agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_list(piece)).alias("pieces"))
-    found = rows.join(taken, "row_no", "left")
+    found = rows.join(taken.hint("merge"), "row_no", "left")
     nothing = F.array().cast("array<struct<pass:int,from_word:bigint,n_words:bigint>>")
     return found.select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", nothing).alias("pieces"))
 
