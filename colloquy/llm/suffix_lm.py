@@ -4,50 +4,63 @@ Symbols are the bytes of a text's lower-cased words joined by single spaces,
 then one end symbol (a line feed, which no word holds).  The counts of all
 contexts of up to ``DEPTH`` bytes over the whole training text make the tree:
 
-* a context is a candidate if its share of all positions is at least ``P_MIN``,
-  which bounds the candidates of one length by 1 / P_MIN whatever the input;
+* a context is a candidate if it occurs ``MIN_COUNT`` times or more, so a larger
+  text has more of them (a caller may ask for a share of all positions instead);
 * it is retained if its next-symbol distribution diverges from that of its
   longest proper suffix by ``DIVERGENCE`` nats (Kullback-Leibler) or more;
   the suffixes of a retained context are retained with it;
 * each distribution is smoothed towards its suffix's, the root's towards the
   uniform one, so nothing has probability zero.
 
-Scoring follows the longest retained suffix.  For this the tree is closed under
-prefixes and turned into an automaton, which is what tasks get (its size is
-bounded by P_MIN and DEPTH).  The unigram base needs every token's count: tokens
-with a share of ``FREQUENT`` or more (at most 1 / FREQUENT of them) are sent to
-the tasks, all others are joined by token.
+Scoring follows the longest retained suffix.  The tree is never in one place:
+
+1. Tasks cut their texts into blocks of about ``BLOCK_BYTES`` and list each
+   block's distinct grams (context and symbol) with their training counts, dealt
+   into cells by the last two bytes of the context.
+2. A cell adds up the counts of all blocks, makes its part of the tree and looks
+   up each block's grams there; only the counts of single bytes and byte pairs
+   (65 536 at most) are on the driver.
+3. Each block's texts meet its grams' logarithms.
+
+The unigram base needs every token's count: tokens with a share of ``FREQUENT``
+or more (at most 1 / FREQUENT of them) are sent to the tasks, all others are
+joined by token.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import drop, save
+from .store import save
 
-DEPTH = 5
-P_MIN = 1e-5
+DEPTH = 6
+MIN_COUNT = 32
 DIVERGENCE = 0.01
 SMOOTHING = 20.0
 FREQUENT = 2e-6
-#: The most that the automaton's tables take; P_MIN is doubled where a text's contexts need more.
-MODEL_BYTES = 128 << 20
 END = 0x0A
 #: Bytes that a task looks at together.
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose distinct grams are listed together.
+BLOCK_BYTES = 16 << 20
 #: Distinct tokens that a task counts before it hands them on.
 HELD_TOKENS = 300_000
-#: Distinct byte strings that a task holds before it hands them on.
+#: Byte strings that a task lists besides the distinct ones before it merges them.
 HELD_GRAMS = 1_200_000
+#: Training tokens for each cell of the tree.
+CELL_TOKENS = 1 << 21
+#: Cells of the rows that hold a block's byte pairs and its texts.
+PAIRS, TEXTS = -1, -2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,150 +122,228 @@ def _laid_flat(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.nda
     return flat, starts, predicted
 
 
-def gram_totals(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``ctx, sym, c``: how often each byte follows each context of exactly ``depth`` bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
-        for batch in batches:
-            for words in _slices(batch.column(0).to_pylist()):
-                flat, _, predicted = _laid_flat(words, depth)
-                code = np.zeros(len(flat) - depth, dtype=np.int64)
-                for k in range(depth + 1):
-                    code = (code << 8) | flat[k : len(flat) - depth + k]
-                found.append(np.unique(code[predicted[depth:]], return_counts=True))
-                held += len(found[-1][0])
-                if held > HELD_GRAMS:
-                    found = [_merged(found)]
-                    if (held := len(found[0][0])) > HELD_GRAMS * 3 // 4:
-                        yield _grams(*found.pop())
-                        held = 0
-        if found:
-            yield _grams(*_merged(found))
-
-    rows = train.select("raw").mapInArrow(run, "gram long, c long").repartition("gram").groupBy("gram").agg(F.sum("c").alias("c"))
-    return rows.select(F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("sym"), "c")
+def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
+    """For each position from ``depth`` on: its context, last byte first, then its symbol."""
+    code = np.zeros(len(flat) - depth, dtype=np.int64)
+    for k in range(1, depth + 1):
+        code = (code << 8) | flat[depth - k : len(flat) - k]
+    return (code << 8) | flat[depth:]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(codes, kind="stable")
     codes = codes[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=np.int64)
+    first = _firsts(codes)
     return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-def _grams(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["gram", "c"])
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, dtype=np.int64)
 
 
-def candidates(grams: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> DataFrame:
-    """``len, ctx, sym, c, retained``: next-symbol counts of the root and of all candidate contexts.
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers, all first bytes before all second ones, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
-    ``retained`` tells whether the context itself diverges from its suffix.
-    """
-    total = grams.agg(F.sum("c")).first()[0] or 0
-    lengths = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    every = grams.select(lengths.alias("len"), "ctx", "sym", "c").withColumn("ctx", F.expr("ctx & (shiftleft(1L, 8 * len) - 1)")).groupBy("len", "ctx", "sym").agg(F.sum("c").alias("c"))
-    sums = every.groupBy("len", "ctx").agg(F.sum("c").alias("n")).where(F.col("n") >= p_min * total)
-    rows = save(every.join(sums, ["len", "ctx"]), "candidates")
-    p = F.col("c") / F.col("n")
-    own = rows.where("len > 0").withColumns({"up": F.expr("ctx & (shiftleft(1L, 8 * (len - 1)) - 1)"), "less": F.col("len") - 1})
-    shorter = rows.select(F.col("len").alias("less"), F.col("ctx").alias("up"), "sym", p.alias("q"))
-    far = own.join(shorter, ["less", "up", "sym"]).groupBy("len", "ctx").agg(F.sum(p * F.log(p / F.col("q"))).alias("kl")).where(F.col("kl") >= divergence)
-    return rows.join(far, ["len", "ctx"], "left").select("len", "ctx", "sym", "c", F.col("kl").isNotNull().alias("retained"))
-
-
-@dataclass
-class Automaton:
-    """States are contexts; column ``symbol[b]`` of a row belongs to byte b."""
-
-    depth: int
-    symbol: np.ndarray
-    after: np.ndarray
-    logp: np.ndarray
-    start: int
-
-    @classmethod
-    def build(cls, length: np.ndarray, ctx: np.ndarray, sym: np.ndarray, c: np.ndarray, retained: np.ndarray, depth: int = DEPTH, smoothing: float = SMOOTHING) -> Automaton:
-        """From :func:`candidates`; the suffixes of a retained context are retained with it."""
-        need = np.zeros(len(ctx), dtype=bool) | (length == 0)
-        for k in range(depth, 0, -1):
-            here = length == k
-            own = np.unique(np.concatenate([ctx[here & retained], need_longer & ((1 << 8 * k) - 1)] if k < depth else [ctx[here & retained]]))
-            need[here] = np.isin(ctx[here], own)
-            need_longer = own
-        length, ctx, sym, c = length[need], ctx[need], sym[need], c[need]
-        key = length.astype(np.int64) << 56 | ctx
-        contexts, where = np.unique(key, return_inverse=True)
-        sums = np.bincount(where, weights=c, minlength=len(contexts))
-        total, least = sums[contexts == 0].sum(), P_MIN
-        # rare contexts go until the tables fit; a suffix is never rarer, so the tree stays closed
-        while 8 * (len(np.unique(sym)) + 1) * (sums >= least * total).sum() > MODEL_BYTES:
-            least *= 2
-        kept = (sums >= least * total)[where] | (length == 0)
-        length, ctx, sym, c = length[kept], ctx[kept], sym[kept], c[kept]
-        seen = np.unique(sym)
-        symbol = np.full(256, len(seen), dtype=np.int64)  # the last column stands for each byte never seen
-        symbol[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        counts: dict[bytes, np.ndarray] = {b"": np.zeros(width)}
-        for k, x, s, n in zip(length.tolist(), ctx.tolist(), symbol[sym].tolist(), c.tolist(), strict=True):
-            key = x.to_bytes(k, "big")
-            if key not in counts:
-                counts[key] = np.zeros(width)
-            counts[key][s] += n
-        states = set(counts)
-        for key in counts:
-            states.update(key[:i] for i in range(len(key)))
-        order = sorted(states, key=lambda s: (len(s), s))
-        number = {s: i for i, s in enumerate(order)}
-        after, prob = np.zeros((len(order), width), dtype=np.int32), np.zeros((len(order), width))
-        prob[0] = (counts[b""] + 1) / (counts[b""].sum() + 256)
-        for _, same in groupby(order[1:], key=len):
-            level = list(same)
-            for s in level:
-                after[number[s[:-1]], symbol[s[-1]]] = number[s]
-            for s in level:
-                i = number[s]
-                link = next(number[s[j:]] for j in range(1, len(s) + 1) if s[j:] in number)
-                after[i] = after[link]
-                own = counts.get(s)
-                prob[i] = prob[link] if own is None else (own + smoothing * prob[link]) / (own.sum() + smoothing)
-        start = 0
-        for _ in range(depth):
-            start = int(after[start, symbol[END]])
-        return cls(depth, symbol, after, np.log10(prob).astype(np.float32), start)
-
-    def score(self, words: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each tokenised text with its end."""
+
+def _unpacked(raw: bytes, n: int, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype=dtype)
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).ravel()
+
+
+def _steps(codes: np.ndarray) -> bytes:
+    return _packed(np.diff(codes, prepend=0))
+
+
+def _from_steps(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, n, np.int64))
+
+
+class Block:
+    """Texts and distinct grams of about BLOCK_BYTES of a task's rows."""
+
+    def __init__(self, depth: int, cells: int):
+        self.depth, self.cells = depth, cells
+        self.size, self.found, self.held, self.texts, self.lengths = 0, [], 0, [], []
+
+    def add(self, words: list[list[bytes]], train: np.ndarray) -> None:
         flat, starts, predicted = _laid_flat(words, self.depth)
-        column, width = self.symbol[flat], self.after.shape[1]
-        # the state depends on the last `depth` bytes only: cut into equal runs, each warmed up by those before it
-        run = max(64, int(math.sqrt(len(flat))) // 4)
-        n = -(-len(flat) // run)
-        padded = np.full(self.depth + n * run, self.symbol[END])
-        padded[self.depth : self.depth + len(flat)] = column
-        state, out = np.full(n, self.start, dtype=np.int64), np.zeros((run, n))
-        after, logp, first = self.after.ravel(), self.logp.ravel(), np.arange(n) * run
-        for t in range(self.depth + run):
-            cell = state * width + padded[first + t]
-            if t >= self.depth:
-                out[t - self.depth] = logp[cell]
-            state = after[cell].astype(np.int64)
-        each = np.where(predicted, out.T.ravel()[: len(flat)], 0.0)
-        return np.add.reduceat(each, starts) if len(starts) else np.zeros(0)
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_held_out: Column | None = None, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> DataFrame:
+        lengths = np.diff(np.r_[starts, len(flat)])
+        codes, counts = _codes(flat, self.depth), np.repeat(train, lengths)[self.depth :]
+        predicted = predicted[self.depth :]
+        self.found.append(np.unique(codes[predicted & counts], return_counts=True))
+        other = np.unique(codes[predicted & ~counts])
+        self.found.append((other, np.zeros(len(other), dtype=np.int64)))
+        self.held += len(self.found[-1][0]) + len(self.found[-2][0])
+        self.texts.append(pa.compress(flat.tobytes(), codec="zstd", asbytes=True))
+        self.lengths.append(lengths)
+        self.size += len(flat)
+        if self.held > HELD_GRAMS:
+            self.found, self.held = [_merged(self.found)], 0
+
+    def rows(self) -> Iterator[tuple]:
+        """``cell, n, codes, counts, texts, sizes``."""
+        codes, counts = _merged(self.found)
+        pair, n = _merged([((codes >> 8 * self.depth) << 8 | codes & 255, counts)])
+        yield PAIRS, len(pair), _steps(pair), _packed(n), None, None
+        yield TEXTS, len(self.lengths), b"", b"", self.texts, [x.tolist() for x in self.lengths]
+        cell = _cell(codes, self.depth, self.cells)
+        order = np.argsort(cell, kind="stable")
+        codes, counts, cell = codes[order], counts[order].astype(np.uint32), cell[order]
+        first = _firsts(cell)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
+            yield int(cell[a]), b - a, _steps(codes[a:b]), _packed(counts[a:b]), None, None
+
+
+def _cell(codes: np.ndarray, depth: int, cells: int) -> np.ndarray:
+    """By the last two bytes of the context."""
+    last = codes >> 8 * (depth - 1)
+    return (last * 0x9E3779B1 >> 7) % cells
+
+
+def _divergences(c: np.ndarray, at: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Kullback-Leibler divergence of each context: counts ``c`` of its symbols, ``at`` naming it, from probabilities ``q``."""
+    share = c / n[at]
+    return np.bincount(at, weights=share * np.log(share / q), minlength=len(n))
+
+
+class Pairs:
+    """Counts of bytes after none and after one byte, on which every cell builds."""
+
+    def __init__(self, counts: np.ndarray, least: float, divergence: float):
+        self.counts, self.sums, self.root = counts, counts.sum(axis=1), counts.sum(axis=0)
+        byte, sym = np.nonzero(counts)
+        far = _divergences(counts[byte, sym], byte, self.sums, self.root[sym] / max(1, self.root.sum()))
+        self.retained = (self.sums >= least) & (self.sums > 0) & (far >= divergence)
+
+    def before_all(self) -> np.ndarray:
+        return (self.root + 1) / (self.root.sum() + 256)
+
+    def after_one(self, smoothing: float) -> np.ndarray:
+        return (self.counts + smoothing * self.before_all()) / (self.sums[:, None] + smoothing)
+
+
+def branches(codes: np.ndarray, counts: np.ndarray, pairs: Pairs, depth: int, least: float, divergence: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A cell's part of the tree: ``length, contexts, n, grams, c`` of the retained contexts of two bytes and more, longest first."""
+    seen = counts > 0
+    grams, c = codes[seen], counts[seen]
+    needed = np.zeros(0, dtype=np.int64)
+    for k in range(depth, 1, -1):
+        ctx = grams >> 8
+        first = _firsts(ctx)
+        contexts, at = ctx[first], np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(ctx)]))
+        n = np.add.reduceat(c, first) if len(first) else c
+        shorter = (grams >> 16) << 8 | grams & 255
+        if k > 2:
+            up, up_c = _merged([(shorter, c)])
+            up_first = _firsts(up >> 8)
+            up_n = np.repeat(np.add.reduceat(up_c, up_first), np.diff(np.r_[up_first, len(up)])) if len(up) else up_c
+            where = np.searchsorted(up, shorter)
+            q = up_c[where] / up_n[where]
+        else:
+            q = pairs.counts[shorter >> 8, shorter & 255] / pairs.sums[shorter >> 8]
+        kept = (n >= least) & (_divergences(c, at, n, q) >= divergence) | np.isin(contexts, needed)
+        yield k, contexts[kept], n[kept], grams[kept[at]], c[kept[at]]
+        needed = np.unique(contexts[kept] >> 8)
+        if k > 2:
+            grams, c = up, up_c
+
+
+def _found(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``asked`` are in the sorted ``values``, and which are."""
+    if not len(values):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    return at, values[at] == asked
+
+
+def _logs(codes: np.ndarray, tree: list[tuple], own: np.ndarray, depth: int, smoothing: float) -> np.ndarray:
+    """log10 probability of each sorted gram by its longest retained suffix; not a number if that is shorter than two bytes.
+
+    ``tree`` is as from :func:`branches`, ``own`` has the probabilities after one byte, all of them retained.
+    """
+    sym = codes & 255
+    p, met = own[codes >> 8 * depth, sym], np.zeros(len(codes), dtype=bool)
+    for k, contexts, n, grams, c in reversed(tree):
+        at, known = _found(contexts, codes >> 8 * (depth - k + 1))
+        i = np.flatnonzero(known)
+        if not len(i):
+            break
+        gram, seen = _found(grams, (codes[i] >> 8 * (depth - k + 1)) << 8 | sym[i])
+        p[i] = (np.where(seen, c[gram], 0) + smoothing * p[i]) / (n[at[i]] + smoothing)
+        met |= known
+    return np.where(met, np.log10(p), np.nan)
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], pairs: Pairs, depth: int, least: float, divergence: float, smoothing: float) -> Iterator[pa.RecordBatch]:
+    """From all rows of one cell: each block's logarithms, and the last bytes of the retained contexts of two bytes."""
+    found, held = [], 0
+    with tempfile.TemporaryFile() as kept:
+        for batch in batches:
+            for row in zip(*(batch[x].to_pylist() for x in ("block", "n", "codes", "counts")), strict=True):
+                pickle.dump(row[:3], kept)
+                counts = _unpacked(row[3], row[1], np.uint32).astype(np.int64)
+                found.append((_from_steps(row[2], row[1])[counts > 0], counts[counts > 0]))
+                held += len(found[-1][0])
+                if held > HELD_GRAMS:
+                    found, held = [_merged(found)], 0
+        tree = list(branches(*_merged(found), pairs, depth, least, divergence))
+        yield pa.RecordBatch.from_pylist([{"last": np.unique(tree[-1][1] >> 8).tolist()}], schema=LOGS)
+        own, end = pairs.after_one(smoothing), kept.tell()
+        kept.seek(0)
+        while kept.tell() < end:
+            block, n, codes = pickle.load(kept)
+            logs = _packed(_logs(_from_steps(codes, n), tree, own, depth, smoothing).astype(np.float32))
+            yield pa.RecordBatch.from_pylist([{"block": block, "n": n, "codes": codes, "logs": logs}], schema=LOGS)
+
+
+LOGS = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("logs", pa.binary()), ("last", pa.list_(pa.int64()))])
+SCORES = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("score", pa.float64())])
+
+
+def _scored(texts: pa.Table, logs: pa.Table, short: np.ndarray, depth: int) -> pa.Table:
+    """log10 probability of each text of one block with its end; ``short`` has those by one byte or none."""
+    if not texts.num_rows:
+        return SCORES.empty_table()
+    sizes = logs["n"].to_pylist()
+    codes = np.concatenate([np.zeros(0, dtype=np.int64), *(_from_steps(x, n) for x, n in zip(logs["codes"].to_pylist(), sizes, strict=True))])
+    log = np.concatenate([np.zeros(0, dtype=np.float32), *(_unpacked(x, n, np.float32) for x, n in zip(logs["logs"].to_pylist(), sizes, strict=True))])
+    log = np.where(np.isnan(log), short[codes >> 8 * depth, codes & 255], log)
+    order = np.argsort(codes)
+    codes, log = codes[order], log[order]
+    scores = []
+    for raw, lengths in zip(texts["texts"][0].as_py(), texts["sizes"][0].as_py(), strict=True):
+        flat = np.frombuffer(pa.decompress(raw, decompressed_size=sum(lengths), codec="zstd", asbytes=True), dtype=np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        predicted = np.ones(len(flat), dtype=bool)
+        predicted[(starts[:, None] + np.arange(depth)).ravel()] = False
+        asked = _codes(flat, depth)[predicted[depth:]]
+        order = np.argsort(asked)
+        each = np.zeros(len(flat))
+        each[np.flatnonzero(predicted)[order]] = log[np.searchsorted(codes, asked[order])]
+        scores.append(np.add.reduceat(each, starts))
+    score = np.concatenate(scores)
+    block = pa.array(np.full(len(score), texts["block"][0].as_py()))
+    return pa.table([block, pa.array(np.arange(len(score))), pa.array(score)], schema=SCORES)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_held_out: Column | None = None, depth: int = DEPTH, p_min: float | None = None, divergence: float = DIVERGENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    The model learns from the rows whose ``is_held_out`` is false.  Null texts
-    are empty: one token, the end.  Ids may be null or repeat; every row is
-    scored by itself.  Without any training row the base knows no token and the
-    model is uniform.  Other columns are not read; an empty table gives an empty
-    result.
+    The model learns from the rows whose ``is_held_out`` is false.  Contexts of 2
+    to 6 bytes (``depth``) take part from ``min_count`` occurrences on, or with
+    ``p_min`` from that share of all positions on.  Null texts are empty: one
+    token, the end.  Ids may be null or repeat; every row is scored by itself.
+    Without any training row the base knows no token and the model is uniform.
+    Other columns are not read; an empty table gives an empty result.
     """
+    if not 2 <= depth <= 6:
+        raise ValueError("depth is 2 to 6: a context and its symbol are one long")
     spark = docs.sparkSession
     flag = held_out(F.col(id_col)) if is_held_out is None else is_held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), flag.alias("held_out"), _raw(docs, text_col).alias("raw"))
@@ -263,15 +354,25 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # at most 1 / FREQUENT tokens
     common = totals.where(F.col("c") >= FREQUENT * n_train).toPandas()
     logs = spark.sparkContext.broadcast(dict(zip(map(bytes, common["token"]), np.log10(common["c"].to_numpy(float) + 1).tolist(), strict=True)))
+    # no more cells than there are pairs of bytes
+    cells = min(1 << 16, max(1, -(-n_train // CELL_TOKENS)))
+
+    listed = pa.schema(
+        [("block", pa.int64()), ("cell", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("texts", pa.list_(pa.binary())), ("sizes", pa.list_(pa.list_(pa.int64())))]
+        + [("at", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("common_known", pa.int64()), ("common_logs", pa.float64()), ("rare", pa.list_(pa.binary())), ("rare_n", pa.list_(pa.int32()))]
+    )
 
-    grams = save(gram_totals(train, depth), "grams")
-    # at most depth / P_MIN contexts, each with as many rows as it has next bytes
-    got = candidates(grams, depth, p_min, divergence).toPandas()
-    model = spark.sparkContext.broadcast(Automaton.build(got["len"].to_numpy(), got["ctx"].to_numpy(), got["sym"].to_numpy(np.int64), got["c"].to_numpy(), got["retained"].to_numpy(bool), depth))
-    drop(grams)
+    def batch_of(n_rows: int, **columns: list | pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n_rows, f.type) for f in listed], schema=listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = logs.value
+        block, name, n_docs = Block(depth, cells), uuid.uuid4().int >> 65, 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            for row in block.rows() if n_docs else ():
+                yield batch_of(1, block=[name], **{k: [x] for k, x in zip(("cell", "n", "codes", "counts", "texts", "sizes"), row, strict=True)})
+
         for batch in batches:
             at = 0
             for words in _slices(batch.column(2).to_pylist()):
@@ -290,20 +391,53 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n, n_known, total, rare, rare_n = zip(*out, strict=True)
                 part = batch.slice(at, len(words))
                 at += len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(total, pa.float64()), pa.array(model.value.score(words), pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int32()))],
-                    ["doc_id", "held_out", "n_tokens", "common_known", "common_logs", "score", "rare", "rare_n"],
-                )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, common_known long, common_logs double, score double, rare array<binary>, rare_n array<int>"
-    scored = save(rows.select("doc_id", "held_out", "raw").mapInArrow(run, schema).withColumn("row_no", F.monotonically_increasing_id()), "scored")
+                block.add(words, ~part.column(1).fill_null(True).to_numpy(zero_copy_only=False))
+                yield batch_of(len(words), block=[name] * len(words), at=np.arange(n_docs, n_docs + len(words)), doc_id=part.column(0), held_out=part.column(1), n_tokens=n, common_known=n_known, common_logs=total, rare=rare, rare_n=rare_n)
+                n_docs += len(words)
+                if block.size > BLOCK_BYTES:
+                    yield from ended()
+                    block, name, n_docs = Block(depth, cells), uuid.uuid4().int >> 65, 0
+        yield from ended()
+
+    schema = "block long, cell long, n long, codes binary, counts binary, texts array<binary>, sizes array<array<long>>, at long, doc_id long, held_out boolean, n_tokens long, common_known long, common_logs double, rare array<binary>, rare_n array<int>"
+    blocks = save(rows.select("doc_id", "held_out", "raw").mapInArrow(run, schema).withColumn("row_no", F.monotonically_increasing_id()), "blocks")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for n, codes, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                counts[_from_steps(codes, n)] += _unpacked(own, n, np.int64)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["pair", "c"])
+
+    # at most 256 * 256 rows
+    got = blocks.where(F.col("cell") == PAIRS).select("n", "codes", "counts").mapInArrow(paired, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(1 << 16, dtype=np.int64)
+    counts[got["pair"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
+    least = min_count if p_min is None else p_min * counts.sum()
+    pairs = Pairs(counts.reshape(256, 256), least, divergence)
+
+    grams = blocks.where("cell >= 0")
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _looked_up(batches, pairs, depth, least, divergence, SMOOTHING)
+
+    known = save(grams.select("cell", "block", "n", "codes", "counts").groupBy("cell").applyInArrow(looked_up, "block long, n long, codes binary, logs binary, last array<long>"), "logs")
+    # at most 256 bytes; the suffix of a retained context is retained
+    pairs.retained[[r["last"] for r in known.select(F.explode("last").alias("last")).distinct().collect()]] = True
+    short = np.log10(np.where(pairs.retained[:, None], pairs.after_one(SMOOTHING), pairs.before_all()))
+    texts = blocks.where(F.col("cell") == TEXTS).select("block", "texts", "sizes")
+    logs_of = known.where("block IS NOT NULL").drop("last")
+    scores = texts.groupBy("block").cogroup(logs_of.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, short, depth), "block long, at long, score double")
+
+    scored = blocks.where("cell IS NULL").select("row_no", "block", "at", "doc_id", "held_out", "n_tokens", "common_known", "common_logs", "rare", "rare_n")
     rare = scored.select("row_no", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row_no", F.col("x.rare").alias("token"), F.col("x.rare_n").alias("k"))
     uncommon = totals.where(F.col("c") < FREQUENT * n_train)
     rare = rare.join(uncommon, "token").groupBy("row_no").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_logs"))
-    found = scored.drop("rare", "rare_n").join(rare, "row_no", "left")
-    base = F.col("common_logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n_train + n_distinct + 1))
+    found = scored.drop("rare", "rare_n").join(rare, "row_no", "left").join(scores, ["block", "at"])
+    base_score = F.col("common_logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n_train + n_distinct + 1))
     return found.select(
-        "doc_id", "held_out", "n_tokens", (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+        "doc_id", "held_out", "n_tokens", (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score"
     )
 
 

@@ -66,3 +66,28 @@ def test_without_training_rows_and_empty(spark):
 def test_held_out_text_is_likelier_than_under_the_base(spark):
     scored = L.score_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert scored["sum(score)"] > scored["sum(base_score)"]
+
+
+def against_plain(spark, rows, depth, share, **how):
+    got = sorted(map(tuple, L.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, **how).collect()), key=str)
+    want = sorted(plain(rows, depth, share, L.DIVERGENCE), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[6] for g in got], [w[6] for w in want], rtol=1e-5, atol=1e-4)
+
+
+def test_rare_contexts_of_a_long_text_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(L, "CELL_TOKENS", 5_000)
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab " * 4000 + " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(40))) for i in range(32)]
+    n = 32 * 12_200
+    # a share below 1e-5, and a count that is less than 1e-5 of the positions
+    against_plain(spark, rows, 4, 1e-7, p_min=1e-7)
+    against_plain(spark, rows, 4, 1.5 / n, min_count=2)
+
+
+def test_the_defaults_are_six_bytes_and_a_count(spark):
+    rows = [(i, f"the {'cat' if i % 3 else 'dog'} sat on mat {i % 5} again") for i in range(300)]
+    total = sum(len(t) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    against_plain(spark, rows, L.DEPTH, (L.MIN_COUNT - 0.5) / total)
+    assert L.DEPTH == 6
