@@ -2,14 +2,17 @@
 
 A rating is a grade 0, 1, ... of a document.  The model is a cumulative link:
 ``P(grade <= k) = sigmoid(threshold_k - w.x)`` with one weight vector ``w`` for
-all grades and ordered thresholds.  ``x`` are hashed words and word beginnings of
-the text (32-bit hashes, so that words hardly ever meet by chance), and a few
-measures of its form.  It yields the expected grade and the probability of the
-upper grades, by which documents are selected.
-
-Features that do not differ between lower and upper grades by ``SCREEN`` standard
-errors are left out, and weights may not be positive: a text is of the highest
-grade until something in it tells otherwise, and unknown words tell nothing.
+all grades and ordered thresholds.  ``x`` are hashed features of the text (32-bit
+hashes, so that two hardly ever meet by chance): its words, their beginnings,
+which the words of an inflected or compounding language share, the shapes of its
+words (kinds of letters, digits and signs in order), and what it repeats.  It
+yields the expected grade and the probability of the upper grades, by which
+documents are selected.
+
+Weights have either sign.  Their ridge penalty is ``L2 / trust**2``, where
+``trust = z**2 / (z**2 + DOUBT)`` and ``z`` is the difference of a feature
+between lower and upper grades in standard errors: a feature met once or twice is
+not excluded, but has to explain what the well attested ones leave over.
 
 The fit uses a bounded sample of rated rows (``FIT_ROWS`` per grade, chosen by a
 hash of the id).  Scoring reads every whole text once and shuffles nothing.
@@ -32,83 +35,96 @@ from pyspark.sql import functions as F
 FIT_ROWS = 1500
 STEPS = 300
 L2 = 1e-4
-SCREEN = 2.5
+#: Squared standard errors at which a feature is trusted by half.
+DOUBT = 6.0
 MIN_TAIL = 0.5
+#: A feature counts so many occurrences at most.
+MOST = 3
+#: Bytes of the beginnings of a word.
+STARTS = (3, 4, 5, 6, 7)
+#: Texts of more different words than this weigh each of them less, by the fourth root.
+SHORT = 20
+#: Weight of shapes and repetition against words.
+FORM = 5.0
 #: Words whose features a worker remembers.
 CACHE_WORDS = 400_000
-#: Measures of form; their feature numbers lie above all hashes.
-FORMS = ("symbols", "capitals", "shouting", "digits", "word repeated", "line repeated")
-FORM_BASE = 1 << 32
-_SYMBOL = re.compile(rb"[^A-Za-z0-9\x80-\xff.,;:'\"!?()-]")
 _DROPPED = re.compile(rb"[^a-z0-9\x80-\xff]+")
-_DIGIT = re.compile(rb"[0-9]")
+_UPPER, _LOWER, _DIGITS = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
+WORD_REPEATED, LINE_REPEATED = zlib.crc32(b"=word"), zlib.crc32(b"=line")
+
 
+def shape(word: bytes) -> bytes:
+    """Runs of capitals, other letters and digits as one sign each; eight bytes at most."""
+    return _DIGITS.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))[:8]
 
-def word_features(word: bytes) -> tuple[int, ...]:
-    """The word, its first four and its first five bytes, hashed."""
+
+def word_features(word: bytes) -> tuple[tuple[int, ...], int]:
+    """The hashes of a word and of its beginnings, and that of its shape."""
     bare = _DROPPED.sub(b"", word.lower())
-    starts = [b"%d" % n + bare[:n] for n in (4, 5) if len(bare) > n]
-    return tuple(zlib.crc32(x) for x in (b"w" + bare, *starts)) if bare else ()
+    starts = [b"%d" % n + bare[:n] for n in STARTS if len(bare) > n]
+    return tuple(zlib.crc32(x) for x in ([b"w" + bare, *starts] if bare else [])), zlib.crc32(b"s" + shape(word))
 
 
-def form(raw: bytes, words: list[bytes], counts: Counter) -> np.ndarray:
-    """Roots of shares, so that small shares count: of odd symbols, capitals, repetition ..."""
-    n = max(1, len(words))
-    shares = [0, 0, 0, 0, sum(a == b for a, b in zip(words, words[1:], strict=False)), 0.0]
-    for word, k in counts.items():
-        if _SYMBOL.search(word):
-            shares[0] += k
-        if word.isupper() and len(_DROPPED.sub(b"", word.lower())) > 1:
-            shares[1] += k
-        if word.endswith((b"!!", b"??")):
-            shares[2] += k
-        if _DIGIT.search(word):
-            shares[3] += k
+def repetition(raw: bytes, words: list[bytes]) -> dict[int, float]:
+    """Words that equal the one before, and the share of repeated lines, in words."""
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    shares[5] = n * (1 - len(set(lines)) / max(1, len(lines)))
-    return 3 * np.sqrt(np.array(shares) / n)
+    return {WORD_REPEATED: sum(a == b for a, b in zip(words, words[1:], strict=False)), LINE_REPEATED: len(words) * (1 - len(set(lines)) / max(1, len(lines)))}
+
+
+def _scale(distinct: int) -> float:
+    return (SHORT / max(SHORT, distinct)) ** 0.25
 
 
 def features(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of one text, for the fit."""
+    """Feature numbers and values of one text, for the fit; a number may come twice."""
     raw = raw or b""
     words = raw.split()
-    counts, found = Counter(words), Counter()
+    counts, found, forms = Counter(words), Counter(), Counter(repetition(raw, words))
     for word, k in counts.items():
-        for f in word_features(word):
+        own, form = word_features(word)
+        forms[form] += k
+        for f in own:
             found[f] += k
-    where = np.array([*found, *range(FORM_BASE, FORM_BASE + len(FORMS))], dtype=np.int64)
-    return where, np.concatenate([np.minimum(np.fromiter(found.values(), float, len(found)), 3) / 3, form(raw, words, counts)])
+    where = np.array([*found, *forms], dtype=np.uint32)
+    value = np.minimum(np.fromiter(found.values(), float, len(found)), MOST) / MOST * _scale(len(counts))
+    return where, np.concatenate([value, FORM * np.sqrt(np.fromiter(forms.values(), float, len(forms)) / max(1, len(words)))]).astype(np.float32)
 
 
 @dataclass
 class OrdinalModel:
-    """Weights of the features that have any, of the forms, and the thresholds."""
+    """Sorted feature numbers, their weights, and the thresholds."""
 
-    weights: dict[int, float]
-    forms: np.ndarray
+    names: np.ndarray
+    weights: np.ndarray
     thresholds: np.ndarray
 
-    def above(self, raw: bytes | None, cache: dict[bytes, tuple[int, ...]]) -> np.ndarray:
-        """P(grade > k) for each threshold k.  ``cache`` keeps what words say."""
-        raw = raw or b""
-        words = raw.split()
-        counts, found = Counter(words), {}
-        for word, k in counts.items():
-            known = cache.get(word)
-            if known is None:
-                known = tuple(f for f in word_features(word) if f in self.weights)
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                if len(word) <= 64:
-                    cache[word] = known
-            for f in known:
-                found[f] = found.get(f, 0) + k
-        z = sum(self.weights[f] * min(k, 3) / 3 for f, k in found.items()) + float(self.forms @ form(raw, words, counts))
-        return 1 / (1 + np.exp(np.clip(self.thresholds - z, -60, 60)))
-
-
-def _screened(index: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, size: int) -> np.ndarray:
+    def table(self) -> dict[int, float]:
+        return dict(zip(self.names.tolist(), self.weights.tolist(), strict=True))
+
+
+def above(raw: bytes | None, weights: dict[int, float], thresholds: np.ndarray, cache: dict[bytes, tuple]) -> np.ndarray:
+    """P(grade > k) for each threshold k.  ``cache`` keeps what words say."""
+    raw = raw or b""
+    words = raw.split()
+    counts, found, forms = Counter(words), {}, repetition(raw, words)
+    for word, k in counts.items():
+        known = cache.get(word)
+        if known is None:
+            own, form = word_features(word)
+            known = tuple(f for f in own if f in weights), form
+            if len(cache) >= CACHE_WORDS:
+                cache.clear()
+            if len(word) <= 64:
+                cache[word] = known
+        for f in known[0]:
+            found[f] = found.get(f, 0) + k
+        forms[known[1]] = forms.get(known[1], 0) + k
+    z = _scale(len(counts)) / MOST * sum(weights[f] * min(k, MOST) for f, k in found.items())
+    z += FORM * sum(weights.get(f, 0.0) * (k / max(1, len(words))) ** 0.5 for f, k in forms.items())
+    return 1 / (1 + np.exp(np.clip(thresholds - z, -60, 60)))
+
+
+def separation(index: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, size: int) -> np.ndarray:
     """The largest difference of means between lower and upper grades, in standard errors."""
     best = np.zeros(size)
     for cut in range(n_grades - 1):
@@ -122,21 +138,23 @@ def _screened(index: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np.
     return best
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, l2: float = L2, rate: float = 0.05, screen: float = SCREEN) -> OrdinalModel:
-    """Maximum likelihood by Adam over sparse rows."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, l2: float = L2, rate: float = 0.05, doubt: float = DOUBT) -> OrdinalModel:
+    """Penalised maximum likelihood by Adam over sparse rows."""
     thresholds = np.linspace(-1.0, -1.0 + 0.1 * (n_grades - 2), n_grades - 1)
     if not rows:
-        return OrdinalModel({}, np.zeros(len(FORMS)), thresholds)
+        return OrdinalModel(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.float32), thresholds)
     names, index = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-    value, row = np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    keep = (_screened(index, value, row, grades, n_grades, len(names)) >= screen) | (names >= FORM_BASE)
-    number = np.cumsum(keep) - 1
-    used = keep[index]
-    names, index, value, row = names[keep], number[index[used]], value[used], row[used]
-    importance = 1 / len(rows)
+    index = index.astype(np.int32)
+    value, row = np.concatenate([r[1] for r in rows]).astype(np.float32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     size = len(names)
+    trust = separation(index, value, row, grades, n_grades, size) ** 2
+    trust /= trust + doubt
+    # the ridge is on weight / trust
+    value *= trust[index].astype(np.float32)
+    importance = 1 / len(rows)
     # thresholds are a first one and positive steps, so they stay ordered
     theta = np.zeros(size + n_grades - 1)
+    theta[size:] = -1.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     lower, upper = grades > 0, grades < n_grades - 1
     for step in range(1, steps + 1):
@@ -153,12 +171,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        theta[:size] = np.minimum(theta[:size], 0)
-    forms = np.zeros(len(FORMS))
-    at = names >= FORM_BASE
-    forms[names[at] - FORM_BASE] = theta[:size][at]
-    weights = {int(f): float(w) for f, w in zip(names[~at], theta[:size][~at], strict=True) if w < 0}
-    return OrdinalModel(weights, forms, np.concatenate([theta[size : size + 1], theta[size] + np.cumsum(np.exp(theta[size + 1 :]))]))
+    return OrdinalModel(names, (theta[:size] * trust).astype(np.float32), np.concatenate([theta[size : size + 1], theta[size] + np.cumsum(np.exp(theta[size + 1 :]))]))
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -175,7 +188,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, fit_rows: int
 
     ``ratings`` has ``doc_id`` and ``grade``.  Rows with a null id or grade, or a
     grade outside 0..n_grades-1, are not used; of several ratings of a document
-    the lowest counts.  Without ratings all weights are 0 and all texts are kept.
+    the lowest counts, and of several rows of a document the smallest text.  Without ratings all weights are 0 and all texts are kept.
     """
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     picked = None
@@ -186,14 +199,14 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, fit_rows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(raw) for raw in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int64())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64()))], ["doc_id", "grade", "where", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0].astype(np.int64) for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "grade", "where", "value"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _raw(text_col).alias("raw"))
-    # the sample has at most n_grades * fit_rows ids
-    sample = own.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "raw").mapInArrow(run, "doc_id long, grade int, where array<long>, value array<double>").toArrow().sort_by("doc_id")
+    # the sample has at most n_grades * fit_rows ids, and one row of each
+    sample = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("raw").alias("raw")).mapInArrow(run, "doc_id long, grade int, where array<long>, value array<float>").toArrow().sort_by("doc_id")
     where, value = sample["where"].combine_chunks(), sample["value"].combine_chunks()
     ends = where.offsets.to_numpy() - where.offsets[0].as_py()
-    where, value = where.flatten().to_numpy(), value.flatten().to_numpy()
+    where, value = where.flatten().to_numpy().astype(np.uint32), value.flatten().to_numpy()
     rows = [(where[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return fit(rows, sample["grade"].to_numpy().astype(np.int64), n_grades)
 
@@ -208,24 +221,28 @@ def score_quality(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TA
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        weights, thresholds, cache = shared.value.table(), shared.value.thresholds, {}
         for batch in batches:
-            above = np.array([model.above(raw, cache) for raw in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, -1])], ["doc_id", "expected_grade", "tail_prob"])
+            tails = np.array([above(raw, weights, thresholds, cache) for raw in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], ["doc_id", "expected_grade", "tail_prob"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _raw(text_col).alias("raw"))
     return rows.mapInArrow(run, "doc_id long, expected_grade double, tail_prob double").withColumn("kept", F.col("tail_prob") >= min_tail)
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model keeps, all columns as they are; nothing is shuffled."""
+    """The rows of ``docs`` that the model keeps, all columns as they are; nothing is shuffled.
+
+    Null texts count as empty.  Ids may be null or repeat, columns may have any
+    name; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        weights, thresholds, cache = shared.value.table(), shared.value.thresholds, {}
         for batch in batches:
-            keep = [model.above((text or "").encode(), cache)[-1] >= min_tail for text in batch.column(at).to_pylist()]
+            keep = [above((text or "").encode(), weights, thresholds, cache)[-1] >= min_tail for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,11 +1,13 @@
 import corpus_pipeline as P
+import pytest
 
 from colloquy.llm.exact_dedup import exact_duplicates
 from colloquy.llm.simhash import near_duplicates
 
 
-def test_stages_in_turn(spark):
-    sf_dir = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_stages_in_turn(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
     good = P.quality(spark, docs, sf_dir).cache()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas().set_index("doc_id")
@@ -14,6 +16,7 @@ def test_stages_in_turn(spark):
     assert good.columns == docs.columns and len(set(clean) & kept) / len(clean) > 0.97
     bad = labels[(labels.toxic == 1) | (labels.quality == 0)].index
     assert len(set(bad) & kept) / len(bad) < 0.05
+    assert not set(labels[labels.toxic == 1].index) & kept
 
     exact = P.exact_dedup(spark, good, sf_dir).cache()
     want = {r["doc_id"] for r in exact_duplicates(good).where("kept").collect()}
