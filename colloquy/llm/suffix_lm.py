@@ -8,19 +8,22 @@ contexts of up to ``DEPTH`` bytes over the whole training text make the tree:
   text has more of them (a caller may ask for a share of all positions instead);
 * it is retained if its next-symbol distribution diverges from that of its
   longest proper suffix by ``DIVERGENCE`` nats (Kullback-Leibler) or more;
-  the suffixes of a retained context are retained with it;
-* each distribution is smoothed towards its suffix's, the root's towards the
-  uniform one, so nothing has probability zero.
+  the suffixes of a retained context are retained with it, and candidates of
+  one byte (256 at most) always are;
+* each distribution is smoothed towards its suffix's, the more the more different
+  symbols follow it, and the root's towards the uniform one, so nothing has
+  probability zero.
 
 Scoring follows the longest retained suffix.  The tree is never in one place:
 
-1. Tasks cut their texts into blocks of about ``BLOCK_BYTES`` and list each
-   block's distinct grams (context and symbol) with their training counts, dealt
-   into cells by the last two bytes of the context.
-2. A cell adds up the counts of all blocks, makes its part of the tree and looks
+1. Tasks cut their texts into blocks of about ``BLOCK_BYTES``, which are saved.
+2. A block lists its distinct grams (context and symbol) with their training
+   counts, dealt into cells by the last two bytes of the context.
+3. A cell adds up the counts of all blocks, makes its part of the tree and looks
    up each block's grams there; only the counts of single bytes and byte pairs
    (65 536 at most) are on the driver.
-3. Each block's texts meet its grams' logarithms.
+4. The block meets the logarithms.  They come in the order of its grams in that
+   cell, which it lists once more, so grams are not sent back.
 
 The unigram base needs every token's count: tokens with a share of ``FREQUENT``
 or more (at most 1 / FREQUENT of them) are sent to the tasks, all others are
@@ -44,23 +47,22 @@ from pyspark.sql import functions as F
 from .store import save
 
 DEPTH = 6
-MIN_COUNT = 32
-DIVERGENCE = 0.01
-SMOOTHING = 20.0
+MIN_COUNT = 2
+DIVERGENCE = 0.003
+#: Weight of the suffix, for each different symbol that a context was followed by.
+SMOOTHING = 6.0
 FREQUENT = 2e-6
 END = 0x0A
 #: Bytes that a task looks at together.
 SLICE_BYTES = 1 << 20
 #: Bytes of text whose distinct grams are listed together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Distinct tokens that a task counts before it hands them on.
 HELD_TOKENS = 300_000
 #: Byte strings that a task lists besides the distinct ones before it merges them.
 HELD_GRAMS = 1_200_000
 #: Training tokens for each cell of the tree.
 CELL_TOKENS = 1 << 21
-#: Cells of the rows that hold a block's byte pairs and its texts.
-PAIRS, TEXTS = -1, -2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,39 +167,62 @@ def _from_steps(raw: bytes, n: int) -> np.ndarray:
 
 
 class Block:
-    """Texts and distinct grams of about BLOCK_BYTES of a task's rows."""
+    """Texts of about BLOCK_BYTES of a task's rows, as saved."""
 
-    def __init__(self, depth: int, cells: int):
-        self.depth, self.cells = depth, cells
-        self.size, self.found, self.held, self.texts, self.lengths = 0, [], 0, [], []
+    def __init__(self, depth: int):
+        self.depth, self.size, self.texts, self.lengths, self.learns = depth, 0, [], [], []
+        self.pairs = np.zeros(1 << 16, dtype=np.int64)
 
     def add(self, words: list[list[bytes]], train: np.ndarray) -> None:
         flat, starts, predicted = _laid_flat(words, self.depth)
         lengths = np.diff(np.r_[starts, len(flat)])
-        codes, counts = _codes(flat, self.depth), np.repeat(train, lengths)[self.depth :]
-        predicted = predicted[self.depth :]
-        self.found.append(np.unique(codes[predicted & counts], return_counts=True))
-        other = np.unique(codes[predicted & ~counts])
-        self.found.append((other, np.zeros(len(other), dtype=np.int64)))
-        self.held += len(self.found[-1][0]) + len(self.found[-2][0])
+        known = np.flatnonzero(predicted & np.repeat(train, lengths))
+        self.pairs += np.bincount(flat[known - 1].astype(np.int64) << 8 | flat[known], minlength=1 << 16)
         self.texts.append(pa.compress(flat.tobytes(), codec="zstd", asbytes=True))
-        self.lengths.append(lengths)
+        self.lengths.append(lengths.tolist())
+        self.learns.append(train.tolist())
         self.size += len(flat)
-        if self.held > HELD_GRAMS:
-            self.found, self.held = [_merged(self.found)], 0
-
-    def rows(self) -> Iterator[tuple]:
-        """``cell, n, codes, counts, texts, sizes``."""
-        codes, counts = _merged(self.found)
-        pair, n = _merged([((codes >> 8 * self.depth) << 8 | codes & 255, counts)])
-        yield PAIRS, len(pair), _steps(pair), _packed(n), None, None
-        yield TEXTS, len(self.lengths), b"", b"", self.texts, [x.tolist() for x in self.lengths]
-        cell = _cell(codes, self.depth, self.cells)
-        order = np.argsort(cell, kind="stable")
-        codes, counts, cell = codes[order], counts[order].astype(np.uint32), cell[order]
-        first = _firsts(cell)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
-            yield int(cell[a]), b - a, _steps(codes[a:b]), _packed(counts[a:b]), None, None
+
+    def saved(self) -> dict[str, object]:
+        some = np.flatnonzero(self.pairs)
+        return {"pairs": some.tolist(), "counts": self.pairs[some].tolist(), "texts": self.texts, "sizes": self.lengths, "learns": self.learns}
+
+
+def _opened(texts: list[bytes], sizes: list[list[int]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slice by slice of a saved block: the codes of what is predicted, how many of them each text has, and where texts begin among them."""
+    for raw, lengths in zip(texts, sizes, strict=True):
+        flat = np.frombuffer(pa.decompress(raw, decompressed_size=sum(lengths), codec="zstd", asbytes=True), dtype=np.uint8)
+        lengths = np.asarray(lengths, dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        predicted = np.ones(len(flat), dtype=bool)
+        predicted[(starts[:, None] + np.arange(depth)).ravel()] = False
+        n = lengths - depth
+        yield _codes(flat, depth)[predicted[depth:]], n, np.cumsum(n) - n
+
+
+def _listed(texts: list[bytes], sizes: list[list[int]], learns: list[list[bool]], depth: int, cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``cell, codes, counts`` of the distinct grams of a block; the counts are those of its training texts."""
+    found, held = [], 0
+    for (codes, n, _), train in zip(_opened(texts, sizes, depth), learns, strict=True):
+        learned = np.repeat(np.asarray(train, dtype=bool), n)
+        found.append(np.unique(codes[learned], return_counts=True))
+        other = np.unique(codes[~learned])
+        found.append((other, np.zeros(len(other), dtype=np.int64)))
+        held += len(found[-1][0]) + len(found[-2][0])
+        if held > HELD_GRAMS:
+            found, held = [_merged(found)], 0
+    codes, counts = _merged(found)
+    for cell, at in _dealt(codes, depth, cells):
+        yield cell, codes[at], counts[at]
+
+
+def _dealt(codes: np.ndarray, depth: int, cells: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The cells of sorted grams, and where their grams are, in order."""
+    cell = _cell(codes, depth, cells)
+    order = np.argsort(cell, kind="stable")
+    first = _firsts(cell[order])
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
+        yield int(cell[order[a]]), order[a:b]
 
 
 def _cell(codes: np.ndarray, depth: int, cells: int) -> np.ndarray:
@@ -215,17 +240,15 @@ def _divergences(c: np.ndarray, at: np.ndarray, n: np.ndarray, q: np.ndarray) ->
 class Pairs:
     """Counts of bytes after none and after one byte, on which every cell builds."""
 
-    def __init__(self, counts: np.ndarray, least: float, divergence: float):
+    def __init__(self, counts: np.ndarray, least: float):
         self.counts, self.sums, self.root = counts, counts.sum(axis=1), counts.sum(axis=0)
-        byte, sym = np.nonzero(counts)
-        far = _divergences(counts[byte, sym], byte, self.sums, self.root[sym] / max(1, self.root.sum()))
-        self.retained = (self.sums >= least) & (self.sums > 0) & (far >= divergence)
+        self.retained = (self.sums >= least) & (self.sums > 0)
 
-    def before_all(self) -> np.ndarray:
-        return (self.root + 1) / (self.root.sum() + 256)
-
-    def after_one(self, smoothing: float) -> np.ndarray:
-        return (self.counts + smoothing * self.before_all()) / (self.sums[:, None] + smoothing)
+    def probabilities(self, smoothing: float) -> np.ndarray:
+        """Of a byte after a byte, or after nothing where that byte is not retained."""
+        alone = (self.root + 1) / (self.root.sum() + 256)
+        weight = smoothing * (self.counts > 0).sum(axis=1)[:, None]
+        return np.where(self.retained[:, None], (self.counts + weight * alone) / np.maximum(1, self.sums[:, None] + weight), alone)
 
 
 def branches(codes: np.ndarray, counts: np.ndarray, pairs: Pairs, depth: int, least: float, divergence: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -263,25 +286,25 @@ def _found(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _logs(codes: np.ndarray, tree: list[tuple], own: np.ndarray, depth: int, smoothing: float) -> np.ndarray:
-    """log10 probability of each sorted gram by its longest retained suffix; not a number if that is shorter than two bytes.
+    """log10 probability of each gram by its longest retained suffix.
 
-    ``tree`` is as from :func:`branches`, ``own`` has the probabilities after one byte, all of them retained.
+    ``tree`` is as from :func:`branches`, ``own`` has the probabilities by one byte or none.
     """
     sym = codes & 255
-    p, met = own[codes >> 8 * depth, sym], np.zeros(len(codes), dtype=bool)
+    p = own[codes >> 8 * depth, sym]
     for k, contexts, n, grams, c in reversed(tree):
         at, known = _found(contexts, codes >> 8 * (depth - k + 1))
         i = np.flatnonzero(known)
         if not len(i):
             break
         gram, seen = _found(grams, (codes[i] >> 8 * (depth - k + 1)) << 8 | sym[i])
-        p[i] = (np.where(seen, c[gram], 0) + smoothing * p[i]) / (n[at[i]] + smoothing)
-        met |= known
-    return np.where(met, np.log10(p), np.nan)
+        weight = smoothing * np.diff(np.r_[_firsts(grams >> 8), len(grams)])[at[i]]
+        p[i] = (np.where(seen, c[gram], 0) + weight * p[i]) / (n[at[i]] + weight)
+    return np.log10(p)
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch], pairs: Pairs, depth: int, least: float, divergence: float, smoothing: float) -> Iterator[pa.RecordBatch]:
-    """From all rows of one cell: each block's logarithms, and the last bytes of the retained contexts of two bytes."""
+def _looked_up(cell: int, batches: Iterator[pa.RecordBatch], pairs: Pairs, depth: int, least: float, divergence: float, smoothing: float) -> Iterator[pa.RecordBatch]:
+    """From all rows of one cell: the logarithms of each block's grams."""
     found, held = [], 0
     with tempfile.TemporaryFile() as kept:
         for batch in batches:
@@ -293,41 +316,36 @@ def _looked_up(batches: Iterator[pa.RecordBatch], pairs: Pairs, depth: int, leas
                 if held > HELD_GRAMS:
                     found, held = [_merged(found)], 0
         tree = list(branches(*_merged(found), pairs, depth, least, divergence))
-        yield pa.RecordBatch.from_pylist([{"last": np.unique(tree[-1][1] >> 8).tolist()}], schema=LOGS)
-        own, end = pairs.after_one(smoothing), kept.tell()
+        own, end = pairs.probabilities(smoothing), kept.tell()
         kept.seek(0)
         while kept.tell() < end:
             block, n, codes = pickle.load(kept)
             logs = _packed(_logs(_from_steps(codes, n), tree, own, depth, smoothing).astype(np.float32))
-            yield pa.RecordBatch.from_pylist([{"block": block, "n": n, "codes": codes, "logs": logs}], schema=LOGS)
+            yield pa.RecordBatch.from_pylist([{"block": block, "cell": cell, "n": n, "logs": logs}], schema=LOGS)
 
 
-LOGS = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("logs", pa.binary()), ("last", pa.list_(pa.int64()))])
+LOGS = pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("n", pa.int64()), ("logs", pa.binary())])
 SCORES = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("score", pa.float64())])
 
 
-def _scored(texts: pa.Table, logs: pa.Table, short: np.ndarray, depth: int) -> pa.Table:
-    """log10 probability of each text of one block with its end; ``short`` has those by one byte or none."""
+def _scored(texts: pa.Table, logs: pa.Table, depth: int, cells: int) -> pa.Table:
+    """log10 probability of each text of one block with its end."""
     if not texts.num_rows:
         return SCORES.empty_table()
-    sizes = logs["n"].to_pylist()
-    codes = np.concatenate([np.zeros(0, dtype=np.int64), *(_from_steps(x, n) for x, n in zip(logs["codes"].to_pylist(), sizes, strict=True))])
-    log = np.concatenate([np.zeros(0, dtype=np.float32), *(_unpacked(x, n, np.float32) for x, n in zip(logs["logs"].to_pylist(), sizes, strict=True))])
-    log = np.where(np.isnan(log), short[codes >> 8 * depth, codes & 255], log)
-    order = np.argsort(codes)
-    codes, log = codes[order], log[order]
-    scores = []
-    for raw, lengths in zip(texts["texts"][0].as_py(), texts["sizes"][0].as_py(), strict=True):
-        flat = np.frombuffer(pa.decompress(raw, decompressed_size=sum(lengths), codec="zstd", asbytes=True), dtype=np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        predicted = np.ones(len(flat), dtype=bool)
-        predicted[(starts[:, None] + np.arange(depth)).ravel()] = False
-        asked = _codes(flat, depth)[predicted[depth:]]
-        order = np.argsort(asked)
-        each = np.zeros(len(flat))
-        each[np.flatnonzero(predicted)[order]] = log[np.searchsorted(codes, asked[order])]
-        scores.append(np.add.reduceat(each, starts))
-    score = np.concatenate(scores)
+    sent = {cell: (n, raw) for cell, n, raw in zip(*(logs[x].to_pylist() for x in ("cell", "n", "logs")), strict=True)}
+    found, held, slices = [], 0, []
+    for codes, _, starts in _opened(texts["texts"][0].as_py(), texts["sizes"][0].as_py(), depth):
+        own, inverse = np.unique(codes, return_inverse=True)
+        slices.append((own, inverse.astype(np.int32), starts))
+        found.append((own, np.zeros(len(own), dtype=np.int8)))
+        held += len(own)
+        if held > HELD_GRAMS:
+            found, held = [_merged(found)], 0
+    codes, _ = _merged(found)
+    log = np.zeros(len(codes), dtype=np.float32)
+    for cell, at in _dealt(codes, depth, cells):
+        log[at] = _unpacked(sent[cell][1], sent[cell][0], np.float32)
+    score = np.concatenate([np.add.reduceat(log[np.searchsorted(codes, own)].astype(float)[inverse], starts) for own, inverse, starts in slices])
     block = pa.array(np.full(len(score), texts["block"][0].as_py()))
     return pa.table([block, pa.array(np.arange(len(score))), pa.array(score)], schema=SCORES)
 
@@ -357,22 +375,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # no more cells than there are pairs of bytes
     cells = min(1 << 16, max(1, -(-n_train // CELL_TOKENS)))
 
-    listed = pa.schema(
-        [("block", pa.int64()), ("cell", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("texts", pa.list_(pa.binary())), ("sizes", pa.list_(pa.list_(pa.int64())))]
+    saved = pa.schema(
+        [("block", pa.int64()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("sizes", pa.list_(pa.list_(pa.int64()))), ("learns", pa.list_(pa.list_(pa.bool_())))]
         + [("at", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("common_known", pa.int64()), ("common_logs", pa.float64()), ("rare", pa.list_(pa.binary())), ("rare_n", pa.list_(pa.int32()))]
     )
 
     def batch_of(n_rows: int, **columns: list | pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n_rows, f.type) for f in listed], schema=listed)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n_rows, f.type) for f in saved], schema=saved)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = logs.value
-        block, name, n_docs = Block(depth, cells), uuid.uuid4().int >> 65, 0
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            for row in block.rows() if n_docs else ():
-                yield batch_of(1, block=[name], **{k: [x] for k, x in zip(("cell", "n", "codes", "counts", "texts", "sizes"), row, strict=True)})
-
+        block, name, n_docs = Block(depth), uuid.uuid4().int >> 65, 0
         for batch in batches:
             at = 0
             for words in _slices(batch.column(2).to_pylist()):
@@ -395,42 +408,37 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield batch_of(len(words), block=[name] * len(words), at=np.arange(n_docs, n_docs + len(words)), doc_id=part.column(0), held_out=part.column(1), n_tokens=n, common_known=n_known, common_logs=total, rare=rare, rare_n=rare_n)
                 n_docs += len(words)
                 if block.size > BLOCK_BYTES:
-                    yield from ended()
-                    block, name, n_docs = Block(depth, cells), uuid.uuid4().int >> 65, 0
-        yield from ended()
+                    yield batch_of(1, block=[name], **{k: [x] for k, x in block.saved().items()})
+                    block, name, n_docs = Block(depth), uuid.uuid4().int >> 65, 0
+        if n_docs:
+            yield batch_of(1, block=[name], **{k: [x] for k, x in block.saved().items()})
 
-    schema = "block long, cell long, n long, codes binary, counts binary, texts array<binary>, sizes array<array<long>>, at long, doc_id long, held_out boolean, n_tokens long, common_known long, common_logs double, rare array<binary>, rare_n array<int>"
+    schema = "block long, pairs array<long>, counts array<long>, texts array<binary>, sizes array<array<long>>, learns array<array<boolean>>, at long, doc_id long, held_out boolean, n_tokens long, common_known long, common_logs double, rare array<binary>, rare_n array<int>"
+    # saved, as the names of blocks must not change when a task runs again
     blocks = save(rows.select("doc_id", "held_out", "raw").mapInArrow(run, schema).withColumn("row_no", F.monotonically_increasing_id()), "blocks")
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, dtype=np.int64)
-        for batch in batches:
-            for n, codes, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                counts[_from_steps(codes, n)] += _unpacked(own, n, np.int64)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["pair", "c"])
-
     # at most 256 * 256 rows
-    got = blocks.where(F.col("cell") == PAIRS).select("n", "codes", "counts").mapInArrow(paired, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    got = blocks.where("texts IS NOT NULL").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).groupBy("x.pairs").agg(F.sum("x.counts").alias("c")).toPandas()
     counts = np.zeros(1 << 16, dtype=np.int64)
-    counts[got["pair"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
+    counts[got["pairs"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
     least = min_count if p_min is None else p_min * counts.sum()
-    pairs = Pairs(counts.reshape(256, 256), least, divergence)
+    pairs = Pairs(counts.reshape(256, 256), least)
 
-    grams = blocks.where("cell >= 0")
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *parts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                for cell, codes, n in _listed(*parts, depth, cells):
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([cell]), pa.array([len(codes)]), pa.array([_steps(codes)]), pa.array([_packed(n.astype(np.uint32))])], ["block", "cell", "n", "codes", "counts"])
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _looked_up(batches, pairs, depth, least, divergence, SMOOTHING)
+    def looked_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _looked_up(key[0].as_py(), batches, pairs, depth, least, divergence, SMOOTHING)
 
-    known = save(grams.select("cell", "block", "n", "codes", "counts").groupBy("cell").applyInArrow(looked_up, "block long, n long, codes binary, logs binary, last array<long>"), "logs")
-    # at most 256 bytes; the suffix of a retained context is retained
-    pairs.retained[[r["last"] for r in known.select(F.explode("last").alias("last")).distinct().collect()]] = True
-    short = np.log10(np.where(pairs.retained[:, None], pairs.after_one(SMOOTHING), pairs.before_all()))
-    texts = blocks.where(F.col("cell") == TEXTS).select("block", "texts", "sizes")
-    logs_of = known.where("block IS NOT NULL").drop("last")
-    scores = texts.groupBy("block").cogroup(logs_of.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, short, depth), "block long, at long, score double")
+    texts = blocks.where("texts IS NOT NULL").select("block", "texts", "sizes", "learns")
+    grams = texts.mapInArrow(listing, "block long, cell long, n long, codes binary, counts binary")
+    logs_of = grams.groupBy("cell").applyInArrow(looked_up, "block long, cell long, n long, logs binary")
+    scores = texts.select("block", "texts", "sizes").groupBy("block").cogroup(logs_of.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, depth, cells), "block long, at long, score double")
 
-    scored = blocks.where("cell IS NULL").select("row_no", "block", "at", "doc_id", "held_out", "n_tokens", "common_known", "common_logs", "rare", "rare_n")
+    scored = blocks.where("texts IS NULL").select("row_no", "block", "at", "doc_id", "held_out", "n_tokens", "common_known", "common_logs", "rare", "rare_n")
     rare = scored.select("row_no", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row_no", F.col("x.rare").alias("token"), F.col("x.rare_n").alias("k"))
     uncommon = totals.where(F.col("c") < FREQUENT * n_train)
     rare = rare.join(uncommon, "token").groupBy("row_no").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_logs"))

@@ -25,13 +25,14 @@ def plain(rows, depth, p_min, divergence, smoothing=L.SMOOTHING):
     sums = {s: sum(d.values()) for s, d in grams.items()}
     kept = {b""}
     for s in grams:
-        if s and sums[s] >= p_min * total and sum(x / sums[s] * math.log((x / sums[s]) / (grams[s[1:]][y] / sums[s[1:]])) for y, x in grams[s].items()) >= divergence:
+        if s and sums[s] >= p_min * total and (len(s) == 1 or sum(x / sums[s] * math.log((x / sums[s]) / (grams[s[1:]][y] / sums[s[1:]])) for y, x in grams[s].items()) >= divergence):
             kept |= {s[j:] for j in range(len(s) + 1)}
 
     def p(s, y):
         if not s:
             return (grams[b""][y] + 1) / (total + 256)
-        return (grams[s][y] + smoothing * p(s[1:], y)) / (sums[s] + smoothing)
+        weight = smoothing * len(grams[s])
+        return (grams[s][y] + weight * p(s[1:], y)) / (sums[s] + weight)
 
     out = []
     for (i, w), h in zip(words, held):
@@ -63,8 +64,9 @@ def test_without_training_rows_and_empty(spark):
     assert L.score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_held_out_text_is_likelier_than_under_the_base(spark):
-    scored = L.score_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_held_out_text_is_likelier_than_under_the_base(spark, sf):
+    scored = L.score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert scored["sum(score)"] > scored["sum(base_score)"]
 
 
