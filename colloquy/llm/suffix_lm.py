@@ -56,11 +56,11 @@ END = 0x0A
 #: Bytes that a task looks at together.
 SLICE_BYTES = 1 << 20
 #: Bytes of text whose distinct grams are listed together.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Distinct tokens that a task counts before it hands them on.
 HELD_TOKENS = 300_000
 #: Byte strings that a task lists besides the distinct ones before it merges them.
-HELD_GRAMS = 1_200_000
+HELD_GRAMS = 600_000
 #: Training tokens for each cell of the tree.
 CELL_TOKENS = 1 << 21
 
@@ -137,7 +137,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     order = np.argsort(codes, kind="stable")
     codes = codes[order]
     first = _firsts(codes)
-    return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
+    return codes[first], np.add.reduceat(counts[order], first, dtype=counts.dtype) if len(first) else counts
 
 
 def _firsts(values: np.ndarray) -> np.ndarray:
@@ -205,9 +205,9 @@ def _listed(texts: list[bytes], sizes: list[list[int]], learns: list[list[bool]]
     found, held = [], 0
     for (codes, n, _), train in zip(_opened(texts, sizes, depth), learns, strict=True):
         learned = np.repeat(np.asarray(train, dtype=bool), n)
-        found.append(np.unique(codes[learned], return_counts=True))
+        own, times = np.unique(codes[learned], return_counts=True)
         other = np.unique(codes[~learned])
-        found.append((other, np.zeros(len(other), dtype=np.int64)))
+        found += [(own, times.astype(np.uint32)), (other, np.zeros(len(other), dtype=np.uint32))]
         held += len(found[-1][0]) + len(found[-2][0])
         if held > HELD_GRAMS:
             found, held = [_merged(found)], 0
@@ -428,7 +428,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for block, *parts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 for cell, codes, n in _listed(*parts, depth, cells):
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([cell]), pa.array([len(codes)]), pa.array([_steps(codes)]), pa.array([_packed(n.astype(np.uint32))])], ["block", "cell", "n", "codes", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([cell]), pa.array([len(codes)]), pa.array([_steps(codes)]), pa.array([_packed(n)])], ["block", "cell", "n", "codes", "counts"])
 
     def looked_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _looked_up(key[0].as_py(), batches, pairs, depth, least, divergence, SMOOTHING)
