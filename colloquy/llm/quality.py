@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -48,27 +49,42 @@ SHORT = 20
 FORM = 5.0
 #: Words whose features a worker remembers.
 CACHE_WORDS = 400_000
-_DROPPED = re.compile(rb"[^a-z0-9\x80-\xff]+")
-_UPPER, _LOWER, _DIGITS = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
+#: Weights nearer to zero than this are left out after the fit.
+LEAST_WEIGHT = 0.01
+_LOWER = bytes(range(256)).lower()
+_DROPPED = bytes(x for x in range(128) if not chr(x).isalnum())
+_KINDS = bytes(ord("A" if chr(x).isupper() else "a" if chr(x).isalpha() or x > 127 else "0" if chr(x).isdigit() else chr(x)) if x < 128 else ord("a") for x in range(256))
+_RUN = re.compile(rb"A+|a+|0+")
+_WORD, _STARTS = zlib.crc32(b"w"), [(n, zlib.crc32(b"%d" % n)) for n in STARTS]
+_shapes: dict[bytes, int] = {}
 WORD_REPEATED, LINE_REPEATED = zlib.crc32(b"=word"), zlib.crc32(b"=line")
 
 
 def shape(word: bytes) -> bytes:
     """Runs of capitals, other letters and digits as one sign each; eight bytes at most."""
-    return _DIGITS.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))[:8]
+    return _RUN.sub(lambda run: run[0][:1], word.translate(_KINDS))[:8]
 
 
 def word_features(word: bytes) -> tuple[tuple[int, ...], int]:
     """The hashes of a word and of its beginnings, and that of its shape."""
-    bare = _DROPPED.sub(b"", word.lower())
-    starts = [b"%d" % n + bare[:n] for n in STARTS if len(bare) > n]
-    return tuple(zlib.crc32(x) for x in ([b"w" + bare, *starts] if bare else [])), zlib.crc32(b"s" + shape(word))
+    bare = word.translate(_LOWER, _DROPPED)
+    length = len(bare)
+    own = [zlib.crc32(bare[:n], start) for n, start in _STARTS if length > n]
+    if bare:
+        own.append(zlib.crc32(bare, _WORD))
+    kinds = word.translate(_KINDS)
+    form = _shapes.get(kinds)
+    if form is None:
+        form = zlib.crc32(b"s" + shape(word))
+        if len(kinds) <= 16 and len(_shapes) < CACHE_WORDS:
+            _shapes[kinds] = form
+    return tuple(own), form
 
 
 def repetition(raw: bytes, words: list[bytes]) -> dict[int, float]:
     """Words that equal the one before, and the share of repeated lines, in words."""
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return {WORD_REPEATED: sum(a == b for a, b in zip(words, words[1:], strict=False)), LINE_REPEATED: len(words) * (1 - len(set(lines)) / max(1, len(lines)))}
+    return {WORD_REPEATED: sum(map(eq, words, words[1:])), LINE_REPEATED: len(words) * (1 - len(set(lines)) / max(1, len(lines)))}
 
 
 def _scale(distinct: int) -> float:
@@ -138,8 +154,8 @@ def separation(index: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np
     return best
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, l2: float = L2, rate: float = 0.05, doubt: float = DOUBT) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam over sparse rows."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = STEPS, l2: float = L2, rate: float = 0.05, doubt: float = DOUBT, least: float = LEAST_WEIGHT) -> OrdinalModel:
+    """Penalised maximum likelihood by Adam over sparse rows; weights below ``least`` are dropped at the end."""
     thresholds = np.linspace(-1.0, -1.0 + 0.1 * (n_grades - 2), n_grades - 1)
     if not rows:
         return OrdinalModel(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.float32), thresholds)
@@ -171,7 +187,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return OrdinalModel(names, (theta[:size] * trust).astype(np.float32), np.concatenate([theta[size : size + 1], theta[size] + np.cumsum(np.exp(theta[size + 1 :]))]))
+    weights = (theta[:size] * trust).astype(np.float32)
+    heavy = np.abs(weights) >= least
+    return OrdinalModel(names[heavy], weights[heavy], np.concatenate([theta[size : size + 1], theta[size] + np.cumsum(np.exp(theta[size + 1 :]))]))
 
 
 def grade(quality: Column, toxic: Column) -> Column:

@@ -69,7 +69,7 @@ def test_fit_is_the_least_of_its_loss():
     grades = np.repeat([0, 1, 2], 30)
     x = np.c_[2.0 - grades + rng.normal(0, 0.7, 90), (grades == 0) * (rng.random(90) < 0.6), rng.random(90)].astype(np.float32)
     rows = [(np.arange(3, dtype=np.uint32) + 10, r) for r in x]
-    model = Q.fit(rows, grades, 3, steps=4000, l2=0.01)
+    model = Q.fit(rows, grades, 3, steps=4000, l2=0.01, least=0.0)
     index, row = np.tile(np.arange(3), 90), np.repeat(np.arange(90), 3)
     z = Q.separation(index, x.ravel(), row, grades, 3, 3)
     trust = z**2 / (z**2 + Q.DOUBT)
@@ -89,7 +89,7 @@ def test_thresholds_are_ordered_and_grades_come_back():
     rng = np.random.default_rng(0)
     grades = np.repeat([0, 1, 2, 3], 40)
     rows = [(np.array([5, 7, 10 + i % 3], dtype=np.uint32), np.array([3.0 - g, max(0.0, 3 - g + n), 0.1])) for i, (g, n) in enumerate(zip(grades, rng.normal(0, 0.1, 160)))]
-    model = Q.fit(rows, grades, 4, steps=600)
+    model = Q.fit(rows, grades, 4, steps=600, least=0.0)
     weight = dict(zip(model.names.tolist(), model.weights.tolist()))
     assert (np.diff(model.thresholds) > 0).all()
     z = np.array([weight[5] * r[1][0] + weight[7] * r[1][1] + weight[int(r[0][2])] * r[1][2] for r in rows])
