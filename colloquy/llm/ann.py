@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled by the largest norm and get one more coordinate that makes
-them unit vectors (for equal norms it is 0), so the largest inner product becomes
-the smallest angle.  A table rotates them pseudorandomly, three times random
-signs and a fast Hadamard transform, and assigns each to the nearest signed axis.
-A query probes the axes nearest to it in every table; what it meets there is
-reranked by the exact inner product of the original vectors.
+Vectors are dealt into bands by their norm, each of which spans a factor of two
+(the last one holds all that are shorter).  In a band they are scaled by its
+largest norm and get one more coordinate that makes them unit vectors, so the
+largest inner product becomes the smallest angle.  A table rotates them
+pseudorandomly, three times random signs and a fast Hadamard transform, and
+assigns each to the nearest signed axis.
+
+A query probes in every band the axes to which its own rotations are nearest,
+over all tables together; what it meets there is reranked by the exact inner
+product of the original vectors.  The ids in each bucket are counted, so a query
+whose probes hold too few goes on along the axes of one table until it has met
+``ENOUGH`` times what it asks for, or all of that table.
 
 Vectors that are equal are indexed once, with the ``k + 1`` smallest of their
 ids: no more of them can be among the ``k`` nearest of any query.  A bucket is
@@ -26,14 +32,17 @@ from pyspark.sql import functions as F
 from .store import save
 
 TABLES = 4
-#: Share of the axes that a query probes in each table.
-PROBED = 3 / 16
+#: Share of all tables' axes that a query probes.
+PROBED = 1 / 4
+#: Ids that a query must have met in every band, for each of the k that it asks for.
+ENOUGH = 10
+#: Bands of norms.
+BANDS = 16
 ROTATIONS = 3
 SEED = 23
 #: Rows of the index that one task looks through.
 PART_ROWS = 16_384
-#: With so few different vectors every axis is probed: the answer is then exact.
-EXHAUSTIVE = 1024
+MOST = float(np.finfo(float).max)
 
 
 def usable(embedding: Column) -> Column:
@@ -53,6 +62,12 @@ def hadamard(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt(width)
 
 
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean norms; those of very large or small components neither overflow nor vanish."""
+    scale = np.maximum(np.abs(vectors).max(axis=1, initial=0), np.finfo(float).tiny)
+    return np.minimum(scale * np.sqrt(((vectors / scale[:, None]) ** 2).sum(axis=1)), MOST)
+
+
 class CrossPolytope:
     """Hash tables for vectors of ``dim`` components and norms up to ``largest``."""
 
@@ -60,18 +75,51 @@ class CrossPolytope:
         self.dim, self.largest, self.width = dim, largest, 1 << dim.bit_length()
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, ROTATIONS, self.width))
 
-    def rotated(self, vectors: np.ndarray, table: int, is_query: bool) -> np.ndarray:
-        """Nearness to each signed axis: column 2i is +axis i, column 2i + 1 is -axis i."""
-        x = np.zeros((len(vectors), self.width))
-        if is_query:
-            x[:, : self.dim] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        else:
-            x[:, : self.dim] = vectors / self.largest
-            x[:, self.dim] = np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))
+    def band(self, sizes: np.ndarray) -> np.ndarray:
+        """0 for norms above half of the largest, 1 for those above a quarter ..."""
+        return np.clip(np.floor(np.log2(self.largest) - np.log2(sizes)), 0, BANDS - 1).astype(np.int64)
+
+    def _spun(self, x: np.ndarray, table: int) -> np.ndarray:
         for signs in self.signs[table]:
             x = hadamard(x * signs)
         return np.stack([x, -x], axis=2).reshape(len(x), -1)
 
+    def bucket(self, vectors: np.ndarray, table: int) -> np.ndarray:
+        """The nearest signed axis: 2i is +axis i, 2i + 1 is -axis i."""
+        sizes = norms(vectors)
+        x = np.zeros((len(vectors), self.width))
+        x[:, : self.dim] = vectors / self.largest * (2.0 ** self.band(sizes))[:, None]
+        x[:, self.dim] = np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))
+        return self._spun(x, table).argmax(axis=1)
+
+    def nearness(self, queries: np.ndarray) -> np.ndarray:
+        """Of each query to each signed axis of each table: (query, table, axis)."""
+        x = np.zeros((len(queries), self.width))
+        x[:, : self.dim] = queries / norms(queries)[:, None]
+        return np.stack([self._spun(x, t) for t in range(len(self.signs))], axis=1)
+
+
+def probes_of(near: np.ndarray, ids: np.ndarray, share: float, enough: int) -> list[tuple[int, int]]:
+    """(table, axis) pairs that one query probes in one band.
+
+    ``near`` and ``ids`` are nearness and number of ids by table and axis.  The
+    nearest ``share`` of all axes, and then those of the table that has the most
+    ids so far, until it has ``enough`` or has been probed whole.
+    """
+    tables, axes = near.shape
+    chosen = np.zeros(near.shape, dtype=bool)
+    chosen.flat[np.argsort(-near, axis=None, kind="stable")[: max(1, round(tables * axes * share))]] = True
+    met = (ids * chosen).sum(axis=1)
+    if met.max() < enough:
+        t = int(met.argmax())
+        rest = [a for a in np.argsort(-near[t], kind="stable").tolist() if not chosen[t, a] and ids[t, a]]
+        for a in rest:
+            chosen[t, a] = True
+            met[t] += ids[t, a]
+            if met[t] >= enough:
+                break
+    return [(int(t), int(a)) for t, a in zip(*np.nonzero(chosen & (ids > 0)), strict=True)]
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -140,7 +188,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     Other columns are not read.  Without usable vectors the result is empty.
     """
     spark = rows.sparkSession
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     lengths = own.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = lengths[0]["dim"] if lengths else 1
     own = own.where(F.size("vector") == dim)
@@ -150,62 +198,66 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     smallest = own.distinct().withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= k + 1)
     classes = save(smallest.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "classes")
     asked = save(queries.select("vector").distinct().withColumn("query", F.monotonically_increasing_id()), "asked")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    n, largest = classes.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(1.0))).first()
-    hashes = CrossPolytope(dim, largest * (1 + 1e-9), tables)
+    longest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    norm = F.least(longest * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / longest) * (x / longest))), F.lit(MOST))
+    largest = classes.agg(F.coalesce(F.max(norm), F.lit(1.0))).first()[0]
+    hashes = CrossPolytope(dim, min(largest * (1 + 1e-9), MOST), tables)
     axes = 2 * hashes.width
-    n_probes = axes if n <= EXHAUSTIVE else max(1, round(axes * probed))
-    used = 1 if n <= EXHAUSTIVE else tables
+    # the tables of a band stand below those of the band before
+    used = BANDS * tables
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((used, axes), dtype=np.int64)
+        totals, ids = np.zeros(used * axes, dtype=np.int64), np.zeros(used * axes, dtype=np.int64)
         for batch in batches:
             x = _matrix(batch.column(0), dim)
-            for t in range(used):
-                totals[t] += np.bincount(hashes.rotated(x, t, False).argmax(axis=1), minlength=axes)
-        t, b = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(b), pa.array(totals[t, b])], ["t", "b", "n"])
-
-    # tables * axes rows at most
-    sizes = classes.select("vector").mapInArrow(counted, "t long, b long, n long").groupBy("t", "b").agg(F.sum("n").alias("n")).orderBy("t", "b").collect()
-    cell, parts = np.zeros((used, axes), dtype=np.int64), np.ones((used, axes), dtype=np.int64)
+            band = hashes.band(norms(x))
+            for t in range(tables):
+                at = (band * tables + t) * axes + hashes.bucket(x, t)
+                totals += np.bincount(at, minlength=used * axes)
+                ids += np.bincount(at, weights=batch.column(1).to_numpy(), minlength=used * axes).astype(np.int64)
+        b = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(totals[b]), pa.array(ids[b])], ["b", "n", "ids"])
+
+    # BANDS * tables * axes rows at most
+    sizes = classes.select("vector", F.size("ids").cast("long").alias("n")).mapInArrow(counted, "b long, n long, ids long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).orderBy("b").collect()
+    cell, parts, ids_in = np.zeros(used * axes, dtype=np.int64), np.ones(used * axes, dtype=np.int64), np.zeros(used * axes, dtype=np.int64)
     at, held = 0, 0
     for r in sizes:
         # neighbouring small buckets share a cell; a large one has a cell of several parts
         if held and held + r["n"] > PART_ROWS:
             at, held = at + 1, 0
-        cell[r["t"], r["b"]], parts[r["t"], r["b"]] = at, max(1, -(-r["n"] // PART_ROWS))
-        held = held + r["n"] if parts[r["t"], r["b"]] == 1 else PART_ROWS
-    # buckets of different tables that share a cell are told apart
-    number = np.arange(used)[:, None] * axes + np.arange(axes)[None, :]
+        cell[r["b"]], parts[r["b"]], ids_in[r["b"]] = at, max(1, -(-r["n"] // PART_ROWS)), r["ids"]
+        held = held + r["n"] if parts[r["b"]] == 1 else PART_ROWS
+    ids_in = ids_in.reshape(BANDS, tables, axes)
+    filled = np.flatnonzero(ids_in.any(axis=(1, 2))).tolist()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(0), dim)
             salt = np.asarray(batch.column(2), dtype=np.int64)
-            for t in range(used):
-                b = hashes.rotated(x, t, False).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[t, b]), pa.array(salt % parts[t, b]), pa.array(number[t, b]), batch.column(0), batch.column(1)], ["cell", "part", "bucket", "vector", "ids"])
+            band = hashes.band(norms(x))
+            for t in range(tables):
+                b = (band * tables + t) * axes + hashes.bucket(x, t)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[b]), pa.array(salt % parts[b]), pa.array(b), batch.column(0), batch.column(1)], ["cell", "part", "bucket", "vector", "ids"])
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _matrix(batch.column(0), dim)
             out: dict[str, list] = {"cell": [], "part": [], "buckets": [], "row": []}
-            best = [np.argsort(-hashes.rotated(q, t, True), axis=1, kind="stable")[:, :n_probes] for t in range(used)]
-            for i in range(len(q)):
+            for i, near in enumerate(hashes.nearness(_matrix(batch.column(0), dim))):
                 wanted: dict[tuple[int, int], list[int]] = {}
-                for t in range(used):
-                    for b in best[t][i].tolist():
-                        for p in range(parts[t, b]):
-                            wanted.setdefault((int(cell[t, b]), p), []).append(int(number[t, b]))
+                for band in filled:
+                    for t, axis in probes_of(near, ids_in[band], probed, ENOUGH * (k + 1)):
+                        b = (band * tables + t) * axes + axis
+                        for p in range(parts[b]):
+                            wanted.setdefault((int(cell[b]), p), []).append(b)
                 for (c, p), buckets in wanted.items():
                     for name, value in zip(out, (c, p, buckets, i), strict=True):
                         out[name].append(value)
             row = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out["cell"], pa.int64()), pa.array(out["part"], pa.int64()), pa.array(out["buckets"], pa.list_(pa.int64())), batch.column(1).take(row), batch.column(0).take(row)], ["cell", "part", "buckets", "query", "vector"])
 
-    index = classes.select("vector", "ids", F.pmod(F.xxhash64("vector"), F.lit(1 << 30)).alias("salt")).mapInArrow(placed, "cell long, part long, bucket long, vector array<float>, ids array<long>")
-    probes = asked.select("vector", "query").mapInArrow(probing, "cell long, part long, buckets array<long>, query long, vector array<float>")
+    index = classes.select("vector", "ids", F.pmod(F.xxhash64("vector"), F.lit(1 << 30)).alias("salt")).mapInArrow(placed, "cell long, part long, bucket long, vector array<double>, ids array<long>")
+    probes = asked.select("vector", "query").mapInArrow(probing, "cell long, part long, buckets array<long>, query long, vector array<double>")
     met = index.groupBy("cell", "part").cogroup(probes.groupBy("cell", "part")).applyInArrow(lambda key, a, b: _search(key, a, b, dim, k + 1), "query long, vec_id long, score double")
     met = met.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     # a query's own id may be among k + 1, so k others are
@@ -220,13 +272,3 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 def op5_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose vec_id is divisible by 20."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
-
-
-#: Exact search; the answer is exact as well up to EXHAUSTIVE different vectors.
-ORACLE = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-           FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-"""

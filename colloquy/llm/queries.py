@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_format, exact_dedup, url_reputation
+from . import chat_format, exact_dedup, url_reputation
 from .ann import op5_cross_polytope_ann
 from .chat_format import op2_chat_format
 from .exact_dedup import op6_exact_dedup
@@ -34,6 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_url_reputation": url_reputation.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
-    "op5_cross_polytope_ann": ann.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
