@@ -1,7 +1,9 @@
 """Conflict-constrained best-fit packing of documents into fixed-length bins.
 
-Pieces of documents are dealt evenly over shards, so that neither a hot source
-nor a large group of copies lands in one task.  A shard keeps its bins ordered
+Pieces of documents are dealt over shards by a hash of the whole row and, among
+equal rows, their number, so that neither a hot source nor a large group of
+copies lands in one task, and the same table gives the same bins in any file
+layout.  A shard keeps its bins ordered
 by residual.  Each bin carries two bitmaps: the duplicate clusters it holds, and
 the sources whose quota it has reached.  A piece goes to the successor of its
 length in that order; while that bin conflicts, the search moves on to the next
@@ -15,7 +17,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ CAPACITY = 8192
 SOURCE_QUOTA = 8
 #: Pieces that one shard packs.
 SHARD_PIECES = 8192
+#: Equal rows that are numbered together.
+LOT = 1 << 16
 SCHEMA = "doc_id long, piece int, start_word long, n_words long, bin_id long, bin_offset long, bin_words long"
 
 
@@ -67,14 +71,35 @@ def pack_pieces(sizes: list[int], sources: list, clusters: list, capacity: int,
     return placed
 
 
-def _packed(pdf: pd.DataFrame, shard: int, capacity: int, source_quota: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n_words", "doc_id", "piece", "start_word", "source"], ascending=[False, True, True, True, True], ignore_index=True, na_position="last")
-    clusters = [None if pd.isna(c) else c for c in pdf["cluster"]]
-    k = pd.Series(pack_pieces(pdf["n_words"].tolist(), [None if pd.isna(s) else s for s in pdf["source"]], clusters, capacity, source_quota), dtype="int64")
-    pdf["bin_id"] = (shard << 32) + k
-    pdf["bin_offset"] = pdf.groupby("bin_id")["n_words"].cumsum() - pdf["n_words"]
-    pdf["bin_words"] = pdf.groupby("bin_id")["n_words"].transform("sum")
-    return pdf[["doc_id", "piece", "start_word", "n_words", "bin_id", "bin_offset", "bin_words"]]
+ORDER = [("n_words", "descending"), *[(name, "ascending") for name in ("doc_id", "piece", "start_word", "source", "cluster")]]
+
+
+def _packed(pieces: pa.Table, shard: int, capacity: int, source_quota: int) -> pa.Table:
+    """The bins of one shard; ids stay in Arrow, so none is rounded."""
+    pieces = pieces.sort_by(ORDER)
+    sizes = pieces["n_words"].to_pylist()
+    placed = pack_pieces(sizes, pieces["source"].to_pylist(), pieces["cluster"].to_pylist(), capacity, source_quota)
+    words: Counter[int] = Counter()
+    offsets = []
+    for k, n in zip(placed, sizes, strict=True):
+        offsets.append(words[k])
+        words[k] += n
+    own = pieces.select(["doc_id", "piece", "start_word", "n_words"])
+    for name, values in (("bin_id", [(shard << 32) + k for k in placed]), ("bin_offset", offsets), ("bin_words", [words[k] for k in placed])):
+        own = own.append_column(name, pa.array(values, pa.int64()))
+    return own
+
+
+def _dealt(pieces: DataFrame, shards: int) -> DataFrame:
+    """Shards as partitions, by the contents of rows alone."""
+    names = pieces.columns
+    groups = pieces.groupBy(*names).agg(F.count("*").alias("copies"))
+    lots = groups.select(*names, "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(LOT).cast("long"))).alias("lot"))
+    if (groups.agg(F.max("copies")).first()[0] or 0) > LOT:
+        # one row, very often: not all of its copies are to be listed by one task
+        lots = lots.repartition(*names, "lot")
+    rows = lots.select(*names, F.explode(F.sequence(F.col("lot"), F.least(F.col("lot") + LOT, F.col("copies")) - 1)).alias("nth"))
+    return rows.repartition(shards, F.xxhash64(*names, "nth")).drop("nth")
 
 
 def pack(
@@ -88,8 +113,8 @@ def pack(
 
     Texts without words (null ones too) give a row with n_words 0 and no bin.  A
     null source has a quota like any other; a null doc_id is packed like any
-    other.  Repeated rows are pieces of their own and, being copies, share no
-    bin.  Other columns are not read.  An empty table gives an empty result.
+    other, a null cluster conflicts with nothing.  Repeated rows are pieces of
+    their own and, being copies, share no bin.  Other columns are not read.  An empty table gives an empty result.
     """
     cluster = F.xxhash64(normalised(F.col(text_col))) if cluster is None else cluster
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), word_count(F.col(text_col)).alias("size"))
@@ -98,15 +123,15 @@ def pack(
     start = F.col("at") * capacity
     rows = save(rows.select("doc_id", "source", "cluster", F.col("at").cast("int").alias("piece"), start.alias("start_word"), F.least(F.lit(capacity), F.col("size") - start).alias("n_words")), "pieces")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a partition has about shard_pieces rows, as they are dealt in turn
-        got = list(frames)
-        if got and sum(map(len, got)):
-            yield _packed(pd.concat(got, ignore_index=True), TaskContext.get().partitionId(), capacity, source_quota)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition has about shard_pieces rows, as they are dealt by hash
+        got = [x for x in batches if x.num_rows]
+        if got:
+            yield from _packed(pa.Table.from_batches(got), TaskContext.get().partitionId(), capacity, source_quota).to_batches()
 
     filled = rows.where("n_words > 0")
     shards = max(1, math.ceil(filled.count() / shard_pieces))
-    packed = filled.repartition(shards).mapInPandas(run, SCHEMA)
+    packed = _dealt(filled, shards).mapInArrow(run, SCHEMA)
     none = F.lit(None).cast("long")
     empty = rows.where("n_words <= 0").select("doc_id", "piece", "start_word", "n_words", none.alias("bin_id"), none.alias("bin_offset"), none.alias("bin_words"))
     return packed.unionByName(empty)

@@ -56,3 +56,24 @@ def test_table(spark):
         assert max(Counter(source_of[r["doc_id"]] for r in parts).values()) <= P.SOURCE_QUOTA
     assert [r["start_word"] for r in sorted(got, key=lambda r: (r["piece"])) if r["doc_id"] == 500] == [0, 200, 400, 600, 800]
     assert P.pack(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_large_ids_and_nulls_stay_what_they_are(spark):
+    ids = [2**60 + 1, 2**60 + 2, None, -(2**62) - 1, None]
+    df = spark.createDataFrame([(i, f"word{n}", None if n % 2 else "s") for n, i in enumerate(ids)], "doc_id long, text string, source string")
+    for how in ({}, {"cluster": df["doc_id"]}):
+        got = P.pack(df, **how).collect()
+        assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in got)
+        # ids that differ are different clusters, null ones conflict with nothing: all fit one bin
+        assert len({r["bin_id"] for r in got}) == 1
+
+
+def test_the_same_bins_in_any_layout(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).cache()
+    docs = docs.unionByName(docs.limit(30)).unionByName(docs.limit(10)).cache()
+    bins = lambda df: sorted(map(str, P.pack(df, shard_pieces=100).collect()))
+    first = bins(docs)
+    assert first == bins(docs.repartition(7)) and len(first) >= 440
+    # equal rows listed in several lots give the same rows
+    monkeypatch.setattr(P, "LOT", 2)
+    assert first == bins(docs.coalesce(1))
