@@ -1,18 +1,24 @@
 """Mixing sources to target weights.
 
 The words of a source, its documents laid end to end in a fixed order, are cut
-into blocks of ``BLOCK_WORDS``.  Output shards draw how many of their slots go
-to each source (multinomial, the whole part of an expectation being certain).
-The slots of a source are numbered through; slot ``j`` takes the block at
-``permutation(j mod n)`` of pass ``j div n``, each pass with a pseudorandom
-permutation of its own.  Slots meet the documents in a join on (source, block).
-No pass over a source repeats a block, and there are at most ``MAX_REPEATS``.
+into blocks of ``BLOCK_WORDS``.  Every output shard draws how many of its slots
+go to each source, one multinomial draw of all its slots.  A source is to have as
+many slots as its target asks for: what shards drew beyond that goes, in order of
+shards, to the sources that were drawn too seldom, so totals are met however many
+shards there are.  The slots of a source are numbered through; slot ``j`` takes
+the block at ``permutation(j mod n)`` of pass ``j div n``, each pass with a
+pseudorandom permutation of its own.  Slots meet the documents in a join on
+(source, block).  No pass over a source repeats a block, and there are at most
+``MAX_REPEATS``.
+
+Sources may be many: they are ranked, weighed and drawn in tables; what is on the
+driver is one number for ``CHUNK`` sources.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,10 +34,14 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 64
 #: Slots of one output shard.
 SHARD_SLOTS = 1 << 16
-#: Targets are worked out on the driver; more sources than this are refused.
-MAX_SOURCES = 100_000
-#: Rows that share one running sum, on average over all sources.
-BUCKET_ROWS = 4096
+#: Sources whose counts are drawn together, after how many slots they have among them.
+CHUNK = 4096
+#: Shards that draw together.
+SHARDS_AT_ONCE = 256
+#: Different rows of a source that share one running sum.
+BUCKET_ROWS = 1024
+#: Equal rows that are listed together.
+LOT = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -39,21 +49,49 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], repeats: int = MAX_REPEATS) -> list[float]:
-    """Share the sum of sizes by weight; none above ``repeats`` times its size, the excess reshared."""
-    size, weight = np.asarray(sizes, dtype=float), np.asarray(weights, dtype=float)
-    target, open_ = np.zeros(len(size)), np.ones(len(size), dtype=bool)
-    rest = size.sum()
-    while open_.any():
-        share = np.where(open_, rest * weight / weight[open_].sum(), 0)
-        over = open_ & (share > repeats * size)
-        if not over.any():
-            target[open_] = share[open_]
+def running(rows: DataFrame, order: Sequence[str | Column], values: Mapping[str, Column]) -> DataFrame:
+    """Add, for each name, the sum of its value over the rows before in ``order``.
+
+    Ranges of rows are summed apart; only one sum for each range comes together.
+    """
+    # saved, as ranges must not change when a task runs again
+    ranged = save(rows.withColumns({f"_{k}": v.cast("long") for k, v in values.items()}).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("_part").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in values])
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("_part", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_base_{k}") for k in values])
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    found = ranged.withColumns({f"_in_{k}": F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)) for k in values})
+    # bases: a row for each range
+    found = found.join(F.broadcast(bases), "_part")
+    return found.select(*rows.columns, *[(F.col(f"_base_{k}") + F.col(f"_in_{k}")).alias(k) for k in values])
+
+
+def listed(rows: DataFrame, copies: str, name: str, most: int | None = None) -> DataFrame:
+    """Each row ``copies`` times (``most`` at most), with its number in ``name`` from 0."""
+    names = [c for c in rows.columns if c != copies]
+    lots = rows.select(*names, copies, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(LOT).cast("long"))).alias("_lot"))
+    if ((rows.agg(F.max(copies)).first()[0] or 0) if most is None else most) > LOT:
+        # one row, very often: not all of its copies are to be listed by one task
+        lots = lots.repartition(*names, "_lot")
+    return lots.select(*names, F.explode(F.sequence(F.col("_lot"), F.least(F.col("_lot") + LOT, F.col(copies)) - 1)).alias(name))
+
+
+def with_targets(sources: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
+    """Add ``target`` to ``source_size, weight``: the sum of sizes shared by weight, none above ``repeats`` times its size, the excess reshared.
+
+    Targets are ``least(level * weight, repeats * size)``.  The level rises from
+    round to round, with every source that it fills; a round is one aggregation.
+    """
+    size, weight = F.col("source_size"), F.col("weight")
+    total, level, filled = None, 0.0, -1
+    while True:
+        over = level * weight > repeats * size
+        n, held, open_, all_ = sources.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, repeats * size)), F.lit(0)), F.sum(F.when(~over, weight)), F.coalesce(F.sum(size), F.lit(0))).first()
+        total = all_ if total is None else total
+        if n == filled or not open_:
             break
-        target[over] = repeats * size[over]
-        rest = size.sum() - target[over | ~open_].sum()
-        open_ &= ~over
-    return target.tolist()
+        filled, level = n, (total - held) / open_
+    return sources.withColumn("target", F.least(F.lit(level) * weight, (repeats * size).cast("double")))
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -78,82 +116,119 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _laid_out(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Add ``offset``: a document's first word in its source's sequence."""
-    buckets = max(8, math.ceil(n_rows / BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
-    sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select("source_no", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("source_no", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(bases, ["source_no", "bucket"]).withColumn("offset", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
-
-
-def _slots(spark: SparkSession, sizes: list[int], target: list[float], seed: int) -> DataFrame:
-    """``source_no, block, pass``: one row for every block that the mix takes."""
-    size = np.asarray(sizes, dtype=np.int64)
-    blocks = -(-size // BLOCK_WORDS)
-    want = np.where(size > 0, np.asarray(target) * blocks / np.maximum(size, 1), 0.0)
-    total = int(round(want.sum()))
-    share = want / max(want.sum(), 1e-300)
-    most = MAX_REPEATS * blocks
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _laid_out(groups: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per document with ``offset``, its first word in its source's sequence; ``groups`` has equal rows once, with their ``copies``."""
+    own = sources.select("source", "source_no", "source_size", "target", "base", "different")
+    # sources are as many as they are: their size decides how they are joined
+    rows = groups.join(own.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "key", "size"), F.ceil(F.col("different") / BUCKET_ROWS)))
+    words = F.col("size") * F.col("copies")
+    buckets = running(rows.groupBy("source_no", "_bucket").agg(F.sum(words).alias("_words")), ["source_no", "_bucket"], {"_before": F.col("_words")})
+    within = W.partitionBy("source_no", "_bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "key").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_inner", F.coalesce(F.sum(words).over(within), F.lit(0)))
+    rows = rows.join(buckets.select("source_no", "_bucket", "_before"), ["source_no", "_bucket"])
+    rows = rows.withColumn("offset", F.col("_before") - F.col("base") + F.col("_inner"))
+    rows = listed(rows.select("doc_id", "key", "source", "source_no", "source_size", "target", "size", "offset", "copies"), "copies", "nth", groups.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0])
+    return rows.withColumn("offset", F.col("offset") + F.col("nth") * F.col("size"))
+
+
+def drawn_counts(spark: SparkSession, sources: DataFrame, seed: int) -> DataFrame:
+    """``shard, source_no, count``: the multinomial draw of every output shard from ``source_no, slots``.
+
+    With many sources the draw is made in two steps, the slots of each chunk of
+    sources and then those of its sources, which is the same distribution.
+    """
+    slots = sources.where("slots > 0").select(F.floor(F.col("source_no") / CHUNK).alias("chunk"), "source_no", "slots")
+    chunks = slots.groupBy("chunk").agg(F.sum("slots").alias("slots"), F.sort_array(F.collect_list(F.struct("source_no", "slots"))).alias("own"))
+    # one row for CHUNK sources
+    heads = chunks.select("chunk", "slots").orderBy("chunk").collect()
+    total = sum(r["slots"] for r in heads)
+    names, share = np.array([r["chunk"] for r in heads], dtype=np.int64), np.array([r["slots"] for r in heads], dtype=float) / max(total, 1)
+
+    def draw_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first in frame["id"] * SHARDS_AT_ONCE:
+                shards = np.arange(first, min(first + SHARDS_AT_ONCE, math.ceil(total / SHARD_SLOTS)))
+                counts = np.array([np.random.default_rng([seed, int(k)]).multinomial(min(SHARD_SLOTS, total - int(k) * SHARD_SLOTS), share) for k in shards])
+                yield pd.DataFrame({"chunk": names, "shards": [shards.tolist()] * len(names), "counts": counts.T.tolist()})
+
+    def draw_sources(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for shard in frame["id"]:
-                slots = min(SHARD_SLOTS, total - int(shard) * SHARD_SLOTS)
-                expected = slots * share
-                sure = np.floor(expected)
-                left, part = slots - int(sure.sum()), expected - sure
-                drawn = sure.astype(np.int64)
-                if left > 0 and part.sum() > 0:
-                    drawn += np.random.default_rng([seed, int(shard)]).multinomial(left, part / part.sum())
-                used = np.flatnonzero(drawn)
-                yield pd.DataFrame({"shard": shard, "source_no": used, "count": drawn[used], "blocks": blocks[used], "most": most[used]})
-
-    shards = math.ceil(total / SHARD_SLOTS)
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 2000))).mapInPandas(draw, "shard long, source_no int, count long, blocks long, most long")
+            for row in frame.itertuples(index=False):
+                number, own = np.array([x["source_no"] for x in row.own]), np.array([x["slots"] for x in row.own], dtype=float)
+                for shard, n in zip(row.shards, row.counts, strict=True):
+                    got = np.random.default_rng([seed, int(shard), int(row.chunk) + 1]).multinomial(int(n), own / own.sum())
+                    used = np.flatnonzero(got)
+                    yield pd.DataFrame({"shard": int(shard), "source_no": number[used], "count": got[used]})
+
+    tasks = math.ceil(math.ceil(total / SHARD_SLOTS) / SHARDS_AT_ONCE)
+    drawn = spark.range(0, tasks, 1, max(1, min(tasks, 2000))).mapInPandas(draw_chunks, "chunk long, shards array<long>, counts array<long>")
+    return drawn.join(chunks.select("chunk", "own"), "chunk").mapInPandas(draw_sources, "shard long, source_no long, count long")
+
+
+def reconciled(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """``shard, source_no, start, stop``: the drawn counts as numbers of slots, ``slots`` in all for each source."""
     before = W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     drawn = drawn.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    drawn = drawn.withColumn("stop", F.least(F.col("start") + F.col("count"), F.col("most"))).where("stop > start")
-    # rows of a shard become slots; those of one source must not do so in one task
-    drawn = drawn.repartition(max(1, min(shards, 4000)), "source_no", "shard")
+    drawn = save(drawn.join(sources.select("source_no", "slots"), "source_no"), "drawn")
+    end = F.col("start") + F.col("count")
+    kept = drawn.where("start < slots").select("shard", "source_no", "start", F.least(end, F.col("slots")).alias("stop"))
+    # about the root of all slots are drawn for another source than needs them
+    free = listed(drawn.where(end > F.col("slots")).select("shard", "source_no", F.least(F.col("count"), end - F.col("slots")).alias("n")), "n", "nth")
+    free = running(free, ["shard", "source_no", "nth"], {"number": F.lit(1)}).select("number", "shard")
+    had = drawn.groupBy("source_no").agg(F.sum("count").alias("had"))
+    short = sources.where("slots > 0").join(had, "source_no", "left").select("source_no", F.coalesce("had", F.lit(0)).alias("had"), (F.col("slots") - F.coalesce("had", F.lit(0))).alias("n")).where("n > 0")
+    short = running(listed(short, "n", "nth"), ["source_no", "nth"], {"number": F.lit(1)})
+    moved = short.join(free, "number").select("shard", "source_no", (F.col("had") + F.col("nth")).alias("start"), (F.col("had") + F.col("nth") + 1).alias("stop"))
+    return kept.unionByName(moved)
+
+
+def _slots(spark: SparkSession, sources: DataFrame, seed: int) -> DataFrame:
+    """``source_no, block, pass, shard``: one row for every block that the mix takes."""
+    runs = reconciled(drawn_counts(spark, sources, seed), sources).join(sources.select("source_no", "blocks"), "source_no")
+    # runs become slots; those of one source must not do so in one task
+    runs = runs.repartition("source_no", "shard", "start")
 
     @F.pandas_udf(T.LongType())
     def permute(index: pd.Series, n: pd.Series, source_no: pd.Series, turn: pd.Series) -> pd.Series:
         key = (source_no.to_numpy(np.int64) * 8 + turn.to_numpy(np.int64)) * 65_537 + seed
         return pd.Series(permuted(index.to_numpy(np.int64), n.to_numpy(np.int64), key))
 
-    j = drawn.select("source_no", "blocks", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("j"))
-    j = j.select("source_no", "blocks", (F.col("j") % F.col("blocks")).alias("at"), F.floor(F.col("j") / F.col("blocks")).cast("int").alias("pass"))
-    return j.select("source_no", permute("at", "blocks", "source_no", "pass").alias("block"), "pass")
+    j = runs.select("source_no", "shard", "blocks", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("j"))
+    j = j.select("source_no", "shard", "blocks", (F.col("j") % F.col("blocks")).alias("at"), F.floor(F.col("j") / F.col("blocks")).cast("int").alias("pass"))
+    return j.select("source_no", permute("at", "blocks", "source_no", "pass").alias("block"), "pass", "shard")
+
+
+def weighed(groups: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """The sources of ``source, size, copies``: their number, size, first word, target, blocks and slots."""
+    per_source = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("different"))
+    ranked = save(running(per_source, [F.col("source").asc_nulls_last()], {"source_no": F.lit(1), "base": F.col("source_size")}), "ranked")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights)).cast("int"))
+    found = with_targets(ranked.withColumn("weight", weight)).withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS))
+    wanted = F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long")
+    return save(found.withColumn("slots", F.least(wanted, MAX_REPEATS * F.col("blocks"))), "sources")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
     """One row per document: ``doc_id, key, source, size, source_size, target, taken, pieces``.
 
     ``pieces`` lists what the mix takes of a document: arrays of (pass, from_word,
-    n_words), words counted from 0.  ``key`` is handed through (null if not
-    given) for joins back to the rows.  Sources are ordered by code point, null
-    last, and weigh ``weights`` in turn.  The same table gives the same mix.
+    n_words, shard), words counted from 0.  ``key`` tells rows of one id apart
+    and serves for joins back to them; by default it is a hash of the text.
+    Sources are ordered by code point, null last, and weigh ``weights`` in turn.
+    The same table gives the same mix in any file layout.
 
     Null and empty texts have size 0 and nothing is taken of them.  A null
-    source is a source.  Repeated rows are documents of their own, null ids too.
-    Other columns are not read.  An empty table gives an empty result.
+    source is a source.  Repeated rows are documents of their own, null ids too;
+    which of several equal rows gets which pieces is not determined.  Other
+    columns are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sized = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(None).cast("long") if key is None else key.cast("long")).alias("key")), "sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [r["size"] for r in per_source]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    names = spark.createDataFrame([(i, r["source"], r["size"], t) for i, (r, t) in enumerate(zip(per_source, goal, strict=True))], "source_no int, source string, source_size long, target double")
-
-    # at most MAX_SOURCES rows
-    rows = sized.join(F.broadcast(names), sized["source"].eqNullSafe(names["source"])).drop(names["source"])
-    rows = save(_laid_out(rows, sum(r["n"] for r in per_source)).withColumn("row_no", F.monotonically_increasing_id()), "layout")
+    key = F.xxhash64(text_col) if key is None else key.cast("long")
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+    groups = save(sized.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")), "sizes")
+    sources = weighed(groups, weights)
+    rows = save(_laid_out(groups, sources).withColumn("row_no", F.monotonically_increasing_id()), "layout")
 
     last = F.floor((F.col("offset") + F.col("size") - 1) / BLOCK_WORDS)
     parts = rows.where("size > 0").select("row_no", "source_no", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / BLOCK_WORDS), last)).alias("block"))
@@ -161,11 +236,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     end = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
     parts = parts.select("row_no", "source_no", "block", (begin - F.col("offset")).alias("from_word"), (end - begin).alias("n_words"))
     # slots and what is taken grow with the input, which their estimated sizes don't show
-    taken = parts.join(_slots(spark, sizes, goal, seed).hint("merge"), ["source_no", "block"])
-    piece = F.struct("pass", "from_word", "n_words")
+    taken = parts.join(_slots(spark, sources, seed).hint("merge"), ["source_no", "block"])
+    piece = F.struct("pass", "from_word", "n_words", "shard")
     taken = taken.groupBy("row_no").agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     found = rows.join(taken.hint("merge"), "row_no", "left")
-    nothing = F.array().cast("array<struct<pass:int,from_word:bigint,n_words:bigint>>")
+    nothing = F.array().cast("array<struct<pass:int,from_word:bigint,n_words:bigint,shard:bigint>>")
     return found.select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", nothing).alias("pieces"))
 
 
