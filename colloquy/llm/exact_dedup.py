@@ -56,15 +56,24 @@ def _bit(digest: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(bits))
 
 
-def _may_hold(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
-    """The rows whose digest may be among ``keys``, by a filter of at most FILTER_BITS."""
+def parted(rows: DataFrame, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``digest`` may be among those of ``keys``, and those whose digest is not.
+
+    A filter of at most FILTER_BITS tells them apart; nothing is shuffled.
+    """
     bits = min(FILTER_BITS, max(_BLOCK, 1 << (16 * max(n_keys, 1)).bit_length()))
     bit = _bit(F.col("digest"), bits)
-    blocks = keys.groupBy(F.floor(bit / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_BLOCK))).alias("bitmap"))
-    joined = rows.join(F.broadcast(blocks), F.floor(_bit(rows["digest"], bits) / _BLOCK) == blocks["block"])
+    blocks = keys.groupBy(F.floor(bit / _BLOCK).alias("_block")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_BLOCK))).alias("_bitmap"))
+    joined = rows.join(F.broadcast(blocks), F.floor(_bit(rows["digest"], bits) / _BLOCK) == blocks["_block"], "left")
     at = F.pmod(_bit(rows["digest"], bits), F.lit(_BLOCK))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return joined.where(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0).drop("block", "bitmap")
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    among = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0, F.lit(False))
+    return joined.where(among).select(rows.columns), joined.where(~among).select(rows.columns)
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """The rows whose ``digest`` may be among those of ``keys``."""
+    return parted(rows, keys, n_keys)[0]
 
 
 def exact_duplicates(docs: DataFrame, digest=sha256_digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,7 +93,7 @@ def exact_duplicates(docs: DataFrame, digest=sha256_digest, id_col: str = "doc_i
     texts = docs.select(normalised(F.col(text_col)).alias("body"), F.col(id_col).cast("long").alias("doc_id"))
     texts = texts.withColumn("digest", digest(F.col("body")))
     # equal texts of a task are one row before anything moves; what the filter let through by chance goes after
-    groups = _may_hold(texts, many, n_many).groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = may_hold(texts, many, n_many).groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = save(groups.select("digest", "keep_id", "group_size").join(many.select("digest"), "digest"), "classes")
     several = classes.groupBy("digest").agg(F.count("*").alias("texts"))
     collided = several.where("texts > 1").select("digest")

@@ -21,7 +21,7 @@ has a bounded number of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,11 +43,11 @@ SAMPLE_PER_LEAF = 48
 LEAF_PAIRS = 1 << 16
 
 
-def fingerprint(raw: bytes | None, shingle_words: int = 4) -> int:
-    """The SimHash of one UTF-8 text; no words (or null) give 0."""
+def hashed_shingles(raw: bytes | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of every shingle of one UTF-8 text; none for a text without words."""
     words = (raw or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -55,11 +55,20 @@ def fingerprint(raw: bytes | None, shingle_words: int = 4) -> int:
     width = min(shingle_words, len(words))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype="<u8", count=len(first))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; without any all are 0."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(first), 65_536):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + 65_536], last[at : at + 65_536], strict=True)], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(first), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 65_536):
+        counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(raw: bytes | None, shingle_words: int = 4) -> int:
+    """The SimHash of one UTF-8 text; no words (or null) give 0."""
+    return simhash(hashed_shingles(raw, shingle_words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
@@ -123,8 +132,8 @@ class Forest:
                 self.parent = up
 
 
-def link_within(fps: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, forest: Forest) -> None:
-    """Join in ``forest`` all pairs of ``left`` with ``right`` (or itself) at ``radius`` or fewer bits."""
+def link_within(fps: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, join: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Hand to ``join`` all pairs of ``left`` with ``right`` (or itself) at ``radius`` or fewer bits, many at a time."""
     same, stack = right is None, [(left, left if right is None else right, right is None)]
     while stack:
         a, b, same = stack.pop()
@@ -146,7 +155,7 @@ def link_within(fps: np.ndarray, left: np.ndarray, right: np.ndarray | None, rad
         rows = max(1, LEAF_PAIRS // len(b))
         for at in range(0, len(a), rows):
             i, j = np.nonzero(np.bitwise_count(fps[a[at : at + rows], None] ^ fps[b][None, :]) <= radius)
-            forest.join(a[at + i], b[j])
+            join(a[at + i], b[j])
 
 
 def _linked(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
@@ -155,10 +164,10 @@ def _linked(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     fps, forest = pdf["fp"].to_numpy(np.int64).view(np.uint64), Forest(len(pdf))
     block = pdf["block"].to_numpy()
     if pdf["row_block"].iloc[0] == pdf["col_block"].iloc[0]:
-        link_within(fps, np.arange(len(fps)), None, radius, forest)
+        link_within(fps, np.arange(len(fps)), None, radius, forest.join)
     else:
         first = block == pdf["row_block"].iloc[0]
-        link_within(fps, np.flatnonzero(first), np.flatnonzero(~first), radius, forest)
+        link_within(fps, np.flatnonzero(first), np.flatnonzero(~first), radius, forest.join)
     tied = np.flatnonzero(forest.parent != np.arange(len(fps)))
     return pd.DataFrame({"a": pdf["fp"].to_numpy()[tied], "b": pdf["fp"].to_numpy()[forest.parent[tied]]})
 
