@@ -2,7 +2,7 @@
 
 Lineage is cut by writing a table and reading it again.  The folder is the one
 the cluster names in ``spark.checkpoint.dir``; only where that setting is
-missing (local tests) a folder of our own is made.
+missing and Spark is local (tests) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ _written: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The shared folder: ``spark.checkpoint.dir``, or on a local Spark a temporary one if unset."""
     global _own_root
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="colloquy-")
     return _own_root
