@@ -419,10 +419,10 @@ def chunk_windows(spark, d):
     return windows.chunk_windows(view(spark, d, "long_words_v"))
 
 
-@query(oracle("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' AND NOT list_contains(['the', 'of', 'a'], lower(regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')))), ' ') AS text FROM documents WHERE lang = 'en'"))
+@query(oracle("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' AND NOT list_contains(['the', 'of', 'a'], lower(regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')))), ' ') AS text FROM documents"))
 def filler_filter(spark, d):
     kept = X.without_fillers(X.words(F.col("text")), ("the", "of", "a"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(kept, " ").alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(kept, " ").alias("text"))
 
 
 # --- along time -----------------------------------------------------------------------------------------------------
@@ -476,7 +476,7 @@ def tumbling_windows(spark, d):
 
 
 _OPEN = {
-    "moments": "SELECT DISTINCT o_orderdate + to_hours(o_orderkey % 24) AS now_at FROM orders WHERE o_orderkey % 50 = 1",
+    "moments": "SELECT DISTINCT o_orderdate + to_hours(o_orderkey % 24) AS now_at FROM orders",
     "days": "SELECT now_at, CAST(now_at AS DATE) + CAST(i AS INTEGER) AS dt FROM moments, range(-1, 8) r(i)",
     "raw": """SELECT now_at, CAST(dt AS TIMESTAMP) + to_minutes(start_min) AS a, CAST(dt AS TIMESTAMP) + to_minutes(start_min + CASE WHEN end_min > start_min THEN end_min - start_min ELSE 1440 - start_min + end_min END) AS b
               FROM days JOIN schedule_v s ON s.day = isodow(dt) - 1 AND s.enabled""",
@@ -488,7 +488,7 @@ _OPEN = {
 
 def _times(spark: SparkSession, d: str) -> DataFrame:
     hours = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
-    return table(spark, d, "orders").where("o_orderkey % 50 = 1").select((F.col("o_orderdate") + hours).cast("timestamp").alias("now_at")).distinct()
+    return table(spark, d, "orders").select((F.col("o_orderdate") + hours).cast("timestamp").alias("now_at")).distinct()
 
 
 @query(oracle('SELECT now_at, "start", "end" FROM win', **_OPEN))
@@ -558,9 +558,9 @@ def hash_embed_documents(spark, d):
 # --- texts ----------------------------------------------------------------------------------------------------------
 
 
-@query(oracle("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')[1:60], ''), 'recording') AS slug FROM documents"))
+@query(oracle("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')[1:60], ''), 'recording') AS slug FROM documents"))
 def slug_titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slug(F.left("text", F.lit(80))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query(
