@@ -82,8 +82,8 @@ def transcribed_until(segments: DataFrame) -> DataFrame:
 
 
 def chosen_summary(summaries: DataFrame) -> DataFrame:
-    """Per recording the ``general`` summary, else the earliest."""
-    order = F.struct((F.coalesce("template", F.lit("general")) != "general").alias("other"), "created_at", "template")
+    """Per recording the ``general`` summary, else the earliest; ties by template and title."""
+    order = F.struct((F.coalesce("template", F.lit("general")) != "general").alias("other"), "created_at", "template", "title")
     return summaries.groupBy("recording_id").agg(F.min_by(F.struct("template", "title", "summary"), order).alias("s")).select("recording_id", "s.*")
 
 

@@ -5,6 +5,9 @@ cover is a shortest run of positions that holds all of them; it adds a tenth,
 divided by one more than the foreign words in it.  The semantic arm is an exact
 cosine scan.  Ranks of both are fused by reciprocal rank.  Filters stand inside
 both arms, as a filter behind a rank would give other results.
+
+Chunks are filtered by the ids of recordings alone, each arm reads only its own
+columns, and titles and times are joined to the few hits at the end.
 """
 
 from __future__ import annotations
@@ -48,16 +51,24 @@ def clamped(limit: int | None, default: int, most: int) -> int:
     return min(max(default if limit is None else limit, 1), most)
 
 
-def scoped(chunks: DataFrame, recordings: DataFrame, recording_speakers: DataFrame, filters: Filters) -> DataFrame:
-    """Chunks with title and date of their recording that pass ``filters``.
+@dataclass(frozen=True)
+class Scope:
+    """The chunks that pass all filters, and the recordings that have their titles."""
+
+    chunks: DataFrame
+    recordings: DataFrame
+
+
+def scoped(chunks: DataFrame, recordings: DataFrame, recording_speakers: DataFrame, filters: Filters = Filters()) -> Scope:
+    """Chunks whose recording is there and passes ``filters``.
 
     A speaker filter keeps all chunks of the recordings in which the speaker is,
     each once.
     """
-    rows = chunks.join(recordings.select("recording_id", "title", "created_at"), "recording_id").where(filters.column())
+    rows = chunks.join(recordings.where(filters.column()).select("recording_id"), "recording_id", "left_semi")
     if filters.speaker_id is not None:
         rows = rows.join(recording_speakers.where(F.col("speaker_id") == filters.speaker_id).select("recording_id"), "recording_id", "left_semi")
-    return rows
+    return Scope(rows, recordings)
 
 
 def keyword_scores(rows: DataFrame, query: str, analyzer: Callable[[Column], Column] = lexemes, query_lexemes: Sequence[str] | None = None) -> DataFrame:
@@ -88,7 +99,7 @@ def keyword_scores(rows: DataFrame, query: str, analyzer: Callable[[Column], Col
 
 def semantic_scores(rows: DataFrame, vector: list[float]) -> DataFrame:
     """``chunk_id, score``: cosine similarity; chunks without a vector are not found."""
-    return rows.where("embedding IS NOT NULL").select("chunk_id", F.round(cosine(F.col("embedding"), literal(vector)), 6).alias("score"))
+    return rows.where("embedding IS NOT NULL").select("chunk_id", cosine(F.col("embedding"), literal(vector)).alias("score"))
 
 
 def ranked(scores: DataFrame, n: int) -> DataFrame:
@@ -104,21 +115,25 @@ def fused(arms: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.sum(1.0 / (k + F.col("rnk")).cast("double")).alias("score"))
 
 
-def _widened(scores: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+def _widened(scores: DataFrame, scope: Scope, limit: int) -> DataFrame:
     top = scores.orderBy(F.desc("score"), "chunk_id").limit(limit)
-    # at most `limit` rows
-    return rows.join(F.broadcast(top), "chunk_id").select("chunk_id", "recording_id", "title", "start_ms", "end_ms", F.round("score", 6).alias("score"))
+    # at most `limit` rows, twice
+    hits = scope.chunks.select("chunk_id", "recording_id", "start_ms", "end_ms").join(F.broadcast(top), "chunk_id")
+    titled = scope.recordings.select("recording_id", "title").join(F.broadcast(hits), "recording_id")
+    return titled.select("chunk_id", "recording_id", "title", "start_ms", "end_ms", F.round("score", 6).alias("score"))
 
 
-def keyword_search(rows: DataFrame, query: str, limit: int = 20, **options) -> DataFrame:
-    return _widened(keyword_scores(rows, query, **options), rows, clamped(limit, 20, 200))
+def keyword_search(scope: Scope, query: str, limit: int | None = None, **options) -> DataFrame:
+    return _widened(keyword_scores(scope.chunks, query, **options), scope, clamped(limit, 20, 200))
 
 
-def semantic_search(rows: DataFrame, vector: list[float], limit: int = 20) -> DataFrame:
-    return _widened(semantic_scores(rows, vector), rows, clamped(limit, 20, 200))
+def semantic_search(scope: Scope, vector: list[float], limit: int | None = None) -> DataFrame:
+    """Ranked by the similarity itself; only what is returned is rounded."""
+    return _widened(semantic_scores(scope.chunks, vector), scope, clamped(limit, 20, 200))
 
 
-def hybrid_search(rows: DataFrame, query: str, vector: list[float], limit: int = 20, **options) -> DataFrame:
-    """Both arms' best ``4 * limit`` of ``rows`` (see :func:`scoped`), fused."""
-    n = POOL * max(limit, 1)
-    return _widened(fused([ranked(keyword_scores(rows, query, **options), n), ranked(semantic_scores(rows, vector), n)]), rows, limit)
+def hybrid_search(scope: Scope, query: str, vector: list[float], limit: int | None = None, **options) -> DataFrame:
+    """Both arms' best ``4 * limit`` (limit: 20, at most 200), fused."""
+    limit = clamped(limit, 20, 200)
+    n = POOL * limit
+    return _widened(fused([ranked(keyword_scores(scope.chunks, query, **options), n), ranked(semantic_scores(scope.chunks, vector), n)]), scope, limit)

@@ -118,9 +118,7 @@ def summary_pick(spark, d):
         F.col("o_custkey").alias("recording_id"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'general' END ELSE lower(o_orderpriority) END").alias("template"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("").alias("summary"), F.col("o_orderdate").alias("created_at")
     )
     # a template that was never set is the general one
-    summaries = summaries.withColumn("template", F.coalesce("template", F.lit("general")))
-    order = F.struct((F.col("template") != "general").alias("o"), "created_at", "template", "title")
-    return summaries.groupBy("recording_id").agg(F.min_by(F.struct("template", "title"), order).alias("s")).select("recording_id", "s.*")
+    return library.chosen_summary(summaries.withColumn("template", F.coalesce("template", F.lit("general")))).select("recording_id", "template", "title")
 
 
 @query(oracle("SELECT s_suppkey AS speaker_id, lower(s_name) = 'supplier#000000007' AS same FROM supplier"))
@@ -192,8 +190,9 @@ def nearest_in_time(spark, d):
 @query(oracle("SELECT c.chunk_id, r.title FROM chunks_v c JOIN recordings_v r USING (recording_id) WHERE r.created_at >= TIMESTAMP '2001-08-01' - INTERVAL 7 DAY OR c.recording_id = 12"))
 def search_scope_week(spark, d):
     views = [view(spark, d, f"{n}_v") for n in ("chunks", "recordings", "recording_speakers")]
-    week = search.scoped(*views, search.Filters(since="2001-07-25"))
-    return week.unionByName(search.scoped(*views, search.Filters(recording_id=12, until="2001-07-24"))).select("chunk_id", "title")
+    week = search.scoped(*views, search.Filters(since="2001-07-25")).chunks
+    found = week.unionByName(search.scoped(*views, search.Filters(recording_id=12, until="2001-07-24")).chunks)
+    return found.select("chunk_id", "recording_id").join(views[1].select("recording_id", "title"), "recording_id").select("chunk_id", "title")
 
 
 @query(oracle("SELECT label, median(ms) AS median_ms FROM (SELECT label, 400 + (vec_id % 40) * 100 AS ms FROM embeddings) GROUP BY label"))

@@ -51,7 +51,7 @@ _KEYWORD = {
 }
 _SEMANTIC = {
     "qv": "SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7",
-    "sem": "SELECT chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM qv)), 6) AS score FROM scope WHERE embedding IS NOT NULL",
+    "sem": "SELECT chunk_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM qv)) AS score FROM scope WHERE embedding IS NOT NULL",
 }
 _WIDE = "SELECT chunk_id, recording_id, title, start_ms, end_ms, round(f.score, 6) AS score FROM f JOIN scope USING (chunk_id) ORDER BY f.score DESC, chunk_id LIMIT {n}"
 _FUSED = {
@@ -61,7 +61,7 @@ _FUSED = {
 }
 
 
-def _scope(spark: SparkSession, d: str, filters: search.Filters = search.Filters()) -> DataFrame:
+def _scope(spark: SparkSession, d: str, filters: search.Filters = search.Filters()) -> search.Scope:
     return search.scoped(view(spark, d, "chunks_v"), view(spark, d, "recordings_v"), view(spark, d, "recording_speakers_v"), filters)
 
 
@@ -332,10 +332,24 @@ def delete_cascade(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query(oracle("SELECT recording_id, CASE WHEN recording_id % 5 = 0 THEN 'processing' ELSE status END AS status FROM recordings_v"))
+@query(
+    oracle(
+        """SELECT 'recordings' AS t, concat(status, '') AS what, count(*) AS n FROM (SELECT CASE WHEN recording_id % 5 = 0 THEN 'processing' ELSE status END AS status FROM recordings_v) GROUP BY status
+           UNION ALL SELECT 'segments', 'rows', count(*) FROM segments_v UNION ALL SELECT 'jobs', 'rows', count(*) FROM jobs_v WHERE recording_id % 5 <> 0 OR recording_id NOT IN (SELECT recording_id FROM recordings_v)
+           UNION ALL SELECT 'recording_speakers', 'rows', count(*) FROM recording_speakers_v WHERE recording_id % 5 <> 0
+           UNION ALL SELECT 'utterances', 'rows', count(*) FROM utterances_v WHERE recording_id % 5 <> 0 OR recording_id NOT IN (SELECT recording_id FROM recordings_v)
+           UNION ALL SELECT 'chunks', 'rows', count(*) FROM chunks_v WHERE recording_id % 5 <> 0 OR recording_id NOT IN (SELECT recording_id FROM recordings_v)
+           UNION ALL SELECT 'summaries', 'rows', count(*) FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT 'artifacts', 'rows', count(*) FROM orders WHERE o_orderkey % 5 <> 0"""
+    )
+)
 def reset_for_reprocess(spark, d):
-    recordings = view(spark, d, "recordings_v").select("recording_id", "status")
-    return rows.reset_recordings({"recordings": recordings}, recordings.where("recording_id % 5 = 0"))["recordings"]
+    tables = {n: view(spark, d, f"{n}_v") for n in ("recordings", "segments", "jobs", "recording_speakers", "utterances", "chunks")}
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("recording_id"))
+    after = rows.reset_recordings(tables | {"summaries": own, "artifacts": own}, tables["recordings"].where("recording_id % 5 = 0"))
+    out = after["recordings"].groupBy(F.lit("recordings").alias("t"), F.col("status").alias("what")).agg(F.count("*").alias("n"))
+    for name in ("segments", "jobs", "recording_speakers", "utterances", "chunks", "summaries", "artifacts"):
+        out = out.unionByName(after[name].agg(F.lit(name).alias("t"), F.lit("rows").alias("what"), F.count("*").alias("n")))
+    return out
 
 
 @query(oracle("SELECT recording_id, local_idx, CASE WHEN speaker_id = 5 THEN 2 ELSE speaker_id END AS speaker_id FROM recording_speakers_v"))
@@ -638,10 +652,10 @@ def retrieval_query(spark, d):
     )
 )
 def rag_context(spark, d):
-    rows_ = _scope(spark, d)
-    hits = search.hybrid_search(rows_, WORDS, _vector(spark, d), 8)
+    scope = _scope(spark, d)
+    hits = search.hybrid_search(scope, WORDS, _vector(spark, d), 8)
     # eight hits
-    return prompts.context(rows_.select("chunk_id", "text").join(F.broadcast(hits), "chunk_id"))
+    return prompts.context(scope.chunks.select("chunk_id", "text").join(F.broadcast(hits), "chunk_id"))
 
 
 @query()
@@ -657,9 +671,9 @@ def summary_json_parse(spark, d):
     return parsed.select("conv_id", "turn", "s.title", F.length("s.summary").alias("summary_chars"), F.size("s.topics").alias("n_topics"), F.size("s.decisions").alias("n_decisions"))
 
 
-@query(oracle("SELECT utterance_id, row_number() OVER (PARTITION BY recording_id ORDER BY utterance_id) % 2 = 0 AS edited FROM utterances_v"))
+@query(oracle("SELECT utterance_id, n % 2 = 0 AS edited, CASE WHEN n % 2 = 0 THEN trim(concat(text, ' Bob')) ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY utterance_id) AS n FROM utterances_v)"))
 def name_correction(spark, d):
     lines = view(spark, d, "utterances_v")
     numbered = lines.withColumn("line", F.row_number().over(windows.W.partitionBy("recording_id").orderBy("utterance_id")))
     edits = numbered.where("line % 2 = 0").select("recording_id", "line", F.concat(F.col("text"), F.lit(" Bob")).alias("new_text"))
-    return prompts.correct_names(lines, edits).select("utterance_id", "edited")
+    return prompts.correct_names(lines, edits).select("utterance_id", "edited", "text")
