@@ -51,22 +51,31 @@ def made(rng):
 
 def test_components_against_all_pairs(spark, monkeypatch):
     # bands are cut into blocks
-    monkeypatch.setattr(S.candidates, "__defaults__", (20,))
+    monkeypatch.setattr(S.links, "__defaults__", (20,))
     rows = made(np.random.default_rng(7))
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, rows[40][1].upper())]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, digest string")
-    # the radius loses hardly a link and makes none
-    want, near = plain(rows), {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df).collect()}
-    assert near.keys() == want.keys() and len(set(want.values())) < 0.7 * len(rows)
-    assert all(want[near[k]] == want[k] for k in near)
-    assert sum(near[k] != want[k] for k in near) <= 0.03 * len(rows)
+    near = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df).collect()}
+    # what is well above 0.8 is linked, what is well below is not
+    sure, most = plain(rows, 0.88), plain(rows, 0.7)
+    assert near.keys() == sure.keys() and len(set(sure.values())) < 0.9 * len(rows)
+    assert all(near[sure[k]] == near[k] for k in near)
+    assert all(most[near[k]] == most[k] for k in near)
+    want = plain(rows)
+    assert sum(near[k] != want[k] for k in near) <= 0.05 * len(rows)
 
 
-def test_refused_links_are_searched_again(spark):
-    # fingerprints of all pass, similarities of none but the copies
-    rows = [(i, " ".join(f"{c}{i % 3}" for c in "abcdefghijkl")) for i in range(3)] + [(5, " ".join(f"{c}0" for c in "abcdefghijkl") + " z")]
-    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=64).collect()}
-    assert got == {0: 0, 1: 1, 2: 2, 5: 0}
+def test_sketches_read_the_similarity():
+    rng = np.random.default_rng(3)
+    for n in (5, 40, 3000):
+        for share in (0.5, 0.8, 0.95):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            keep = round(n * 2 * share / (1 + share))
+            b = np.concatenate([a[:keep], rng.integers(0, 1 << 63, n - keep, dtype=np.uint64)])
+            read = S.likeness(np.stack([S.sketch(a), S.sketch(b)]), np.array([0]), np.array([1]))[0]
+            assert abs(read - keep / (2 * n - keep)) < (0.2 if n > 5 else 0.35)
+    none = S.sketch(np.zeros(0, dtype=np.uint64))
+    assert S.likeness(np.stack([none, none]), np.array([0]), np.array([1]))[0] == 1.0
 
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
