@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 _LIST = T.ArrayType(T.StringType())
 SUMMARY = T.StructType([T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("action_items", _LIST), T.StructField("decisions", _LIST), T.StructField("topics", _LIST)])
+EDITS = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("new_text", T.StringType())]))
 
 
-def first_object(text: str | None) -> str | None:
-    """The first balanced ``{...}``; braces in strings do not count."""
-    start = (text or "").find("{")
+def first_block(text: str | None, marks: str = "{}") -> str | None:
+    """The first balanced block between two marks; marks in strings do not count."""
+    start = (text or "").find(marks[0])
     if start < 0:
         return None
     try:
@@ -31,8 +32,8 @@ def first_object(text: str | None) -> str | None:
             skip, quoted = (False, True) if skip else (c == "\\", c != '"')
         elif c == '"':
             quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
+        elif c in marks:
+            depth += 1 if c == marks[0] else -1
             if depth == 0:
                 return text[start : i + 1]
     return None
@@ -49,7 +50,7 @@ def _strings(value) -> list[str]:
 
 def summary_fields(text: str | None) -> dict:
     """The fields of a summary; text that holds no JSON object is the summary itself."""
-    block = first_object(text)
+    block = first_block(text)
     try:
         found = json.loads(block) if block is not None else None
     except ValueError:
@@ -66,6 +67,22 @@ def parse_summary(answers: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([summary_fields(x) for x in series], columns=["title", "summary", "action_items", "decisions", "topics"])
 
 
+def line_edits(text: str | None) -> list[dict]:
+    """The corrections ``{"i": line, "text": ...}`` in an answer; none if it holds no such array."""
+    try:
+        found = json.loads(first_block(text, "[]") or "[]")
+    except ValueError:
+        return []
+    good = all(isinstance(x, dict) and type(x.get("i")) is int and x["i"] >= 0 and isinstance(x.get("text"), str) for x in found)
+    return [{"line": x["i"], "new_text": x["text"]} for x in found] if good else []
+
+
+@F.pandas_udf(EDITS)
+def parse_line_edits(answers: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for series in answers:
+        yield pd.Series([line_edits(x) for x in series], dtype="object")
+
+
 def array_field(document: Column, key: str) -> Column:
     """``document.key`` as an array of strings: null if absent or of another shape."""
     return F.from_json(F.get_json_object(document, f"$.{key}"), "array<string>")

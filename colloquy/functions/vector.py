@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,27 @@ def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector]).cast("array<float>")
 
 
+def embedded(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[str]], list[list[float]]], dim: int) -> DataFrame:
+    """``id_col, embedding`` by a model of texts, a batch at a time, in order.
+
+    Blank text (or null) is not sent and gives the first unit vector; a vector of
+    another length than ``dim`` is an error.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            at = [i for i, x in enumerate(texts) if x is not None and x.strip()]
+            out = [[1.0] + [0.0] * (dim - 1) for _ in range(len(texts))]
+            for i, vector in zip(at, model([texts.iloc[i] for i in at]) if at else [], strict=True):
+                if len(vector) != dim:
+                    raise ValueError(f"the model gives {len(vector)} components, not {dim}")
+                out[i] = vector
+            yield pd.Series(out, dtype="object")
+
+    return rows.select(id_col, embed(text_col).alias("embedding"))
+
+
 def hash_embed(rows: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """``id_col, embedding``: a signed hashed bag of tokens, of length 1.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import speaker_label, trimmed
+from ..functions.text import ascii_lower, speaker_label, trimmed
 from .search import clamped
 
 STAGES = ("transcode", "diarize", "transcribe", "merge", "embed", "summarize")
@@ -87,7 +87,34 @@ def chosen_summary(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("recording_id").agg(F.min_by(F.struct("template", "title", "summary"), order).alias("s")).select("recording_id", "s.*")
 
 
+def children(table: DataFrame, recording_id, order: list[str]) -> DataFrame:
+    """What belongs to one recording, in order."""
+    return table.where(F.col("recording_id") == recording_id).orderBy(*order)
+
+
+def details(recordings: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Recordings with the number of rows that each of ``tables`` has for them, ``n_<name>``."""
+    out = recordings
+    for name, table in tables.items():
+        counts = table.groupBy("recording_id").agg(F.count("*").alias(f"n_{name}"))
+        out = out.join(counts, "recording_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return out
+
+
+# Identifiers of summary templates, the default one first.
+TEMPLATES = ("general", "standup", "interview", "one_on_one", "lecture", "sales")
+
+
+def known_template(name: Column) -> Column:
+    """Whether a name is that of a template, but for ASCII case and white space around it."""
+    return F.coalesce(ascii_lower(trimmed(name)).isin(*TEMPLATES), F.lit(False))
+
+
+def canonical_template(name: Column) -> Column:
+    """The template that a name stands for; the general one for all that are not known."""
+    return F.when(known_template(name), ascii_lower(trimmed(name))).otherwise(TEMPLATES[0])
+
+
 def summary_templates(spark) -> DataFrame:
     """The six kinds of summary."""
-    # Identifiers of summary templates.
-    return spark.createDataFrame([("general", True), ("standup", False), ("interview", False), ("one_on_one", False), ("lecture", False), ("sales", False)], "template string, is_default boolean")
+    return spark.createDataFrame([(name, name == TEMPLATES[0]) for name in TEMPLATES], "template string, is_default boolean")

@@ -94,6 +94,25 @@ def retrieval_query(turns: DataFrame, question: str, n: int = 2) -> DataFrame:
     return asked.select("conv_id", F.concat_ws(" ", "before", F.lit(question)).alias("query"))
 
 
+def numbered_lines(utterances: DataFrame) -> DataFrame:
+    """``recording_id, lines``: trimmed texts after their numbers from 0, blank ones left out, for a model to correct."""
+    line = F.row_number().over(W.partitionBy("recording_id").orderBy("utterance_id")) - 1
+    rows = utterances.select("recording_id", line.alias("line"), trimmed(F.col("text")).alias("text")).where("text <> ''")
+    return rows.withColumn("said", F.concat(F.col("line").cast("string"), F.lit(": "), F.col("text"))).groupBy("recording_id").agg(joined("line", "said", "\n").alias("lines"))
+
+
+def translation_block(title: Column, summary: Column, action_items: Column, decisions: Column, topics: Column) -> Column:
+    """A summary as plain text for translation; blank parts and entries are left out."""
+
+    def listed(head: str, items: Column) -> Column:
+        kept = F.filter(F.transform(items, trimmed), lambda x: x != "")
+        return F.when(F.size(kept) > 0, F.concat(F.lit(head + "\n- "), F.array_join(kept, "\n- ")))
+
+    kept = F.filter(F.transform(topics, trimmed), lambda x: x != "")
+    line = F.when(F.size(kept) > 0, F.concat(F.lit("Topics: "), F.array_join(kept, ", ")))
+    return F.concat_ws("\n\n", F.nullif(trimmed(title), F.lit("")), F.nullif(trimmed(summary), F.lit("")), listed("Action items:", action_items), listed("Decisions:", decisions), line)
+
+
 def correct_names(utterances: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply corrections (recording_id, line, new_text; lines from 1) that are small enough."""
     line = F.row_number().over(W.partitionBy("recording_id").orderBy("utterance_id"))

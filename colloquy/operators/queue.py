@@ -18,6 +18,8 @@ from .library import LIVE_STAGE, STAGES
 
 LIVE = ("queued", "running")
 LEASE_EXPIRED = "lease expired"
+#: Recording numbers whose requests are numbered together.
+ID_RANGE = 1 << 16
 # The stages that must be done before one can run.
 PREDECESSORS: dict[str, tuple[str, ...]] = {"transcode": (), "diarize": ("transcode",), "transcribe": ("transcode",), "merge": ("diarize", "transcribe"), "embed": ("merge",), "summarize": ("merge",), LIVE_STAGE: ()}
 
@@ -47,14 +49,18 @@ def enqueue(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     """Add requests (recording_id, kind, priority, payload) that have no live job yet.
 
     Of several requests for one recording and kind the highest priority counts.
-    Ids go on from the largest, in order of recording and kind; the requests are
-    those of one micro-batch, which is what a single sort numbers.
+    Ids go on from the largest, in order of recording (a number) and kind.
+    Ranges of recordings are numbered apart, after the counts of those before.
     """
     live = jobs.where(F.col("state").isin(*LIVE)).select("recording_id", "kind")
     fresh = requests.groupBy("recording_id", "kind").agg(F.max(F.struct("priority", "payload")).alias("r")).join(live, ["recording_id", "kind"], "left_anti")
     top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0))).first()[0]
-    order = W.orderBy("recording_id", "kind")
-    rows = fresh.select((F.lit(top) + F.row_number().over(order)).alias("job_id"), "recording_id", "kind", F.lit("queued").alias("state"), F.col("r.priority").alias("priority"), F.lit(0).alias("attempts"), now.alias("created_at"), now.alias("run_after"), F.col("r.payload").alias("payload"))
+    fresh = fresh.withColumn("_range", F.floor(F.col("recording_id") / ID_RANGE))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    # a row for each range
+    starts = fresh.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    order = W.partitionBy("_range").orderBy("recording_id", "kind")
+    rows = fresh.join(starts, "_range").select((F.lit(top) + F.col("_start") + F.row_number().over(order)).alias("job_id"), "recording_id", "kind", F.lit("queued").alias("state"), F.col("r.priority").alias("priority"), F.lit(0).alias("attempts"), now.alias("created_at"), now.alias("run_after"), F.col("r.payload").alias("payload"))
     return jobs.unionByName(rows, allowMissingColumns=True)
 
 

@@ -118,6 +118,12 @@ def name_speaker(speakers: DataFrame, recording_speakers: DataFrame, recording_i
     return speakers, changed(recording_speakers, own, speaker_id=F.lit(speaker_id).cast(kind))
 
 
+def unname_speaker(recording_speakers: DataFrame, recording_id, local_idx: int) -> DataFrame:
+    """A diarized speaker is nobody again; enrolled speakers stay."""
+    kind = recording_speakers.schema["speaker_id"].dataType
+    return changed(recording_speakers, (F.col("recording_id") == recording_id) & (F.col("local_idx") == local_idx), speaker_id=F.lit(None).cast(kind))
+
+
 def edit_text(utterances: DataFrame, edits: DataFrame) -> DataFrame:
     """New texts (utterance_id, new_text), trimmed; blank ones are refused."""
     rows = utterances.join(edits, "utterance_id", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.vector import cosine
 
 THRESHOLD = 0.5
-#: Voices of enrolled speakers that are sent to tasks at most; more are joined in blocks of this size.
-ENROLLED = 20_000
+#: Enrolled speakers and voices that meet in one task, about.
+ENROLLED, VOICES = 20_000, 20_000
 #: A first merge below this share of the usual similarity is refused, once so few clusters are left.
 RELATIVE_DROP, MOST_SPEAKERS = 0.8, 12
 SHORT_TURN_MS = 1000
@@ -23,42 +21,37 @@ def match_speakers(voices: DataFrame, speakers: DataFrame, threshold: float = TH
     """``voice_id, speaker_id, similarity``: the most similar enrolled speaker, null below ``threshold``.
 
     Ties go to the smaller speaker_id.  Speakers without a vector are not
-    matched; a voice without one matches nobody.  The enrolled are visited in
-    blocks of bounded size, each multiplied with whole batches of voices.
+    matched; a voice without one matches nobody.  Both sides are cut into blocks
+    of bounded size; every block of voices meets every block of enrolled speakers
+    in one task, as one product of matrices, and gives back its best alone.
     """
     known = speakers.where("embedding IS NOT NULL").select("speaker_id", "embedding")
-    blocks = max(1, -(-known.count() // ENROLLED))
-    best = None
-    for i in range(blocks):
-        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("speaker_id"), F.lit(blocks)) == i)
-        rows = part.orderBy("speaker_id").collect()
-        found = _best_of(voices, [r["speaker_id"] for r in rows], [r["embedding"] for r in rows], known.schema["speaker_id"].dataType.simpleString())
-        best = found if best is None else best.unionByName(found)
-    top = best.where("similarity IS NOT NULL").groupBy("voice_id").agg(F.max(F.struct("similarity", (-F.col("speaker_id")).alias("o"), "speaker_id")).alias("b"))
+    asked = voices.where("embedding IS NOT NULL").select("voice_id", "embedding")
+    n, m = max(1, -(-asked.count() // VOICES)), max(1, -(-known.count() // ENROLLED))
+    block = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))
+    left = asked.select(block("voice_id", n).alias("v"), every(m).alias("k"), "voice_id", "embedding")
+    right = known.select(every(n).alias("v"), block("speaker_id", m).alias("k"), "speaker_id", "embedding")
+    kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((asked, "voice_id"), (known, "speaker_id"))}
+    found = left.groupBy("v", "k").cogroup(right.groupBy("v", "k")).applyInPandas(_best_of, f"voice_id {kinds['voice_id']}, speaker_id {kinds['speaker_id']}, similarity double")
+    top = found.groupBy("voice_id").agg(F.max(F.struct("similarity", (-F.col("speaker_id")).alias("o"), "speaker_id")).alias("b"))
     out = voices.select("voice_id").join(top, "voice_id", "left")
     return out.select("voice_id", F.when(F.col("b.similarity") >= threshold, F.col("b.speaker_id")).alias("speaker_id"), F.col("b.similarity").alias("similarity"))
 
 
-def _best_of(voices: DataFrame, ids: list, vectors: list, kind: str) -> DataFrame:
-    shared = voices.sparkSession.sparkContext.broadcast((np.array(ids), np.array(vectors, dtype=float).reshape(len(ids), -1)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, known = shared.value
-        size = np.linalg.norm(known, axis=1)
-        for frame in frames:
-            own = [None if v is None or not len(names) or len(v) != known.shape[1] else np.asarray(v, dtype=float) for v in frame["embedding"]]
-            out = pd.DataFrame({"voice_id": frame["voice_id"], "speaker_id": pd.array([None] * len(own), dtype="object"), "similarity": np.nan})
-            at = [i for i, v in enumerate(own) if v is not None]
-            if at:
-                x = np.stack([own[i] for i in at])
-                norms = np.linalg.norm(x, axis=1)[:, None] * size[None, :]
-                near = np.round(np.divide(x @ known.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
-                top = near.argmax(axis=1)  # the first of equals: ids are in order
-                out.loc[out.index[at], "speaker_id"] = names[top].tolist()
-                out.loc[out.index[at], "similarity"] = near[np.arange(len(at)), top]
-            yield out.astype({"similarity": "float64"}).assign(similarity=lambda d: d["similarity"].where(d["speaker_id"].notna(), None))
-
-    return voices.select("voice_id", "embedding").mapInPandas(run, f"voice_id {voices.schema['voice_id'].dataType.simpleString()}, speaker_id {kind}, similarity double")
+def _best_of(voices: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Each voice's best of one block; vectors of another length do not match."""
+    known = known.sort_values("speaker_id", ignore_index=True)
+    parts = []
+    for length, own in known.groupby(known["embedding"].map(len)):
+        x = voices[voices["embedding"].map(len) == length]
+        if len(x):
+            a, b = np.stack(x["embedding"]).astype(float), np.stack(own["embedding"]).astype(float)
+            size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+            near = np.round(np.divide(a @ b.T, size, out=np.zeros_like(size), where=size > 0), 6)
+            best = near.argmax(axis=1)  # the first of equals: ids are in order
+            parts.append(pd.DataFrame({"voice_id": x["voice_id"].to_numpy(), "speaker_id": own["speaker_id"].to_numpy()[best], "similarity": near[np.arange(len(x)), best]}))
+    return pd.concat(parts) if parts else pd.DataFrame({"voice_id": voices["voice_id"][:0], "speaker_id": known["speaker_id"][:0], "similarity": pd.Series(dtype="float64")})
 
 
 def mean_voices(turns: DataFrame, keys: list[str], weight: str = "ms", vector: str = "embedding", shortest: int = SHORT_TURN_MS) -> DataFrame:

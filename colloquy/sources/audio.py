@@ -115,6 +115,26 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     ).where("recording_id <> ''")
 
 
+def received(files: DataFrame, recordings: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Segments that came in, as rows to upsert, and the live jobs to enqueue for them.
+
+    ``files`` has recording_id, seq, storage_key, content.  Only recordings that
+    are there count; one that is still uploading gets a live job for each segment.
+    """
+    own = files.join(recordings.select("recording_id", "status"), "recording_id")
+    rows = own.select("recording_id", "seq", "storage_key", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), now.alias("uploaded_at"))
+    jobs = own.where("status = 'uploading'").select("recording_id", F.lit("transcribe_segment").alias("kind"), F.lit(0).alias("priority"), F.to_json(F.struct("seq")).alias("payload"))
+    return rows, jobs
+
+
+def joined_samples(segments: DataFrame, sample_rate: int = 16_000, sample_bytes: int = 2) -> DataFrame:
+    """``recording_id, content, duration_ms``: raw samples of a recording's segments laid end to end by ``seq``, and how long they last."""
+    parts = F.sort_array(F.collect_list(F.struct("seq", F.hex("content").alias("x"))))
+    whole = segments.groupBy("recording_id").agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["x"]), "")).alias("content"))
+    n = F.floor(F.octet_length("content") / sample_bytes)
+    return whole.withColumn("duration_ms", F.floor(n * 1000 / sample_rate))
+
+
 def joined_audio(segments: DataFrame) -> DataFrame:
     """``recording_id, duration_ms, n_segments``: segments that are WAV, laid end to end in order of ``seq``."""
     info = wav_info(segments.select(F.concat_ws("/", "recording_id", F.lpad(F.col("seq").cast("string"), 6, "0")).alias("path"), "content"))

@@ -44,6 +44,13 @@ def put_document(table: DataFrame, keys: list[str], rows: DataFrame, column: str
     return table.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
+def required_document(wanted: DataFrame, table: DataFrame, keys: list[str], column: str, kind: str) -> DataFrame:
+    """``keys, column`` of the wanted keys, parsed as ``kind``; one that is not stored is an error."""
+    rows = wanted.select(*keys).join(table.select(*keys, column), keys, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {column} for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    return rows.select(*keys, F.when(F.col(column).isNull(), missing).otherwise(F.from_json(column, kind)).alias(column))
+
+
 def documents(table: DataFrame, column: str, kind: str, default: str | None = None) -> DataFrame:
     """``table`` with the JSON column parsed as ``kind``; what cannot be read is ``default`` (JSON) or null."""
     parsed = F.from_json(column, kind, {"mode": "PERMISSIVE"})

@@ -72,31 +72,42 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
 
 
-def lease_state(beats: DataFrame, lease_s: int) -> DataFrame:
+def lease_state(beats: DataFrame, lease_s: int, on_clock: bool = False) -> DataFrame:
     """``job_id, worker, state``: leases from heartbeats (job_id, worker, at), a row whenever one changes.
 
     ``held`` at a first heartbeat, ``moved`` when another worker beats, and
-    ``lost`` when a beat comes more than ``lease_s`` after the one before.
+    ``lost`` when a beat comes more than ``lease_s`` after the one before, or with
+    ``on_clock`` when none comes for so long (such a stream has no end, so not for
+    one that stops when all has been read).  Beats of a micro-batch count in order
+    of their time; one older than the last changes nothing.
     """
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         worker, at = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], worker, "lost")], columns=["job_id", "worker", "state"])
+            return
         out = []
-        for frame in frames:
-            for who, when in zip(frame["worker"], frame["at"], strict=True):
-                when_s = when.timestamp()
-                if worker is None:
-                    out.append((key[0], who, "held"))
-                elif when_s - at > lease_s:
-                    out.append((key[0], worker, "lost"))
-                    out.append((key[0], who, "held"))
-                elif who != worker:
-                    out.append((key[0], who, "moved"))
-                worker, at = who, max(when_s, at or when_s)
+        # a job's beats of one micro-batch
+        beats_now = pd.concat(list(frames), ignore_index=True).sort_values(["at", "worker"])
+        for who, when in zip(beats_now["worker"], beats_now["at"], strict=True):
+            when_s = when.timestamp()
+            if worker is None:
+                out.append((key[0], who, "held"))
+            elif when_s - at > lease_s:
+                out.append((key[0], worker, "lost"))
+                out.append((key[0], who, "held"))
+            elif who != worker and when_s >= at:
+                out.append((key[0], who, "moved"))
+            if at is None or when_s >= at:
+                worker, at = who, when_s
         state.update((worker, at))
+        if on_clock:
+            state.setTimeoutDuration(lease_s * 1000)
         yield pd.DataFrame(out, columns=["job_id", "worker", "state"])
 
-    return beats.groupBy("job_id").applyInPandasWithState(watch, "job_id bigint, worker string, state string", "worker string, at double", "append", GroupStateTimeout.NoTimeout)
+    return beats.groupBy("job_id").applyInPandasWithState(watch, "job_id bigint, worker string, state string", "worker string, at double", "append", GroupStateTimeout.ProcessingTimeTimeout if on_clock else GroupStateTimeout.NoTimeout)
 
 
 def wake_ups(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:

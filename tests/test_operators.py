@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import english, text as X
-from colloquy.functions.json import first_object, summary_fields
+from colloquy.functions.json import first_block, summary_fields
 from colloquy.functions.vector import cosine, hash_embed, normalised
 from colloquy.operators import joins, library, prompts, queue, rows, schedule, search, speakers, windows
 from colloquy.sources import audio, schemas
@@ -71,8 +71,8 @@ def test_texts(spark):
     "text,want",
     [('{"title": "A"}', '{"title": "A"}'), ('so: {"a": {"b": 1}} ok', '{"a": {"b": 1}}'), ('{"a": "}{\\""} x', '{"a": "}{\\""}'), ("none", None), ("{open", None), (None, None)],
 )
-def test_first_object(text, want):
-    assert first_object(text) == want
+def test_first_block(text, want):
+    assert first_block(text) == want
 
 
 def test_summary_fields():
