@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rated documents per grade that the fit uses at most.
-FIT_ROWS = 1500
+FIT_ROWS = 1000
 STEPS = 300
 L2 = 1e-4
 #: Squared standard errors at which a feature is trusted by half.
@@ -226,7 +226,10 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, fit_rows: int
     ends = where.offsets.to_numpy() - where.offsets[0].as_py()
     where, value = where.flatten().to_numpy().astype(np.uint32), value.flatten().to_numpy()
     rows = [(where[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return fit(rows, sample["grade"].to_numpy().astype(np.int64), n_grades)
+    grades = sample["grade"].to_numpy().astype(np.int64)
+    del sample
+    pa.default_memory_pool().release_unused()
+    return fit(rows, grades, n_grades)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, min_tail: float = MIN_TAIL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
