@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, url_reputation
+from . import chat_format, exact_dedup, license_scan, url_reputation
 from .ann import op5_cross_polytope_ann
 from .chat_format import op2_chat_format
 from .exact_dedup import op6_exact_dedup
+from .license_scan import op12_license_scan
 from .mixing import op10_source_mix
 from .packing import op4_best_fit_packing
 from .quality import op7_ordinal_quality
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
     "op10_source_mix": op10_source_mix,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_reputation": url_reputation.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op12_license_scan": license_scan.ORACLE,
 }
