@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, license_scan, url_reputation
+from . import chat_format, exact_dedup, license_scan, prefix_trie, url_reputation
 from .ann import op5_cross_polytope_ann
 from .chat_format import op2_chat_format
 from .exact_dedup import op6_exact_dedup
 from .license_scan import op12_license_scan
 from .mixing import op10_source_mix
 from .packing import op4_best_fit_packing
+from .prefix_trie import op13_prefix_trie
 from .quality import op7_ordinal_quality
 from .simhash import op3_simhash_near_dedup
 from .suffix_lm import op9_suffix_tree_scoring
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
     "op10_source_mix": op10_source_mix,
     "op12_license_scan": op12_license_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op12_license_scan": license_scan.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }

@@ -39,13 +39,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, bloom: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it as read back.
 
-    ``bloom`` names a column that gets a Parquet Bloom filter in every file.
+    ``bloom`` names a column that gets a Parquet Bloom filter in every file;
+    ``path`` is a folder below one of :func:`new_path`, for a table in parts.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     writer = df.write
     if bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
