@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, license_scan, prefix_trie, url_reputation
+from . import chat_format, exact_dedup, license_scan, prefix_trie, url_reputation, vector_codes
 from .ann import op5_cross_polytope_ann
 from .chat_format import op2_chat_format
 from .exact_dedup import op6_exact_dedup
@@ -19,6 +19,7 @@ from .simhash import op3_simhash_near_dedup
 from .suffix_lm import op9_suffix_tree_scoring
 from .token_count import op8_token_counts
 from .url_reputation import op1_url_reputation
+from .vector_codes import op11_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
     "op10_source_mix": op10_source_mix,
+    "op11_vector_codes": op11_vector_codes,
     "op12_license_scan": op12_license_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -39,6 +41,7 @@ ORACLES: dict[str, str] = {
     "op1_url_reputation": url_reputation.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
     "op12_license_scan": license_scan.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
