@@ -56,24 +56,24 @@ def _bit(digest: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(bits))
 
 
-def parted(rows: DataFrame, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
-    """The rows whose ``digest`` may be among those of ``keys``, and those whose digest is not.
+def parted(rows: DataFrame, keys: DataFrame, n_keys: int, key: str = "digest") -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be among those of ``keys``, and those whose key is not.
 
     A filter of at most FILTER_BITS tells them apart; nothing is shuffled.
     """
     bits = min(FILTER_BITS, max(_BLOCK, 1 << (16 * max(n_keys, 1)).bit_length()))
-    bit = _bit(F.col("digest"), bits)
+    bit = _bit(F.col(key), bits)
     blocks = keys.groupBy(F.floor(bit / _BLOCK).alias("_block")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_BLOCK))).alias("_bitmap"))
-    joined = rows.join(F.broadcast(blocks), F.floor(_bit(rows["digest"], bits) / _BLOCK) == blocks["_block"], "left")
-    at = F.pmod(_bit(rows["digest"], bits), F.lit(_BLOCK))
+    joined = rows.join(F.broadcast(blocks), F.floor(_bit(rows[key], bits) / _BLOCK) == blocks["_block"], "left")
+    at = F.pmod(_bit(rows[key], bits), F.lit(_BLOCK))
     byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     among = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0, F.lit(False))
     return joined.where(among).select(rows.columns), joined.where(~among).select(rows.columns)
 
 
-def may_hold(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
-    """The rows whose ``digest`` may be among those of ``keys``."""
-    return parted(rows, keys, n_keys)[0]
+def may_hold(rows: DataFrame, keys: DataFrame, n_keys: int, key: str = "digest") -> DataFrame:
+    """The rows whose ``key`` may be among those of ``keys``."""
+    return parted(rows, keys, n_keys, key)[0]
 
 
 def exact_duplicates(docs: DataFrame, digest=sha256_digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,48 +1,64 @@
-"""Near duplicates by shingle similarity, with SimHash as the filter.
+"""Near duplicates by shingle similarity: SimHash, then an exact set-similarity join.
 
 Texts are linked if the Jaccard similarity of their sets of word shingles is
-``similarity`` or more.  Candidates are pairs of fingerprints at ``radius`` or
-fewer bits.  So wide a ball cannot be pruned by Hamming distance, which for
-unrelated texts is 32 bits and 4 more or less; but sets of such a similarity
-differ in size by that factor at most, which is a distance too: of the logarithms
-of the sizes, from the vantage point of the empty set.  Shards are bands of that
-distance, each searched with itself and the band before, so that no pair across a
-border is missed; large bands are cut into blocks, and every pair of blocks is a
-task of bounded size.
-
-The similarity of a candidate pair is read from sketches that travel with the
-fingerprints: the smallest hash in each of ``BINS`` classes of a text's shingles.
-For texts of few shingles that is nearly all of them; for long ones the reading
-deviates by 0.035 at similarity 0.8.  Tasks give back a spanning forest of linked
-pairs, never all pairs.
+``similarity`` or more.  Every link reported was verified on the whole sets, and
+no link between different texts is lost from the components:
+
+1. **SimHash.**  The vantage-point tree of :mod:`.simhash` gives the close
+   copies, as a forest of candidates.  It cannot give all: at similarity 0.8
+   fingerprints differ in 9.7 bits on average, a ball that no tree can prune.
+2. **Prefixes.**  Two sets of such a similarity share a shingle among the first
+   ``n - ceil(similarity * n) + 1`` of each, in any order that all texts agree on.
+   Shingles are ordered by their hash, those that many texts hold last, so that a
+   passage of many documents makes no long lists.
+3. **Lists.**  In the list of each shingle all members are candidates with the
+   first one.  What is verified joins components; then only pairs of a list that
+   lie in different components and were not tried are candidates, so a large group
+   of copies costs as many tests as it has members.
+
+Nothing is compared that shares no list, and nothing of a list is left out.
+Shingles are 64-bit hashes, texts are told apart by 128 bits of their SHA-256.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import Forest, components, hashed_shingles, link_within, simhash
+from .exact_dedup import may_hold
+from .simhash import components, simhash
+from .simhash import links as simhash_links
+from .skew import join_groups
 from .store import save
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-#: At similarity 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
-RADIUS = 14
-#: Classes of shingle hashes in a sketch; a class without a hash is EMPTY.
-BINS, EMPTY = 128, np.uint32(0xFFFFFFFF)
-#: Rows that one task compares at most, about.
-TASK_ROWS = 65_536
-#: Pairs whose sketches are compared at once.
-PAIRS = 8192
+#: Bits in which the fingerprints of candidates of the first step differ at most.
+RADIUS = 4
+#: A shingle that so many texts hold is ordered last.
+COMMON = 64
+#: Share of a set, by hash, of which the texts that hold a shingle are counted.
+COUNTED = 0.25
+#: Bits of a bitmap that tasks are given: 8 MB at most.
+MAP_BITS = 1 << 26
+_MAP_BLOCK = 32_768
+#: Members of a list, or partners of a text, that one task gets.
+LOT = 4096
+#: Shingles that are hashed at once.
+_CHUNK = 32_768
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_rng = np.random.default_rng(5)
+_BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
 
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z in lower case, joined by single spaces; null has none."""
@@ -50,110 +66,233 @@ def words_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(lower, "[\\x20\\x09-\\x0D]+", " "))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash of each class, the classes being told by the low bits."""
-    out = np.full(BINS, EMPTY, dtype=np.uint32)
-    np.minimum.at(out, (hashes % np.uint64(BINS)).astype(np.int64), (hashes >> np.uint64(32)).astype(np.uint32))
-    return out
+def words_digest(text: Column) -> Column:
+    """The ``digest`` of a text in :func:`near_duplicates`: 16 bytes."""
+    return F.unhex(F.left(F.sha2(words_of(text).cast("binary"), 256), F.lit(32)))
+
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-def likeness(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The similarity of pairs as their sketches have it: equal classes of those that either has."""
-    out = np.ones(len(i))
-    for at in range(0, len(i), PAIRS):
-        a, b = sketches[i[at : at + PAIRS]], sketches[j[at : at + PAIRS]]
-        either = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
-        out[at : at + PAIRS] = ((a == b) & (a != EMPTY)).sum(axis=1) / np.maximum(either, 1)
-        out[at : at + PAIRS][either == 0] = 1.0
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(joined: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of all shingles of words joined by single spaces, repeats included; no words are one empty shingle.
+
+    The hash is a polynomial in the bytes, mixed, so that all shingles of a stretch
+    of text come from one running sum.
+    """
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.r_[0, spaces + 1], np.r_[spaces, len(joined)]
+    width = min(width, len(starts))
+    first, last = starts[: len(starts) - width + 1], ends[width - 1 :]
+    out = np.empty(len(first), dtype=np.uint64)
+    for at in range(0, len(first), _CHUNK):
+        a, b = first[at : at + _CHUNK], last[at : at + _CHUNK]
+        raw = np.frombuffer(joined, np.uint8, count=int(b[-1] - a[0]), offset=int(a[0]))
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[raw] * _powers(len(raw), _BASE), dtype=np.uint64, out=sums[1:])
+        back = _powers(len(raw) + 1, _INVERSE)[a - a[0]]
+        out[at : at + _CHUNK] = _mixed((sums[b - a[0]] - sums[a - a[0]]) * back)
     return out
 
 
-def _marked(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest, fp, size, sketch`` of every row; ``digest`` (128 bits) stands for the words."""
+def prefix_length(n: int, similarity: float) -> int:
+    """How many first shingles of a set of ``n`` must be looked up."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _each_text(docs: DataFrame, text_col: str, emit: Callable[[bytes, bytes], tuple | None], schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    """One row of ``emit(digest, words)`` for each text, none where that is None."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [hashed_shingles(x, width) for x in batch.column(2).to_pylist()]
-            fps = np.array([simhash(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            sizes = np.array([max(1, len(np.unique(h))) for h in hashes], dtype=np.int64)
-            sketches = pa.array([sketch(h).tobytes() for h in hashes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(sizes), sketches], ["doc_id", "digest", "fp", "size", "sketch"])
+            rows = []
+            for raw in batch.column(0).to_pylist():
+                joined = b" ".join((raw or b"").lower().split())
+                row = emit(hashlib.sha256(joined).digest()[:16], joined)
+                if row is not None:
+                    rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
-    words = words_of(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(words).alias("digest"), words.cast("binary").alias("words"))
-    return rows.mapInArrow(run, "doc_id long, digest string, fp long, size long, sketch binary")
+    return docs.select(F.col(text_col).cast("string").cast("binary").alias("raw")).mapInArrow(run, schema)
 
 
-def words_digest(text: Column) -> Column:
-    """The ``digest`` of a text in :func:`near_duplicates`."""
-    return _digest(words_of(text))
-
-
-def _digest(words: Column) -> Column:
-    return F.concat(F.hex(F.xxhash64(words)), F.hex(F.xxhash64(words, F.lit(1))))
-
-
-def _forest(pdf: pd.DataFrame, window: int, radius: int, similarity: float) -> pd.DataFrame:
-    """Linked pairs of one task that join all that its links join: ``a, b``."""
-    low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-    pdf = pdf.sort_values("node", ignore_index=True)
-    node, fps, size = pdf["node"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["size"].to_numpy(float)
-    sketches = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint32).reshape(len(pdf), BINS)
-    forest = Forest(len(pdf))
-
-    def sink(i: np.ndarray, j: np.ndarray) -> None:
-        apart = (forest.parent[i] != forest.parent[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-        i, j = i[apart], j[apart]
-        like = likeness(sketches, i, j) >= similarity
-        forest.join(i[like], j[like])
-
-    own, block = pdf["band"].to_numpy() == window, pdf["block"].to_numpy()
-    left, right = np.flatnonzero(own & (block == low)), np.flatnonzero(own & (block == high))
-    if low == high:
-        link_within(fps, left, None, radius, sink)
-    else:
-        link_within(fps, left, right, radius, sink)
-    # against the band before, whose blocks are the same numbers
-    before_low, before_high = np.flatnonzero(~own & (block == low)), np.flatnonzero(~own & (block == high))
-    link_within(fps, left, before_high, radius, sink)
-    if low != high:
-        link_within(fps, right, before_low, radius, sink)
-    tied = np.flatnonzero(forest.parent != np.arange(len(pdf)))
-    return pd.DataFrame({"a": node[tied], "b": node[forest.parent[tied]]})
-
-
-def links(nodes: DataFrame, radius: int, similarity: float, task_rows: int = TASK_ROWS) -> DataFrame:
-    """``a, b``: pairs that join all that links join; ``nodes`` has ``node, fp, size, sketch``."""
-    step = -math.log(similarity)
-    own = nodes.withColumn("band", F.floor(F.log("size") / step + 1e-9))
-    # a band for each factor of 1.25 in size
-    sizes = {r["band"]: r["count"] for r in own.groupBy("band").count().collect()}
-    cut = {b: max(1, math.ceil(2 * max(sizes.get(b, 0), sizes.get(b - 1, 0)) / task_rows)) for b in {x + k for x in sizes for k in (0, 1)}}
-    cuts = F.create_map(*[F.lit(int(x)) for pair in cut.items() for x in pair]) if cut else F.create_map(F.lit(0), F.lit(1))
-    spread = own.select("*", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("window")).withColumn("cut", F.element_at(cuts, F.col("window").cast("int")))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), (F.col("cut") - 1).cast("long")), lambda k: F.struct(F.least(F.col("block"), k).alias("low"), F.greatest(F.col("block"), k).alias("high"))))
-    spread = spread.select("window", pair.alias("p"), "block", "band", "node", "fp", "size", "sketch").select("window", "p.low", "p.high", "block", "band", "node", "fp", "size", "sketch")
-    return spread.groupBy("window", "low", "high").applyInPandas(lambda key, pdf: _forest(pdf, int(key[0]), radius, similarity), "a long, b long")
+def _bitmap(bits: DataFrame, n: int) -> tuple[bytes, int]:
+    """A bitmap of the numbers in column ``bit``, of 8 MB at most, and its size in bits; ``n`` is how many there are."""
+    size = min(MAP_BITS, max(_MAP_BLOCK, 1 << (16 * max(n, 1)).bit_length()))
+    bit = F.col("bit").bitwiseAND(F.lit(size - 1))
+    rows = bits.groupBy(F.floor(bit / _MAP_BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_MAP_BLOCK))).alias("bits"))
+    out = bytearray(size // 8)
+    # as many rows as the bitmap has blocks
+    for r in rows.collect():
+        out[r["block"] * _MAP_BLOCK // 8 : (r["block"] + 1) * _MAP_BLOCK // 8] = r["bits"]
+    return bytes(out), size
+
+
+def _digest_bitmap(digests: DataFrame) -> tuple[bytes, int]:
+    n = digests.count()
+    return _bitmap(digests.select(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").alias("bit")), n)
+
+
+def _holds(bitmap: bytes, size: int, digest: bytes) -> bool:
+    bit = int.from_bytes(digest[:4], "big") & (size - 1)
+    return bool(bitmap[bit >> 3] >> (bit & 7) & 1)
+
+
+class Texts:
+    """The distinct word sequences of a table: each is handed to a function once."""
+
+    def __init__(self, docs: DataFrame, text_col: str, nodes: DataFrame):
+        self.docs, self.text_col, self.copies = docs, text_col, None
+        repeated = nodes.where("n > 1").select("digest")
+        self.bitmap, self.size = _digest_bitmap(repeated)
+        if any(self.bitmap):
+            bitmap, size = self.bitmap, self.size
+            rows = _each_text(docs, text_col, lambda d, w: (d, w) if _holds(bitmap, size, d) else None, "digest binary, words binary", [pa.binary(), pa.binary()])
+            # one copy of a text from each task
+            self.copies = save(rows.groupBy("digest").agg(F.min("words").alias("words")), "copies")
+
+    def each(self, emit: Callable[[bytes, bytes], tuple | None], schema: str, kinds: list[pa.DataType]) -> DataFrame:
+        bitmap, size = self.bitmap, self.size
+        if self.copies is None:
+            return _each_text(self.docs, self.text_col, emit, schema, kinds)
+        once = _each_text(self.docs, self.text_col, lambda d, w: None if _holds(bitmap, size, d) else emit(d, w), schema, kinds)
+        return once.unionByName(_each_text(self.copies, "words", emit, schema, kinds))
+
+
+def prefixes(texts: Texts, similarity: float, width: int, common: tuple[bytes, int] | None = None) -> DataFrame:
+    """``digest, size, tokens``: the first shingles of each set; those in the bitmap ``common`` come last."""
+    bits = None if common is None else np.unpackbits(np.frombuffer(common[0], np.uint8), bitorder="little").astype(bool)
+
+    def emit(digest: bytes, joined: bytes) -> tuple:
+        own = np.unique(shingles(joined, width))
+        n = prefix_length(len(own), similarity)
+        if bits is None:
+            n = max(n, math.ceil(len(own) * COUNTED))
+        else:
+            late = bits[own & np.uint64(len(bits) - 1)]
+            if late.any():
+                own = np.concatenate([own[~late], own[late]])
+        return digest, len(own), own[:n].view(np.int64)
+
+    return texts.each(emit, "digest binary, size long, tokens array<long>", [pa.binary(), pa.int64(), pa.list_(pa.int64())])
+
+
+def _sets(texts: Texts, pairs: DataFrame, width: int) -> DataFrame:
+    """``digest, tokens``: the whole sets of all texts in ``pairs``, and of a few others."""
+    bitmap, size = _digest_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+    emit = lambda d, w: (d, np.unique(shingles(w, width)).view(np.int64)) if _holds(bitmap, size, d) else None
+    return save(texts.each(emit, "digest binary, tokens array<long>", [pa.binary(), pa.list_(pa.int64())]), "sets")
+
+
+def verified(texts: Texts, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs ``a, b`` (digests; a saved table) whose sets are so similar.
+
+    The partners of a text are dealt in lots of ``LOT``, each of which gets its set.
+    """
+    sets = _sets(texts, pairs, width)
+    stars = save(pairs.groupBy("a").agg(F.count("*").alias("n")), "stars").withColumn("lots", F.ceil(F.col("n") / LOT))
+    dealt = join_groups(pairs, stars, ["a"], "n").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots"))).select("a", "b", "lot")
+    left = sets.join(stars.select(F.col("a").alias("digest"), "lots"), "digest").select(F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("tokens").alias("x"))
+    both = dealt.join(left, ["a", "lot"]).join(sets.select(F.col("digest").alias("b"), F.col("tokens").alias("y")), "b")
+    sized = both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("n_both"))
+    return save(sized.where(F.col("n_both") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("n_both"))).select("a", "b"), "verified")
+
+
+def _fits(similarity: float, a: str, b: str) -> Column:
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+
+
+def _simhash_candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: a forest of the texts whose fingerprints are close."""
+    firsts = save(nodes.groupBy("fp").agg(F.min("digest").alias("rep"), F.count("*").alias("texts")), "fingerprints")
+    same = join_groups(nodes.select("fp", "digest"), firsts, ["fp"], "texts").where("digest <> rep").select(F.col("rep").alias("a"), F.col("digest").alias("b"))
+    near = simhash_links(firsts.select("fp"), radius)
+    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
+    return same.unionByName(near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+
+
+def _roots(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``digest, comp`` of every text: the number of its component."""
+    ids = nodes.select("digest", "node")
+    edges = links.join(ids.withColumnsRenamed({"digest": "a", "node": "u"}), "a").join(ids.withColumnsRenamed({"digest": "b", "node": "v"}), "b")
+    roots = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return ids.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("comp"))
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of a list that lie in different components; ``members`` (saved) has token, digest, size, comp.
+
+    One of such a pair lies outside of the list's largest component, so only those
+    texts meet the others.
+    """
+    counts = members.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    lists = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1 AND n > 2")
+    lists = save(lists.select("token", F.col("most.comp").alias("major"), "n", F.ceil(F.col("n") / LOT).alias("lots")), "lists")
+    rows = save(join_groups(may_hold(members, lists, lists.count(), "token"), lists, ["token"], "n"), "open")
+    every = rows.withColumn("lot", F.pmod(F.xxhash64("digest"), F.col("lots"))).select("token", "lot", F.col("digest").alias("y"), F.col("size").alias("size_y"), F.col("comp").alias("comp_y"))
+    minor = rows.where("comp <> major").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("digest").alias("x"), F.col("size").alias("size_x"), F.col("comp").alias("comp_x"))
+    return minor.join(every, ["token", "lot"]).where("comp_x <> comp_y").where(_fits(similarity, "size_x", "size_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, digest, component_id``.
 
-    Documents are linked if their shingle sets have a Jaccard similarity of
-    ``similarity`` or more, as their sketches have it, and their fingerprints
-    differ in ``radius`` bits or fewer; ``component_id`` is the smallest doc_id
-    reachable over links.  Of pairs at 0.8 the radius lets 9 of 10 through, of
-    those at 0.85 nearly all.
+    Documents are linked if their sets of shingles have a Jaccard similarity of
+    ``similarity`` or more; ``component_id`` is the smallest doc_id reachable over
+    links.  ``radius`` is that of the SimHash candidates; it changes the work, not
+    the result.
 
-    Null and empty texts have no words and are linked with each other.  Rows with
-    a null doc_id link others but are never the smallest id; a component of such
-    rows alone has a null component_id.  Repeated rows are returned as often as
-    they come.  Other columns are not read.  An empty table gives an empty result.
+    Null and empty texts have no words and are one text.  Rows with a null doc_id
+    link others but are never the smallest id; a component of such rows alone has a
+    null component_id.  Repeated rows are returned as often as they come.  Other
+    columns are not read.  An empty table gives an empty result.
     """
-    marked = save(_marked(docs, shingle_words, id_col, text_col), "marked")
-    nodes = save(marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(links(nodes.select("node", "fp", "size", "sketch"), radius, similarity))
-    members = nodes.select("digest", "node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = members.join(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("digest", "component_id")
-    return marked.join(ids, "digest").select("doc_id", "digest", "component_id")
+    width = shingle_words
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, fps = [], []
+            for raw in batch.column(1).to_pylist():
+                joined = b" ".join((raw or b"").lower().split())
+                digests.append(hashlib.sha256(joined).digest()[:16])
+                fps.append(simhash(shingles(joined, width)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "digest", "fp"])
+
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).mapInArrow(marks, "doc_id long, digest binary, fp long")
+    marked = save(marked, "marked")
+    nodes = save(marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = Texts(docs, text_col, nodes)
+
+    counted = prefixes(texts, similarity, width).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    counted = save(counted.select(F.col("token").alias("bit")), "common")
+    common = _bitmap(counted, counted.count())
+    entries = save(prefixes(texts, similarity, width, common).select(F.explode("tokens").alias("token"), "digest", "size"), "entries")
+    several = save(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
+    members = save(may_hold(entries, several, several.count(), "token"), "members")
+    lists = save(members.groupBy("token").agg(F.min(F.struct("digest", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "lists")
+    stars = join_groups(members, lists, ["token"], "n").where(F.col("digest") != F.col("lead.digest")).where(_fits(similarity, "size", "lead.size"))
+    stars = stars.select(F.col("lead.digest").alias("a"), F.col("digest").alias("b"))
+    unordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tried = save(stars.unionByName(_simhash_candidates(nodes, radius)).select(unordered).distinct(), "tried")
+    first = verified(texts, tried, similarity, width)
+
+    placed = save(members.join(_roots(first, nodes), "digest"), "placed")
+    rest = save(_across(placed, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
+    links = first
+    if not rest.isEmpty():
+        links = first.unionByName(verified(texts, rest, similarity, width))
+    # a component's smallest id, by text
+    placed = save(nodes.join(_roots(links, nodes), "digest").select("digest", "first_id", "comp", "n"), "placed")
+    classes = save(placed.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("texts")), "classes")
+    ids = save(join_groups(placed.select("digest", "n", "comp"), classes, ["comp"], "texts").select("digest", "component_id", "n"), "ids")
+    return join_groups(marked, ids, ["digest"], "n").select("doc_id", "digest", "component_id")
