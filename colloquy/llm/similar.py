@@ -35,7 +35,7 @@ from .exact_dedup import may_hold
 from .simhash import components, simhash
 from .simhash import links as simhash_links
 from .skew import join_groups
-from .store import save
+from .store import drop, save
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
@@ -170,21 +170,21 @@ class Texts:
 
 
 def prefixes(texts: Texts, similarity: float, width: int, common: tuple[bytes, int] | None = None) -> DataFrame:
-    """``digest, size, tokens``: the first shingles of each set; those in the bitmap ``common`` come last."""
+    """``digest, size, tokens, edge``: the first shingles of each set and where in the order they end; those in the bitmap ``common`` come last."""
     bits = None if common is None else np.unpackbits(np.frombuffer(common[0], np.uint8), bitorder="little").astype(bool)
 
     def emit(digest: bytes, joined: bytes) -> tuple:
         own = np.unique(shingles(joined, width))
-        n = prefix_length(len(own), similarity)
+        n, late = prefix_length(len(own), similarity), 0
         if bits is None:
             n = max(n, math.ceil(len(own) * COUNTED))
         else:
-            late = bits[own & np.uint64(len(bits) - 1)]
-            if late.any():
-                own = np.concatenate([own[~late], own[late]])
-        return digest, len(own), own[:n].view(np.int64)
+            shared = bits[own & np.uint64(len(bits) - 1)]
+            late = int(len(own) - shared.sum() < n)
+            own = np.concatenate([own[~shared], own[shared]])
+        return digest, len(own), own[:n].view(np.int64), (late << 62) + int(own[n - 1] >> np.uint64(2))
 
-    return texts.each(emit, "digest binary, size long, tokens array<long>", [pa.binary(), pa.int64(), pa.list_(pa.int64())])
+    return texts.each(emit, "digest binary, size long, tokens array<long>, edge long", [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()])
 
 
 def _sets(texts: Texts, pairs: DataFrame, width: int) -> DataFrame:
@@ -194,18 +194,44 @@ def _sets(texts: Texts, pairs: DataFrame, width: int) -> DataFrame:
     return save(texts.each(emit, "digest binary, tokens array<long>", [pa.binary(), pa.list_(pa.int64())]), "sets")
 
 
-def verified(texts: Texts, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs ``a, b`` (digests; a saved table) whose sets are so similar.
+def _paired(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """``pairs`` (a, b; a saved table) with the columns of ``sides`` for both, as structs ``x`` and ``y``.
 
-    The partners of a text are dealt in lots of ``LOT``, each of which gets its set.
+    The partners of a text are dealt in lots of ``LOT``, each of which gets its side.
     """
-    sets = _sets(texts, pairs, width)
-    stars = save(pairs.groupBy("a").agg(F.count("*").alias("n")), "stars").withColumn("lots", F.ceil(F.col("n") / LOT))
+    stars = save(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("lots", F.ceil(F.col("n") / LOT)), "stars")
     dealt = join_groups(pairs, stars, ["a"], "n").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots"))).select("a", "b", "lot")
-    left = sets.join(stars.select(F.col("a").alias("digest"), "lots"), "digest").select(F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("tokens").alias("x"))
-    both = dealt.join(left, ["a", "lot"]).join(sets.select(F.col("digest").alias("b"), F.col("tokens").alias("y")), "b")
-    sized = both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("n_both"))
-    return save(sized.where(F.col("n_both") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("n_both"))).select("a", "b"), "verified")
+    side = sides.select("digest", F.struct(*[c for c in sides.columns if c != "digest"]).alias("side"))
+    left = side.join(stars.select(F.col("a").alias("digest"), "lots"), "digest").select(F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("side").alias("x"))
+    return dealt.join(left, ["a", "lot"]).join(side.select(F.col("digest").alias("b"), F.col("side").alias("y")), "b")
+
+
+def possible(pairs: DataFrame, prefixed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may be so similar by what their prefixes have in common.
+
+    What two sets share up to the end of the prefix that ends first lies in both
+    prefixes; of the rest they share no more than what that set has left.  Prefixes
+    are compared by 32 bits of their shingles, which can only add to what they share.
+    """
+    short = prefixed.select("digest", "size", "edge", F.transform("tokens", lambda t: F.shiftright(F.shiftleft(t, 32), 32)).cast("array<int>").alias("tokens"))
+    both = _paired(pairs, short)
+    left = {k: F.col(f"{k}.size") - F.size(f"{k}.tokens") for k in "xy"}
+    rest = F.when(F.col("x.edge") < F.col("y.edge"), left["x"]).when(F.col("x.edge") > F.col("y.edge"), left["y"]).otherwise(F.greatest(left["x"], left["y"]))
+    # repeats of a 32-bit value count, so nothing is missed
+    most = F.size("x.tokens") - F.size(F.array_except("x.tokens", "y.tokens")) + rest
+    sized = both.select("a", "b", (F.col("x.size") + F.col("y.size")).alias("n"), most.alias("most"))
+    return save(sized.where(F.col("most") * (1 + similarity) >= F.lit(similarity) * F.col("n") - F.lit(1e-6)).select("a", "b"), "possible")
+
+
+def verified(texts: Texts, pairs: DataFrame, prefixed: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs ``a, b`` (digests; a saved table) whose whole sets are so similar."""
+    near = possible(pairs, prefixed, similarity)
+    sets = _sets(texts, near, width)
+    sized = _paired(near, sets).select("a", "b", F.size("x.tokens").alias("n_a"), F.size("y.tokens").alias("n_b"), F.size(F.array_intersect("x.tokens", "y.tokens")).alias("n_both"))
+    links = save(sized.where(F.col("n_both") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("n_both"))).select("a", "b"), "verified")
+    drop(near)
+    drop(sets)
+    return links
 
 
 def _fits(similarity: float, a: str, b: str) -> Column:
@@ -275,22 +301,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle_wor
 
     counted = prefixes(texts, similarity, width).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     counted = save(counted.select(F.col("token").alias("bit")), "common")
-    common = _bitmap(counted, counted.count())
-    entries = save(prefixes(texts, similarity, width, common).select(F.explode("tokens").alias("token"), "digest", "size"), "entries")
+    prefixed = save(prefixes(texts, similarity, width, _bitmap(counted, counted.count())), "prefixes")
+    entries = prefixed.select(F.explode("tokens").alias("token"), "digest", "size")
     several = save(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
     members = save(may_hold(entries, several, several.count(), "token"), "members")
+    drop(several)
     lists = save(members.groupBy("token").agg(F.min(F.struct("digest", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "lists")
     stars = join_groups(members, lists, ["token"], "n").where(F.col("digest") != F.col("lead.digest")).where(_fits(similarity, "size", "lead.size"))
     stars = stars.select(F.col("lead.digest").alias("a"), F.col("digest").alias("b"))
     unordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tried = save(stars.unionByName(_simhash_candidates(nodes, radius)).select(unordered).distinct(), "tried")
-    first = verified(texts, tried, similarity, width)
+    first = verified(texts, tried, prefixed, similarity, width)
 
     placed = save(members.join(_roots(first, nodes), "digest"), "placed")
+    drop(members)
     rest = save(_across(placed, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
     links = first
     if not rest.isEmpty():
-        links = first.unionByName(verified(texts, rest, similarity, width))
+        links = first.unionByName(verified(texts, rest, prefixed, similarity, width))
     # a component's smallest id, by text
     placed = save(nodes.join(_roots(links, nodes), "digest").select("digest", "first_id", "comp", "n"), "placed")
     classes = save(placed.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("texts")), "classes")
