@@ -50,6 +50,8 @@ MAP_BITS = 1 << 26
 _MAP_BLOCK = 32_768
 #: Members of a list, or partners of a text, that one task gets.
 LOT = 4096
+#: Bytes of text whose rows are handed on at once, about.
+BATCH_BYTES = 1 << 21
 #: Shingles that are hashed at once.
 _CHUNK = 32_768
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -114,18 +116,27 @@ def _each_text(docs: DataFrame, text_col: str, emit: Callable[[bytes, bytes], tu
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw in batch.column(0).to_pylist():
-                joined = b" ".join((raw or b"").lower().split())
+        for raws in batches:
+            rows, held = [], 0
+            # text by text, and handed on in small batches: a batch of texts may be large
+            for raw in raws.column(0):
+                joined = b" ".join((raw.as_py() or b"").lower().split())
                 row = emit(hashlib.sha256(joined).digest()[:16], joined)
                 if row is not None:
                     rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+                    held += len(joined)
+                if held > BATCH_BYTES:
+                    yield _batch(rows, names, kinds)
+                    rows, held = [], 0
+            yield _batch(rows, names, kinds)
 
     return docs.select(F.col(text_col).cast("string").cast("binary").alias("raw")).mapInArrow(run, schema)
 
 
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+
+
 def _bitmap(bits: DataFrame, n: int) -> tuple[bytes, int]:
     """A bitmap of the numbers in column ``bit``, of 8 MB at most, and its size in bits; ``n`` is how many there are."""
     size = min(MAP_BITS, max(_MAP_BLOCK, 1 << (16 * max(n, 1)).bit_length()))
@@ -171,15 +182,14 @@ class Texts:
 
 def prefixes(texts: Texts, similarity: float, width: int, common: tuple[bytes, int] | None = None) -> DataFrame:
     """``digest, size, tokens, edge``: the first shingles of each set and where in the order they end; those in the bitmap ``common`` come last."""
-    bits = None if common is None else np.unpackbits(np.frombuffer(common[0], np.uint8), bitorder="little").astype(bool)
-
     def emit(digest: bytes, joined: bytes) -> tuple:
         own = np.unique(shingles(joined, width))
         n, late = prefix_length(len(own), similarity), 0
-        if bits is None:
+        if common is None:
             n = max(n, math.ceil(len(own) * COUNTED))
         else:
-            shared = bits[own & np.uint64(len(bits) - 1)]
+            bit = (own & np.uint64(common[1] - 1)).astype(np.int64)
+            shared = (np.frombuffer(common[0], np.uint8)[bit >> 3] >> (bit & 7)) & 1 == 1
             late = int(len(own) - shared.sum() < n)
             own = np.concatenate([own[~shared], own[shared]])
         return digest, len(own), own[:n].view(np.int64), (late << 62) + int(own[n - 1] >> np.uint64(2))
@@ -288,8 +298,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle_wor
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, fps = [], []
-            for raw in batch.column(1).to_pylist():
-                joined = b" ".join((raw or b"").lower().split())
+            for raw in batch.column(1):
+                joined = b" ".join((raw.as_py() or b"").lower().split())
                 digests.append(hashlib.sha256(joined).digest()[:16])
                 fps.append(simhash(shingles(joined, width)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "digest", "fp"])
