@@ -1,4 +1,4 @@
-"""English analysis for keyword search: stop words out, the rest stemmed (Porter, 1980)."""
+"""English analysis for keyword search: stop words out, the rest stemmed."""
 
 from __future__ import annotations
 
@@ -17,69 +17,96 @@ STOP_WORDS = frozenset(
     for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why
     how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
 )
-# Suffixes and what takes their place, longest first within a step.
-STEP_2 = [("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("ator", "ate"), ("eli", "e")]
-STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")]
-STEP_4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic", "ou"]
-
-
-def _shape(stem: str) -> str:
-    """Runs of consonants and vowels as C and V; y after a consonant is a vowel."""
-    out = ""
-    for i, c in enumerate(stem):
-        kind = "V" if c in "aeiou" or (c == "y" and i and out[-1:] == "C") else "C"
-        out += kind
-    return re.sub(r"C+", "C", re.sub(r"V+", "V", out))
-
-
-def _measure(stem: str) -> int:
-    return _shape(stem).count("VC")
-
-
-def _closed(stem: str) -> bool:
-    """Ends consonant, vowel, consonant, the last not w, x or y."""
-    return len(stem) > 2 and _shape(stem[-3:]).endswith("CVC") and stem[-1] not in "wxy"
+# Words with a stem of their own, and words that are done after the plural is gone.
+WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"} | {w: w for w in "sky news howe atlas cosmos bias andes".split()}
+SINGULAR = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+# Beginnings after which the first region starts, doubled letters, and letters before a removable -li.
+REGION_AFTER = ("gener", "commun", "arsen")
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+BEFORE_LI = "cdeghkmnrt"
+# Suffixes of the second step and what takes their place in the first region.
+STEP_2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al",
+    "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+# The same of the third step; -ative goes in the second region only.
+STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+# Suffixes that the fourth step removes in the second region.
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+
+_REGION = re.compile("[aeiouy][^aeiouy]")
+_SHORT = re.compile("(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+_VOWEL = re.compile("[aeiouy]")
+
+
+def _longest(word: str, suffixes) -> str | None:
+    return max((x for x in suffixes if word.endswith(x)), key=len, default=None)
+
+
+def _after(word: str, start: int) -> int:
+    """Where a region starts: after the first vowel and what is no vowel behind it."""
+    found = _REGION.search(word, start)
+    return found.end() if found else len(word)
+
+
+def _past(word: str, r1: int) -> str:
+    """Without -ed, -ing and their adverbs."""
+    end = _longest(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if end is None:
+        return word
+    base = word[: -len(end)]
+    if end.startswith("ee"):
+        return base + "ee" if len(base) >= r1 else word
+    if not _VOWEL.search(base):
+        return word
+    if base.endswith(("at", "bl", "iz")):
+        return base + "e"
+    if base.endswith(DOUBLES):
+        return base[:-1]
+    return base + "e" if len(base) <= r1 and _SHORT.search(base) else base
 
 
 @lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
-    w = word
-    if len(w) < 3 or not w.isascii():
+    """The stem of a lower-case word by the later English algorithm (regions R1 and R2); others stay as they are."""
+    w = word.removeprefix("'")
+    if len(word) < 3 or not word.isascii():
+        return word
+    if w in WHOLE:
+        return WHOLE[w]
+    # y is no vowel at the beginning and behind a vowel
+    w = re.sub("^y|(?<=[aeiouy])y", "Y", w)
+    head = next((x for x in REGION_AFTER if w.startswith(x)), None)
+    r1 = len(head) if head else _after(w, 0)
+    r2 = _after(w, r1)
+    end = _longest(w, ("'", "'s", "'s'"))
+    w = w[: -len(end)] if end else w
+    end = _longest(w, ("sses", "ied", "ies", "us", "ss", "s"))
+    if end == "sses":
+        w = w[:-2]
+    elif end in ("ied", "ies"):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif end == "s" and _VOWEL.search(w[:-2]):
+        w = w[:-1]
+    if w in SINGULAR:
         return w
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: -len(end)] + new
-            break
-    cut = None
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) else w
-    elif w.endswith("ed") and "V" in _shape(w[:-2]):
-        cut = w[:-2]
-    elif w.endswith("ing") and "V" in _shape(w[:-3]):
-        cut = w[:-3]
-    if cut is not None:
-        if cut.endswith(("at", "bl", "iz")):
-            w = cut + "e"
-        elif len(cut) > 1 and cut[-1] == cut[-2] and cut[-1] not in "aeioulsz":
-            w = cut[:-1]
-        else:
-            w = cut + "e" if _measure(cut) == 1 and _closed(cut) else cut
-    if w.endswith("y") and "V" in _shape(w[:-1]):
+    w = _past(w, r1)
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
         w = w[:-1] + "i"
-    for table in (STEP_2, STEP_3):
-        for end, new in table:
-            if w.endswith(end):
-                w = w[: -len(end)] + new if _measure(w[: -len(end)]) else w
-                break
-    for end in STEP_4:
-        if w.endswith(end):
-            base = w[: -len(end)]
-            if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
-                w = base
-            break
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _closed(w[:-1]))):
+    end = _longest(w, STEP_2)
+    if end and len(w) - len(end) >= r1 and (end != "ogi" or w[:-3].endswith("l")) and (end != "li" or w[:-2][-1:] in BEFORE_LI and w[:-2]):
+        w = w[: -len(end)] + STEP_2[end]
+    end = _longest(w, STEP_3)
+    if end and len(w) - len(end) >= (r2 if end == "ative" else r1):
+        w = w[: -len(end)] + STEP_3[end]
+    end = _longest(w, STEP_4)
+    if end and len(w) - len(end) >= r2 and (end != "ion" or w[:-3].endswith(("s", "t"))):
+        w = w[: -len(end)]
+    if w.endswith("e") and (len(w) > r2 or (len(w) > r1 and not _SHORT.search(w[:-1]))):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) > r2:
         w = w[:-1]
-    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+    return w.replace("Y", "y")
 
 
 def stemmed(text: str) -> list[str]:

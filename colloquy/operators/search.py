@@ -82,6 +82,11 @@ def keyword_scores(rows: DataFrame, query: str, analyzer: Callable[[Column], Col
     for term in terms:
         has_all &= F.array_contains("tokens", term)
     hits = tokens.where(has_all).select("chunk_id", F.posexplode("tokens").alias("pos", "term")).where(F.col("term").isin(terms))
+    return cover_density(hits, terms)
+
+
+def cover_density(hits: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """``chunk_id, score`` from the places (chunk_id, term, pos) of all terms in chunks that hold each of them."""
     along = W.partitionBy("chunk_id").orderBy("pos")
     hits = hits.withColumn("nth", F.row_number().over(along))
     upto = along.rowsBetween(W.unboundedPreceding, 0)
@@ -115,7 +120,8 @@ def fused(arms: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.sum(1.0 / (k + F.col("rnk")).cast("double")).alias("score"))
 
 
-def _widened(scores: DataFrame, scope: Scope, limit: int) -> DataFrame:
+def widened(scores: DataFrame, scope: Scope, limit: int) -> DataFrame:
+    """The best ``limit`` of ``scores`` with their recording, title and times."""
     top = scores.orderBy(F.desc("score"), "chunk_id").limit(limit)
     # at most `limit` rows, twice
     hits = scope.chunks.select("chunk_id", "recording_id", "start_ms", "end_ms").join(F.broadcast(top), "chunk_id")
@@ -124,16 +130,20 @@ def _widened(scores: DataFrame, scope: Scope, limit: int) -> DataFrame:
 
 
 def keyword_search(scope: Scope, query: str, limit: int | None = None, **options) -> DataFrame:
-    return _widened(keyword_scores(scope.chunks, query, **options), scope, clamped(limit, 20, 200))
+    return widened(keyword_scores(scope.chunks, query, **options), scope, clamped(limit, 20, 200))
 
 
 def semantic_search(scope: Scope, vector: list[float], limit: int | None = None) -> DataFrame:
     """Ranked by the similarity itself; only what is returned is rounded."""
-    return _widened(semantic_scores(scope.chunks, vector), scope, clamped(limit, 20, 200))
+    return widened(semantic_scores(scope.chunks, vector), scope, clamped(limit, 20, 200))
 
 
 def hybrid_search(scope: Scope, query: str, vector: list[float], limit: int | None = None, **options) -> DataFrame:
     """Both arms' best ``4 * limit`` (limit: 20, at most 200), fused."""
+    return fused_search(scope, keyword_scores(scope.chunks, query, **options), semantic_scores(scope.chunks, vector), limit)
+
+
+def fused_search(scope: Scope, keyword: DataFrame, semantic: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hybrid search from the scores (chunk_id, score) of two arms, which have passed the scope's filters."""
     limit = clamped(limit, 20, 200)
-    n = POOL * limit
-    return _widened(fused([ranked(keyword_scores(scope.chunks, query, **options), n), ranked(semantic_scores(scope.chunks, vector), n)]), scope, limit)
+    return widened(fused([ranked(keyword, POOL * limit), ranked(semantic, POOL * limit)]), scope, limit)

@@ -18,13 +18,13 @@ VIEWS: dict[str, str] = {
     "segments_v": """SELECT l_orderkey AS recording_id, l_linenumber AS seq, CAST(floor(l_quantity) AS BIGINT) * 1000 AS duration_ms, l_shipdate AS uploaded_at,
         CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS transcribed_at, l_partkey AS part, l_suppkey AS supp, l_extendedprice AS price FROM lineitem""",
     "speakers_v": """SELECT s.s_suppkey AS speaker_id, s.s_name AS display_name, CASE WHEN s.s_suppkey % 9 = 0 THEN NULL ELSE e.embedding END AS embedding
-        FROM supplier s LEFT JOIN embeddings e ON e.vec_id = s.s_suppkey % 500""",
+        FROM (SELECT *, s_suppkey % (SELECT count(*) FROM embeddings) AS vec FROM supplier) s LEFT JOIN embeddings e ON e.vec_id = s.vec""",
     "recording_speakers_v": """SELECT l_orderkey AS recording_id, l_linenumber AS local_idx, CASE WHEN min(l_suppkey) % 4 = 0 THEN NULL ELSE min(l_suppkey) END AS speaker_id
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "utterances_v": """SELECT conv_id * 1000 + turn AS utterance_id, conv_id AS recording_id, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 END AS local_idx, turn * 20000 AS start_ms,
         turn * 20000 + CASE WHEN turn % 5 = 4 THEN 0 ELSE 500 + length(text) * 20 END AS end_ms, text FROM conversations""",
     "chunks_v": """SELECT d.doc_id AS chunk_id, d.doc_id AS recording_id, d.doc_id * 1000 AS start_ms, d.doc_id * 1000 + d.n_chars AS end_ms, d.text,
-        CASE WHEN d.doc_id % 17 = 0 THEN NULL ELSE e.embedding END AS embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500""",
+        CASE WHEN d.doc_id % 17 = 0 THEN NULL ELSE e.embedding END AS embedding FROM (SELECT *, doc_id % (SELECT count(*) FROM embeddings) AS vec FROM documents) d JOIN embeddings e ON e.vec_id = d.vec""",
     "jobs_v": """SELECT event_id AS job_id, user_id AS recording_id,
         CASE event_id % 7 WHEN 0 THEN 'transcode' WHEN 1 THEN 'diarize' WHEN 2 THEN 'transcribe' WHEN 3 THEN 'merge' WHEN 4 THEN 'embed' WHEN 5 THEN 'summarize' ELSE 'transcribe_segment' END AS kind,
         CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS state, event_id % 3 AS priority, event_id % 5 AS attempts, ts AS created_at,

@@ -38,8 +38,8 @@ def _now():
 
 # --- search ---------------------------------------------------------------------------------------------------------
 
-_SCOPE = "SELECT c.chunk_id, c.recording_id, c.start_ms, c.end_ms, c.text, c.embedding, r.title, r.created_at FROM chunks_v c JOIN recordings_v r USING (recording_id)"
-_KEYWORD = {
+SCOPE = "SELECT c.chunk_id, c.recording_id, c.start_ms, c.end_ms, c.text, c.embedding, r.title, r.created_at FROM chunks_v c JOIN recordings_v r USING (recording_id)"
+KEYWORD = {
     "toks": r"SELECT chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM scope",
     "hit": "SELECT chunk_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks WHERE list_contains(t, 'and') AND list_contains(t, 'that')",
     "num": "SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS nth FROM hit WHERE term IN ('and', 'that')",
@@ -49,12 +49,12 @@ _KEYWORD = {
     "cover": "SELECT chunk_id, least(a, b) AS p, least(an, bn) AS pn, min(pos) AS q, min(nth) AS qn FROM near WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL",
     "kw": "SELECT chunk_id, round(sum(0.1::DOUBLE / (1 + (q - p) - (qn - pn))), 6) AS score FROM cover GROUP BY chunk_id",
 }
-_SEMANTIC = {
+SEMANTIC = {
     "qv": "SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7",
     "sem": "SELECT chunk_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM qv)) AS score FROM scope WHERE embedding IS NOT NULL",
 }
-_WIDE = "SELECT chunk_id, recording_id, title, start_ms, end_ms, round(f.score, 6) AS score FROM f JOIN scope USING (chunk_id) ORDER BY f.score DESC, chunk_id LIMIT {n}"
-_FUSED = {
+WIDE = "SELECT chunk_id, recording_id, title, start_ms, end_ms, round(f.score, 6) AS score FROM f JOIN scope USING (chunk_id) ORDER BY f.score DESC, chunk_id LIMIT {n}"
+FUSED = {
     "ka": "SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rnk FROM kw QUALIFY rnk <= {m}",
     "sa": "SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rnk FROM sem QUALIFY rnk <= {m}",
     "f": "SELECT chunk_id, sum(1.0::DOUBLE / (60 + rnk)) AS score FROM (SELECT * FROM ka UNION ALL SELECT * FROM sa) GROUP BY chunk_id",
@@ -69,33 +69,33 @@ def _vector(spark: SparkSession, d: str) -> list[float]:
     return table(spark, d, "embeddings").where("vec_id = 7").first()["embedding"]
 
 
-@query(oracle(_WIDE.format(n=20), scope=_SCOPE, **_KEYWORD, **_SEMANTIC, **{k: v.format(m=80) for k, v in _FUSED.items()}))
+@query(oracle(WIDE.format(n=20), scope=SCOPE, **KEYWORD, **SEMANTIC, **{k: v.format(m=80) for k, v in FUSED.items()}))
 def hybrid_search_rrf(spark, d):
     return search.hybrid_search(_scope(spark, d), WORDS, _vector(spark, d), 20)
 
 
-@query(oracle(_WIDE.format(n=20), scope=_SCOPE, **_KEYWORD, f="SELECT * FROM kw"))
+@query(oracle(WIDE.format(n=20), scope=SCOPE, **KEYWORD, f="SELECT * FROM kw"))
 def keyword_search_simple(spark, d):
     return search.keyword_search(_scope(spark, d), WORDS)
 
 
-@query(oracle(_WIDE.format(n=20), scope=_SCOPE, **_SEMANTIC, f="SELECT * FROM sem"))
+@query(oracle(WIDE.format(n=20), scope=SCOPE, **SEMANTIC, f="SELECT * FROM sem"))
 def semantic_search_topk(spark, d):
     return search.semantic_search(_scope(spark, d), _vector(spark, d))
 
 
-_SPEAKER_SCOPE = _SCOPE + " WHERE EXISTS (SELECT 1 FROM recording_speakers_v s WHERE s.recording_id = c.recording_id AND s.speaker_id = 3)"
+_SPEAKER_SCOPE = SCOPE + " WHERE EXISTS (SELECT 1 FROM recording_speakers_v s WHERE s.recording_id = c.recording_id AND s.speaker_id = 3)"
 
 
-@query(oracle(_WIDE.format(n=50), scope=_SPEAKER_SCOPE, **_KEYWORD, **_SEMANTIC, **{k: v.format(m=200) for k, v in _FUSED.items()}))
+@query(oracle(WIDE.format(n=50), scope=_SPEAKER_SCOPE, **KEYWORD, **SEMANTIC, **{k: v.format(m=200) for k, v in FUSED.items()}))
 def search_filter_speaker_semi(spark, d):
     return search.hybrid_search(_scope(spark, d, search.Filters(speaker_id=3)), WORDS, _vector(spark, d), 50)
 
 
-_DATE_SCOPE = _SCOPE + " WHERE r.created_at >= TIMESTAMP '1996-01-01' AND r.created_at <= TIMESTAMP '1998-06-30'"
+_DATE_SCOPE = SCOPE + " WHERE r.created_at >= TIMESTAMP '1996-01-01' AND r.created_at <= TIMESTAMP '1998-06-30'"
 
 
-@query(oracle(_WIDE.format(n=30), scope=_DATE_SCOPE, **_KEYWORD, **_SEMANTIC, **{k: v.format(m=120) for k, v in _FUSED.items()}))
+@query(oracle(WIDE.format(n=30), scope=_DATE_SCOPE, **KEYWORD, **SEMANTIC, **{k: v.format(m=120) for k, v in FUSED.items()}))
 def search_filter_dates(spark, d):
     return search.hybrid_search(_scope(spark, d, search.Filters(since="1996-01-01", until="1998-06-30")), WORDS, _vector(spark, d), 30)
 
@@ -105,13 +105,6 @@ def substring_filter(spark, d):
     return view(spark, d, "utterances_v").where(X.contains_ignoring_case(F.col("text"), "Ation")).select("utterance_id", "recording_id")
 
 
-@query()
-def english_keyword_search(spark, d):
-    from ..functions.english import english_lexemes, stemmed
-
-    return search.keyword_search(_scope(spark, d), "", 20, analyzer=english_lexemes, query_lexemes=stemmed("thing and the other thing"))
-
-
 # --- library --------------------------------------------------------------------------------------------------------
 
 
@@ -645,10 +638,10 @@ def retrieval_query(spark, d):
     oracle(
         r"""SELECT string_agg(concat('[', n, '] (', coalesce(title, 'Untitled recording'), ', ', format('{:02d}:{:02d}', CAST(start_ms // 60000 AS BIGINT), CAST(start_ms // 1000 % 60 AS BIGINT)), ')', chr(10), regexp_replace(text, '^\s+|\s+$', '', 'g')), chr(10) || chr(10) ORDER BY n) AS context
             FROM (SELECT row_number() OVER (ORDER BY score DESC, chunk_id) AS n, * FROM (SELECT s.chunk_id, s.title, s.start_ms, s.text, f.score FROM f JOIN scope s USING (chunk_id) ORDER BY f.score DESC, s.chunk_id LIMIT 8))""",
-        scope=_SCOPE,
-        **_KEYWORD,
-        **_SEMANTIC,
-        **{k: v.format(m=32) for k, v in _FUSED.items()},
+        scope=SCOPE,
+        **KEYWORD,
+        **SEMANTIC,
+        **{k: v.format(m=32) for k, v in FUSED.items()},
     )
 )
 def rag_context(spark, d):
