@@ -48,7 +48,7 @@ SHORT = 20
 #: Weight of shapes and repetition against words.
 FORM = 5.0
 #: Words whose features a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 #: Weights nearer to zero than this are left out after the fit.
 LEAST_WEIGHT = 0.01
 _LOWER = bytes(range(256)).lower()
