@@ -80,9 +80,39 @@ def shortened(text: Column, limit: int) -> Column:
 
 
 def accepts_edit(old: Column, new: Column) -> Column:
-    """A correction counts if it is not blank, changes something, and changes the length little."""
-    far = F.abs(F.length(new) - F.length(old)) > F.greatest(F.floor(F.length(old) / 3), F.lit(12))
-    return (trimmed(new) != "") & (trimmed(new) != trimmed(old)) & ~far
+    """A correction counts if it is not blank, changes something, and changes the length little; white space around it is not counted."""
+    own = trimmed(new)
+    far = F.abs(F.length(own) - F.length(old)) > F.greatest(F.floor(F.length(old) / 3), F.lit(12))
+    return (own != "") & (own != old) & ~far
+
+
+def marked_parts(text: Column, part: Column) -> Column:
+    """``text`` cut at every place where ``part`` stands, ignoring case: array of (text, hit), empty pieces left out.
+
+    A blank ``part`` marks nothing.  Lower case must not change the length, else the text is one piece.
+    """
+    low, find = F.lower(text), F.lower(trimmed(part))
+    pieces = F.split(low, F.concat(F.lit("\\Q"), F.replace(find, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    width = F.length(find)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,hit:boolean>>").alias("out"))
+
+    def step(s: Column, piece: Column) -> Column:
+        plain = F.struct(F.substring(text, s["at"], F.length(piece)).alias("text"), F.lit(False).alias("hit"))
+        hit = F.struct(F.substring(text, s["at"] + F.length(piece), width).alias("text"), F.lit(True).alias("hit"))
+        return F.struct((s["at"] + F.length(piece) + width).alias("at"), F.concat(s["out"], F.array(plain, hit)).alias("out"))
+
+    parts = F.filter(F.aggregate(pieces, start, step, lambda s: s["out"]), lambda p: p["text"] != "")
+    whole = F.filter(F.array(F.struct(text.alias("text"), F.lit(False).alias("hit"))), lambda p: p["text"] != "")
+    return F.when((find != "") & (F.length(low) == F.length(text)), parts).otherwise(whole)
+
+
+def version_at_least(version: Column, least: Column) -> Column:
+    """Dotted versions compared number by number; what is missing or no number counts as 0."""
+    numbers = lambda v: F.transform(F.split(v, "\\."), lambda x: F.coalesce(F.regexp_extract(x, "^[0-9]+", 0).try_cast("int"), F.lit(0)))
+    a, b = numbers(version), numbers(least)
+    n = F.greatest(F.size(a), F.size(b))
+    padded = lambda x: F.concat(x, F.array_repeat(F.lit(0), n - F.size(x)))
+    return padded(a) >= padded(b)
 
 
 def clock(ms: Column) -> Column:

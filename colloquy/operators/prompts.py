@@ -6,6 +6,7 @@ tasks over batches of rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.json import parse_line_edits
 from ..functions.text import accepts_edit, clock, minutes_clock, shortened, slug, srt_time, trimmed
+from ..sources.files import names_in
 from .windows import joined
 
 BUDGET, LEAST_BUDGET, ROUNDS = 18_000, 2_000, 4
@@ -56,20 +59,66 @@ def answered(rows: DataFrame, prompt: str, answer: str, model: Callable[[list[st
     return rows.withColumn(answer, ask(prompt))
 
 
-def condense(transcripts: DataFrame, model: Callable[[list[str]], list[str]], budget: int = BUDGET) -> DataFrame:
+def stored_answers(rows: DataFrame, prompt: str, answer: str, model: Callable[[list[str]], list[str]], model_name: str, store: str) -> DataFrame:
+    """:func:`answered`, but a prompt that was ever answered is not asked again.
+
+    Answers lie under ``store``, a folder that all executors share, by a digest of
+    the model's name and the prompt, in folders by its first byte.  Prompts that are
+    not there are asked once each, however many rows have them, and their answers
+    are written before any is used; so a retry, a later round or another run reads
+    them, and a model that is not deterministic still gives one answer.  If two
+    runs have asked at once, the smaller answer counts for both.
+    """
+    spark = rows.sparkSession
+    digest = F.sha2(F.concat(F.lit(model_name), F.lit("\n"), F.col(prompt)).cast("binary"), 256)
+    known_schema = "digest string, answer string, shard string"
+    keyed = rows.withColumn("_digest", digest)
+    shard = F.left("digest", F.lit(2))
+    asked = keyed.where(F.col(prompt).isNotNull()).groupBy(F.col("_digest").alias("digest")).agg(F.min(prompt).alias("prompt")).withColumn("shard", shard)
+    path = f"{store}/answers"
+
+    def known() -> DataFrame:
+        if not names_in(spark, path):
+            return spark.createDataFrame([], known_schema)
+        return spark.read.schema(known_schema).parquet(path)
+
+    new = asked.join(known().select("digest"), "digest", "left_anti")
+    if not new.isEmpty():
+        told = answered(new, "prompt", "answer", model).select("digest", "answer", "shard")
+        told.write.mode("append").partitionBy("shard").parquet(path)
+    answers = known().groupBy("digest").agg(F.min("answer").alias(answer)).withColumnRenamed("digest", "_digest")
+    return keyed.join(answers, "_digest", "left").drop("_digest")
+
+
+def condense(transcripts: DataFrame, model: Callable[[list[str]], list[str]], budget: int = BUDGET, store: str | None = None, model_name: str = "") -> DataFrame:
     """Shorten ``transcript`` to ``budget`` characters by notes on its parts, in at most four rounds.
 
-    What is still too long after that is cut.  Rounds end as soon as all fit.
+    What is still too long after that is cut.  Rounds end as soon as all fit.  With
+    ``store`` (see :func:`stored_answers`) each round is written there and read by
+    the next, so no part is asked twice; without it a plan may run the model again
+    whenever it is evaluated.
     """
     budget = max(budget, LEAST_BUDGET)
-    rows = transcripts
-    for _ in range(ROUNDS):
-        if rows.where(F.length("transcript") > budget).isEmpty():
-            return rows
+    rows, run = transcripts, uuid.uuid4().hex
+
+    def settled(df: DataFrame, name: str) -> DataFrame:
+        if store is None:
+            return df
+        df.write.parquet(f"{store}/rounds/{run}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{store}/rounds/{run}/{name}")
+
+    done: list[DataFrame] = []
+    for turn in range(ROUNDS):
         fits, rest = rows.where(F.length("transcript") <= budget), rows.where(F.length("transcript") > budget)
-        parts = rest.select("recording_id", F.posexplode(lines_within(F.col("transcript"), budget * 2 // 3)).alias("part", "body"))
-        notes = answered(parts, "body", "notes", model).withColumn("notes", trimmed(F.col("notes")))
-        rows = fits.unionByName(notes.groupBy("recording_id").agg(joined("part", "notes", "\n\n").alias("transcript")))
+        if rest.isEmpty():
+            break
+        done.append(fits)
+        parts = settled(rest.select("recording_id", F.posexplode(lines_within(F.col("transcript"), budget * 2 // 3)).alias("part", "body")), f"parts-{turn}")
+        notes = answered(parts, "body", "notes", model) if store is None else stored_answers(parts, "body", "notes", model, model_name, store)
+        notes = notes.withColumn("notes", trimmed(F.col("notes")))
+        rows = settled(notes.groupBy("recording_id").agg(joined("part", "notes", "\n\n").alias("transcript")), f"notes-{turn}")
+    for more in done:
+        rows = rows.unionByName(more.select(rows.columns))
     return rows.withColumn("transcript", F.left("transcript", F.lit(budget)))
 
 
@@ -114,11 +163,29 @@ def translation_block(title: Column, summary: Column, action_items: Column, deci
 
 
 def correct_names(utterances: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply corrections (recording_id, line, new_text; lines from 1) that are small enough."""
-    line = F.row_number().over(W.partitionBy("recording_id").orderBy("utterance_id"))
-    rows = utterances.withColumn("line", line).join(edits, ["recording_id", "line"], "left")
-    good = F.coalesce(accepts_edit(F.col("text"), F.col("new_text")), F.lit(False))
-    return rows.withColumn("edited", good).withColumn("text", F.when(good, trimmed(F.col("new_text"))).otherwise(F.col("text"))).drop("new_text")
+    """Apply corrections (recording_id, line, new_text; lines from 0, in order of utterance_id) that are small enough.
+
+    ``edited`` tells whether any was taken.  Several corrections of a line are
+    tried in turn, by the column ``nth`` if there is one, each against the text as
+    it is by then; a line that is not there is ignored.
+    """
+    nth = F.col("nth") if "nth" in edits.columns else F.lit(0)
+    given = edits.groupBy("recording_id", "line").agg(F.sort_array(F.collect_list(F.struct(nth.alias("nth"), "new_text"))).alias("_edits"))
+    line = F.row_number().over(W.partitionBy("recording_id").orderBy("utterance_id")) - 1
+    rows = utterances.withColumn("line", line).join(given, ["recording_id", "line"], "left")
+
+    def step(s: Column, edit: Column) -> Column:
+        good = F.coalesce(accepts_edit(s["text"], edit["new_text"]), F.lit(False))
+        return F.struct(F.when(good, trimmed(edit["new_text"])).otherwise(s["text"]).alias("text"), (s["edited"] | good).alias("edited"))
+
+    done = F.aggregate(F.coalesce("_edits", F.array().cast(rows.schema["_edits"].dataType)), F.struct(F.col("text"), F.lit(False).alias("edited")), step)
+    return rows.withColumn("_done", done).withColumns({"text": F.col("_done.text"), "edited": F.col("_done.edited")}).drop("_edits", "_done")
+
+
+def corrected(utterances: DataFrame, answers: DataFrame) -> DataFrame:
+    """:func:`correct_names` by what a model answered (recording_id, answer) to :func:`numbered_lines`."""
+    edits = answers.select("recording_id", F.posexplode(parse_line_edits(F.col("answer"))).alias("nth", "e"))
+    return correct_names(utterances, edits.select("recording_id", "nth", "e.line", "e.new_text"))
 
 
 def srt_cues(utterances: DataFrame) -> DataFrame:

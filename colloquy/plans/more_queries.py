@@ -50,16 +50,60 @@ def live_drain(spark, d):
 def segments_upsert_stream(spark, d):
     arriving = _stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("recording_id"), F.col("l_linenumber").alias("seq"), F.col("l_shipdate").alias("uploaded_at"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"))
     out = shared_folder(spark, "segments")
-    q = live.upsert_stream(arriving, f"{out}/rows", f"{out}/state", ["recording_id", "seq"], ["uploaded_at", "part", "supp", "price"])
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.schema(arriving.schema).parquet(f"{out}/rows/v={last}")
+    live.upsert_stream(arriving, f"{out}/rows", f"{out}/state", ["recording_id", "seq"], ["uploaded_at", "part", "supp", "price"]).awaitTermination()
+    return spark.read.schema(arriving.schema).parquet(f"{out}/rows").drop("bucket")
 
 
-@query()
+_FLIP = "floor(event_id / 200.0) % 3 = 0"
+_PLACED = "SELECT *, CAST(floor(event_id / 200.0) AS BIGINT) AS r, CAST(event_id % 200 AS INTEGER) AS seq, 1000 + (event_id % 7) * 100 AS dur FROM events"
+_LAID = f"""CAST(coalesce(sum(dur) OVER (PARTITION BY r ORDER BY {{order}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {_SEGMENT_WORD} AS BIGINT) AS start_ms"""
+
+
+@query(
+    oracle(
+        f"""SELECT r AS recording_id, seq, 0 AS ord, event_type AS w, start_ms, start_ms + 100 AS end_ms, pass, superseded FROM (
+              SELECT *, {_LAID.format(order="ts, seq")}, 'provisional' AS pass, {_FLIP} AS superseded FROM (SELECT p.* FROM placed p LEFT JOIN flips f USING (r) WHERE f.at IS NULL OR p.ts < f.at)
+              UNION ALL SELECT *, {_LAID.format(order="seq")}, 'full' AS pass, FALSE FROM placed WHERE {_FLIP})""",
+        placed=_PLACED,
+        flips=f"SELECT r, ts AS at FROM placed WHERE seq = 120 AND {_FLIP}",
+    )
+)
+def status_flips(spark, d):
+    def segments(rows):
+        word = F.struct(F.col("event_type").alias("w"), F.expr(_SEGMENT_WORD).alias("start_ms"), F.expr(f"{_SEGMENT_WORD} + 100").alias("end_ms"))
+        return rows.select(F.floor(F.col("event_id") / 200).alias("recording_id"), (F.col("event_id") % 200).cast("int").alias("seq"), (1000 + F.col("event_id") % 7 * 100).alias("duration_ms"), F.array(word).alias("words"), F.col("ts").alias("at"))
+
+    def flips(rows):
+        return rows.where(f"event_id % 200 = 120 AND {_FLIP}").select(F.floor(F.col("event_id") / 200).alias("recording_id"), F.lit("processing").alias("status"), F.col("ts").alias("at"))
+
+    provisional = _drained(spark, live.transcript_flips(segments(_stream(spark, d, "events")), flips(_stream(spark, d, "events"))), "flips")
+    stored = table(spark, d, "events")
+    flipped = flips(stored).select("recording_id", F.lit(True).alias("superseded"))
+    provisional = provisional.join(flipped, "recording_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+    full = live.full_pass(segments(stored)).join(flipped, "recording_id", "left_semi")
+    return provisional.withColumn("pass", F.lit("provisional")).unionByName(full.withColumns({"superseded": F.lit(False), "pass": F.lit("full")}))
+
+
+LEASE_S = 6 * 3600
+
+
+@query(
+    oracle(
+        f"""SELECT * FROM (
+              SELECT job_id, worker, CASE WHEN before IS NULL OR epoch(t) - epoch(before) > {LEASE_S} THEN 'held' ELSE 'moved' END AS state FROM beat WHERE before IS NULL OR epoch(t) - epoch(before) > {LEASE_S} OR worker <> holder
+              UNION ALL SELECT job_id, holder, 'lost' FROM beat WHERE epoch(t) - epoch(before) > {LEASE_S}
+              UNION ALL SELECT job_id, worker, 'lost' FROM beat WHERE after IS NULL AND epoch(t) + {LEASE_S} < (SELECT max(epoch(t)) FROM beat))""",
+        beat="SELECT *, lag(t) OVER w AS before, lag(worker) OVER w AS holder, lead(t) OVER w AS after FROM (SELECT user_id % 50 AS job_id, CAST(user_id % 3 AS VARCHAR) AS worker, ts AS t FROM events) WINDOW w AS (PARTITION BY job_id ORDER BY t, worker)",
+    )
+)
 def lease_stream(spark, d):
     beats = _stream(spark, d, "events").select((F.col("user_id") % 50).alias("job_id"), (F.col("user_id") % 3).cast("string").alias("worker"), F.col("ts").cast("timestamp").alias("at"))
-    return _drained(spark, live.lease_state(beats, 6 * 3600), "leases")
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    try:
+        return _drained(spark, live.lease_state(beats, LEASE_S), "leases")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
 
 
 # --- sources --------------------------------------------------------------------------------------------------------
@@ -155,14 +199,6 @@ def words_of_tokens(spark, d):
     return windows.words_of_tokens(tokens, ["recording_id"], "word_ord")
 
 
-@query()
-def condensed_transcripts(spark, d):
-    named = library.with_names(view(spark, d, "utterances_v"), view(spark, d, "recording_speakers_v"), view(spark, d, "speakers_v"))
-    # a stand-in for the model: the first sixty characters of each part
-    short = prompts.condense(prompts.transcript(named), lambda parts: [p[:60] for p in parts], 2000)
-    return short.select("recording_id", F.length("transcript").alias("chars"))
-
-
 @query(oracle("SELECT n_regionkey AS recording_id, concat('# Region', chr(10), chr(10), '## Nations', chr(10), string_agg('- ' || n_name, chr(10) ORDER BY n_name)) AS outline FROM nation GROUP BY n_regionkey"))
 def mind_map(spark, d):
     names = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("recording_id")).agg(F.sort_array(F.collect_list("n_name")).alias("items"))

@@ -667,6 +667,6 @@ def summary_json_parse(spark, d):
 @query(oracle("SELECT utterance_id, n % 2 = 0 AS edited, CASE WHEN n % 2 = 0 THEN trim(concat(text, ' Bob')) ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY utterance_id) AS n FROM utterances_v)"))
 def name_correction(spark, d):
     lines = view(spark, d, "utterances_v")
-    numbered = lines.withColumn("line", F.row_number().over(windows.W.partitionBy("recording_id").orderBy("utterance_id")))
-    edits = numbered.where("line % 2 = 0").select("recording_id", "line", F.concat(F.col("text"), F.lit(" Bob")).alias("new_text"))
+    numbered = lines.withColumn("line", F.row_number().over(windows.W.partitionBy("recording_id").orderBy("utterance_id")) - 1)
+    edits = numbered.where("line % 2 = 1").select("recording_id", "line", F.concat(F.col("text"), F.lit(" Bob")).alias("new_text"))
     return prompts.correct_names(lines, edits).select("utterance_id", "edited", "text")
