@@ -102,9 +102,9 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     return whole.select("conv_id", "formatted", "turns", "segments", "loss_spans", (F.col("turns") == source).alias("round_trip"))
 
 
-def under_mask(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
+def under_mask(formatted: Column, loss_spans: Column) -> Column:
+    """All text of a formatted conversation under the loss mask, unescaped, nothing between."""
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int"), s["length"].cast("int")))), "")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
     out = format_conversations(rows.unionByName(extra))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = under_mask(F.col("segments"))
+    loss = under_mask(F.col("formatted"), F.col("loss_spans"))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
