@@ -600,11 +600,31 @@ def srt_cues(spark, d):
     return prompts.srt_cues(_named(spark, d))
 
 
-@query()
-def export_markdown(spark, d):
+_CLOCK = "CASE WHEN {0} // 3600000 > 0 THEN format('{{:d}}:{{:02d}}:{{:02d}}', CAST({0} // 3600000 AS BIGINT), CAST({0} // 60000 % 60 AS BIGINT), CAST({0} // 1000 % 60 AS BIGINT)) ELSE format('{{:d}}:{{:02d}}', CAST({0} // 60000 AS BIGINT), CAST({0} // 1000 % 60 AS BIGINT)) END"
+_TRIMMED = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_SRT = "format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', CAST({0} // 3600000 AS BIGINT), CAST({0} // 60000 % 60 AS BIGINT), CAST({0} // 1000 % 60 AS BIGINT), CAST({0} % 1000 AS BIGINT))"
+_LENGTH = f"CASE WHEN max(end_ms) > 0 THEN {_CLOCK.format('max(end_ms)')} END"
+#: What each style makes of a recording without a summary.
+EXPORTS = _NAMED | {
+    "cues": "SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, utterance_id) AS no, CASE WHEN end_ms > start_ms THEN end_ms ELSE start_ms + 2000 END AS until FROM named",
+    "markdown": rf"""SELECT recording_id, concat('talk-', recording_id, '.md') AS filename, concat(rtrim(concat('# Talk ', recording_id, chr(10), chr(10), '_', concat_ws(' · ', '{NOW}', {_LENGTH}), '_', chr(10), chr(10), '## Transcript', chr(10), chr(10),
+                    string_agg(concat('**', label, '** _(', {_CLOCK.format('start_ms')}, ')_', chr(10), {_TRIMMED}, chr(10)), chr(10) ORDER BY start_ms, utterance_id)), chr(10) || ' '), chr(10)) AS content FROM named GROUP BY recording_id""",
+    "plain": rf"""SELECT recording_id, concat('talk-', recording_id, '.txt') AS filename, concat(rtrim(concat('Talk ', recording_id, chr(10), concat_ws('  ·  ', '{NOW}', {_LENGTH}), chr(10), chr(10), 'TRANSCRIPT', chr(10), chr(10),
+                 string_agg(concat('[', {_CLOCK.format('start_ms')}, '] ', label, ': ', {_TRIMMED}), chr(10) ORDER BY start_ms, utterance_id)), chr(10) || ' '), chr(10)) AS content FROM named GROUP BY recording_id""",
+    "srt": rf"""SELECT recording_id, concat('talk-', recording_id, '.srt') AS filename,
+               string_agg(concat(no, chr(10), {_SRT.format('start_ms')}, ' --> ', {_SRT.format('until')}, chr(10), label, ': ', {_TRIMMED}, chr(10)), chr(10) ORDER BY no) AS content FROM cues GROUP BY recording_id""",
+}
+
+
+def exported(spark: SparkSession, d: str, style: str) -> DataFrame:
     named = _named(spark, d)
     recordings = named.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms")).withColumns({"title": F.concat(F.lit("Talk "), F.col("recording_id").cast("string")), "created_at": _now()})
-    return prompts.exports(named, recordings, None, "markdown")
+    return prompts.exports(named, recordings, None, style)
+
+
+@query(oracle("SELECT * FROM markdown", **EXPORTS))
+def export_markdown(spark, d):
+    return exported(spark, d, "markdown")
 
 
 @query(oracle("SELECT recording_id, string_agg(concat(label, ': ', regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)), '' ORDER BY utterance_id) AS transcript FROM named GROUP BY recording_id", **_NAMED))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -17,38 +20,65 @@ EXTENSIONS = {
 MEDIA_TYPES = {"m4a": "audio/mp4", "mp4": "audio/mp4", "aac": "audio/mp4", "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "opus": "audio/ogg", "webm": "audio/webm", "flac": "audio/flac"}
 
 
-def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and mono samples in -1..1 of PCM with 8, 16, 24 or 32 bits, or 32-bit floats."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+@dataclass(frozen=True)
+class WavLayout:
+    """Where the frames of a WAV file lie and how they are to be read."""
+
+    kind: int
+    channels: int
+    rate: int
+    bits: int
+    start: int
+    frames: int
+
+    @property
+    def frame_bytes(self) -> int:
+        return max(self.channels, 1) * (self.bits // 8)
+
+    def mono(self, body: bytes) -> np.ndarray:
+        """Samples in -1..1 of whole frames, channels averaged."""
+        if self.kind == 3 and self.bits == 32:
+            samples = np.frombuffer(body, "<f4").astype(float)
+        elif self.bits == 8:
+            samples = (np.frombuffer(body, np.uint8).astype(float) - 128) / 128
+        elif self.bits == 24:
+            raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
+            samples = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8) / (1 << 23)
+        else:
+            samples = np.frombuffer(body, f"<i{self.bits // 8}").astype(float) / (1 << (self.bits - 1))
+        return samples.reshape(-1, max(self.channels, 1)).mean(axis=1) if len(samples) else np.zeros(0)
+
+
+def read_layout(file: BinaryIO) -> WavLayout:
+    """The layout of PCM with 8, 16, 24 or 32 bits, or 32-bit floats; only the heads of chunks are read."""
+    head = file.read(12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, layout, body = 12, None, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        chunk = data[at + 8 : at + 8 + size]
+    size_of_file = file.seek(0, 2)
+    while at + 8 <= size_of_file:
+        file.seek(at)
+        name, size = file.read(4), int.from_bytes(file.read(4), "little")
         if name == b"fmt ":
+            chunk = file.read(min(size, 26))
             layout = tuple(int.from_bytes(chunk[a:b], "little") for a, b in ((0, 2), (2, 4), (4, 8), (14, 16)))
             if layout[0] == 0xFFFE and len(chunk) >= 26:
                 layout = (int.from_bytes(chunk[24:26], "little"), *layout[1:])
         elif name == b"data":
-            body = chunk
+            body = at + 8, min(size, size_of_file - at - 8)
         at += 8 + size + size % 2
     if layout is None or body is None:
         raise ValueError("a WAV file needs fmt and data chunks")
     kind, channels, rate, bits = layout
-    body = body[: len(body) // (bits // 8) * (bits // 8)]
-    if kind == 3 and bits == 32:
-        samples = np.frombuffer(body, "<f4").astype(float)
-    elif kind == 1 and bits == 8:
-        samples = (np.frombuffer(body, np.uint8).astype(float) - 128) / 128
-    elif kind == 1 and bits == 24:
-        raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
-        samples = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8) / (1 << 23)
-    elif kind == 1 and bits in (16, 32):
-        samples = np.frombuffer(body, f"<i{bits // 8}").astype(float) / (1 << (bits - 1))
-    else:
+    if (kind, bits) not in {(3, 32), (1, 8), (1, 16), (1, 24), (1, 32)}:
         raise ValueError(f"unsupported WAV layout {kind}/{bits}")
-    n = len(samples) // max(channels, 1)
-    return rate, samples[: n * channels].reshape(n, max(channels, 1)).mean(axis=1) if n else np.zeros(0)
+    return WavLayout(kind, channels, rate, bits, body[0], body[1] // (max(channels, 1) * (bits // 8)))
+
+
+def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
+    """Sample rate and mono samples in -1..1 of a whole file."""
+    layout = read_layout(io.BytesIO(data))
+    return layout.rate, layout.mono(data[layout.start : layout.start + layout.frames * layout.frame_bytes])
 
 
 def wav_info(files: DataFrame) -> DataFrame:
@@ -136,7 +166,7 @@ def joined_samples(segments: DataFrame, sample_rate: int = 16_000, sample_bytes:
 
 
 def joined_audio(segments: DataFrame) -> DataFrame:
-    """``recording_id, duration_ms, n_segments``: segments that are WAV, laid end to end in order of ``seq``."""
+    """``recording_id, duration_ms, n_segments`` of segments that are WAV; :func:`.wav_source.concatenated` lays them end to end."""
     info = wav_info(segments.select(F.concat_ws("/", "recording_id", F.lpad(F.col("seq").cast("string"), 6, "0")).alias("path"), "content"))
     rows = info.where("error IS NULL").select(F.regexp_extract("path", "^(.*)/[0-9]+$", 1).alias("recording_id"), "duration_ms")
     return rows.groupBy("recording_id").agg(F.sum("duration_ms").alias("duration_ms"), F.count("*").alias("n_segments"))
