@@ -58,14 +58,17 @@ def embedded(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[
 
 
 def hash_embed(rows: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """``id_col, embedding``: a signed hashed bag of tokens, of length 1.
+    """``id_col, embedding``: a signed and weighted hashed bag of tokens, of length 1.
 
-    Text without tokens (or null) gives the first unit vector.  Tokens are summed
-    per bucket before the shuffle, so a long text moves ``dim`` numbers at most.
+    The first 32 bits of a token's MD5 give its bucket, by the remainder, its sign,
+    by the second bit, and its weight of 1 to 1.875, by the next three.  Text without
+    tokens (or null) gives the first unit vector.  Tokens are summed per bucket
+    before the shuffle, so a long text moves ``dim`` numbers at most.
     """
-    bits = F.xxhash64("token")
-    tokens = rows.select(F.col(id_col), F.explode(lexemes(F.col(text_col))).alias("token"))
-    cells = tokens.select(id_col, F.pmod(bits, F.lit(dim)).cast("int").alias("at"), F.when(F.shiftrightunsigned(bits, 63) == 1, -1.0).otherwise(1.0).alias("x"))
+    bits = F.conv(F.left(F.md5(F.col("token").cast("binary")), F.lit(8)), 16, 10).cast("long")
+    tokens = rows.select(F.col(id_col), F.explode(lexemes(F.col(text_col))).alias("token")).select(id_col, bits.alias("bits"))
+    weight = 1 + F.shiftright("bits", 2).bitwiseAND(F.lit(7)) / 8
+    cells = tokens.select(id_col, (F.col("bits") % dim).cast("int").alias("at"), F.when(F.shiftright("bits", 1).bitwiseAND(F.lit(1)) == 1, -weight).otherwise(weight).alias("x"))
     sums = cells.groupBy(id_col, "at").agg(F.sum("x").alias("x"))
     maps = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("cells"), F.sqrt(F.sum(F.col("x") ** 2)).alias("size"))
     unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0).cast("float"))

@@ -75,6 +75,7 @@ def checked_days(days: list[dict]) -> list[dict]:
 
 
 def checked_override(minutes: int) -> int:
+    """The length of an override, or ``ValueError``."""
     if not 1 <= minutes <= DAY_MIN:
         raise ValueError("an override lasts 1 to 1440 minutes")
     return minutes

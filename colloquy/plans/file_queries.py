@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.audio import ingested
 from ..sources.file_sink import write_files, written_files
 from ..sources.wav_source import WavFrames, concatenated
 from .fixtures import oracle, table
@@ -42,3 +43,21 @@ def concatenated_audio(spark, d):
     each = frames.select("recording_id", "first_frame", F.posexplode("samples").alias("i", "x"))
     read = each.groupBy("recording_id").agg(F.count("*").alias("n_samples"), F.sum((F.col("first_frame") + F.col("i")) * F.col("x").cast("double")).alias("weighed"))
     return made.select("recording_id", "n_segments", "duration_ms").join(read, "recording_id")
+
+
+@query(
+    oracle(
+        """SELECT concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12)) AS recording_id, page_id, ext AS audio_format, 'processing' AS status, 'transcode' AS kind,
+                  concat(concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12)), '/segments/000001.', ext) AS name, strlen(html) AS bytes, sha256(html) AS sha256
+           FROM (SELECT page_id, html, sha256(concat('/in/', page_id, CASE page_id % 3 WHEN 0 THEN '.wav' WHEN 1 THEN '.b.MP3' ELSE '' END, chr(0), html)) AS h, CASE page_id % 3 WHEN 0 THEN 'wav' WHEN 1 THEN 'MP3' ELSE 'bin' END AS ext FROM pages)"""
+    )
+)
+def ingested_files(spark, d):
+    """Whole files taken in: the new recordings with their jobs, and the copies as they were written."""
+    path = F.expr("concat('/in/', page_id, CASE page_id % 3 WHEN 0 THEN '.wav' WHEN 1 THEN '.b.MP3' ELSE '' END)")
+    files = table(spark, d, "pages").select(path.alias("path"), F.col("html").cast("binary").alias("content"), F.col("page_id").cast("int").alias("page_id"))
+    folder = shared_folder(spark, "blobs")
+    recordings, segments, jobs = ingested(files, folder, F.lit("2024-01-15").cast("timestamp"), participants=F.col("page_id"))
+    added = recordings.join(segments.select("recording_id", F.col("storage_key").alias("name"), "bytes"), "recording_id").join(jobs.select("recording_id", "kind"), "recording_id")
+    written = written_files(spark, folder).select("name", F.col("bytes").alias("n_written"), "sha256")
+    return added.join(written, "name").where("bytes = n_written").select("recording_id", F.col("participants_expected").cast("long").alias("page_id"), "audio_format", "status", "kind", "name", "bytes", "sha256")

@@ -180,10 +180,21 @@ def name_speaker(spark, d):
 # --- texts and time -------------------------------------------------------------------------------------------------
 
 
-@query()
+# every fifth token is written otherwise than its word, so it takes the time between its neighbours
+@query(
+    oracle(
+        """SELECT utterance_id, CAST(pos AS INTEGER) AS pos, CASE WHEN word_ord % 5 = 2 THEN 'other' ELSE concat(upper(w), word_ord, ',') END AS token,
+                  CASE WHEN word_ord % 5 = 2 AND pos > 0 THEN before ELSE CASE WHEN word_ord % 5 = 2 THEN first ELSE start_ms END END AS start_ms,
+                  CASE WHEN word_ord % 5 = 2 THEN coalesce(after, greatest(before, last)) ELSE end_ms END AS end_ms
+           FROM (SELECT concat_ws('-', recording_id, utterance_no) AS utterance_id, *, row_number() OVER w - 1 AS pos, lag(end_ms) OVER w AS before, lead(start_ms) OVER w AS after, min(start_ms) OVER (PARTITION BY recording_id, utterance_no) AS first,
+                 max(end_ms) OVER (PARTITION BY recording_id, utterance_no) AS last FROM long_words_v WINDOW w AS (PARTITION BY recording_id, utterance_no ORDER BY word_ord))"""
+    )
+)
 def timed_tokens(spark, d):
-    said = view(spark, d, "long_words_v").groupBy(F.concat_ws("-", "recording_id", "utterance_no").alias("utterance_id")).agg(
-        windows.joined("word_ord", "w").alias("text"), F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "w"))).alias("words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
+    shown = F.when(F.col("word_ord") % 5 == 2, "other").otherwise(F.concat(F.upper("w"), "word_ord", F.lit(",")))
+    own = view(spark, d, "long_words_v").withColumn("shown", shown).withColumn("w", F.concat("w", "word_ord"))
+    said = own.groupBy(F.concat_ws("-", "recording_id", "utterance_no").alias("utterance_id")).agg(
+        windows.joined("word_ord", "shown").alias("text"), F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "w"))).alias("words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
     )
     return prompts.timed_tokens(said).select("utterance_id", F.posexplode("tokens").alias("pos", "t")).select("utterance_id", "pos", "t.token", "t.start_ms", "t.end_ms")
 

@@ -13,6 +13,7 @@ from ..functions.vector import hash_embed
 from ..operators import joins, library, prompts, queue, rows, schedule, search, speakers, windows
 from ..sources import audio
 from .fixtures import oracle, table, view
+from .folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -557,9 +558,45 @@ def cluster_fragments(spark, d):
     return speakers.cluster_fragments(fragments)
 
 
-@query()
+_PLANTED = {
+    "frag": """SELECT vec_id % 20 AS r, vec_id AS f, vec_id * 1000 AS mid, vec_id % 11 <> 0 AS known, CAST(floor(vec_id / 20.0) * 7 + vec_id % 3 AS BIGINT) % (2 + vec_id % 20 % 3) AS g FROM embeddings""",
+    "first": "SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY min(f)) - 1 AS cluster FROM frag WHERE known GROUP BY r, g",
+    "told": "SELECT frag.*, cluster FROM frag JOIN first USING (r, g) WHERE known",
+}
+_CLUSTERED = """SELECT r AS recording_id, f AS fragment_no, CAST(cluster AS INTEGER) AS cluster FROM told
+                UNION ALL SELECT s.r, s.f, CAST((SELECT arg_min(t.cluster, abs(t.mid - s.mid) * 1000000 + t.f) FROM told t WHERE t.r = s.r) AS INTEGER) FROM frag s WHERE NOT known"""
+
+
+def _planted_voices(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of two to four voices a recording, each near its own axis."""
+    g = F.expr("CAST(floor(vec_id / 20) * 7 + vec_id % 3 AS BIGINT) % (2 + vec_id % 20 % 3)")
+    voice = F.transform(F.slice("embedding", 1, 4), lambda x, i: F.when(i == F.col("g"), 1.0).otherwise(0.0) + x.cast("double") * 0.1)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", g.alias("g"))
+    return rows.select((F.col("vec_id") % 20).alias("recording_id"), F.col("vec_id").alias("fragment_no"), (F.col("vec_id") * 1000).alias("mid_ms"), F.when(F.col("vec_id") % 11 != 0, voice).alias("embedding"))
+
+
+@query(oracle(_CLUSTERED, **_PLANTED))
+def cluster_planted_voices(spark, d):
+    return speakers.cluster_fragments(_planted_voices(spark, d))
+
+
+@query(oracle(_CLUSTERED, **_PLANTED))
+def cluster_long_recordings(spark, d):
+    """The same, with rounds of mutually nearest clusters before the chain."""
+    return speakers.cluster_fragments(_planted_voices(spark, d), largest=12, store=shared_folder(spark, "voices"))
+
+
+@query(
+    oracle(
+        r"""SELECT doc_id, CAST(p AS INTEGER) AS pos, round(CAST(CAST(CASE WHEN coalesce(size, 0) > 0 THEN coalesce(x, 0) / size ELSE CASE WHEN p = 0 THEN 1 ELSE 0 END END AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS x
+            FROM (SELECT doc_id, unnest(range(64)) AS p FROM documents) LEFT JOIN cell ON cell.id = doc_id AND at_ = p LEFT JOIN (SELECT id, sqrt(sum(x * x)) AS size FROM cell GROUP BY id) s ON s.id = doc_id""",
+        tok=r"SELECT doc_id AS id, CAST(concat('0x', left(md5(t), 8)) AS BIGINT) AS b FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents)",
+        cell="SELECT id, b % 64 AS at_, sum(CASE WHEN (b >> 1) & 1 = 1 THEN -1 ELSE 1 END * (1 + ((b >> 2) & 7) / 8.0::DOUBLE)) AS x FROM tok GROUP BY ALL",
+    )
+)
 def hash_embed_documents(spark, d):
-    return hash_embed(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length"), F.size("embedding").alias("dim"))
+    vectors = hash_embed(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("pos", "x"))
+    return vectors.select("doc_id", "pos", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
 
 
 # --- texts ----------------------------------------------------------------------------------------------------------
@@ -671,17 +708,33 @@ def rag_context(spark, d):
     return prompts.context(scope.chunks.select("chunk_id", "text").join(F.broadcast(hits), "chunk_id"))
 
 
-@query()
+@query(
+    oracle(
+        r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS part, body[i] AS body FROM (SELECT doc_id, body, unnest(range(1, len(body) + 1)) AS i FROM
+              (SELECT doc_id, CASE WHEN len(f) > 0 THEN f ELSE [text] END AS body FROM (SELECT doc_id, text, CASE WHEN regexp_matches(s.now, '[^\s\p{Z}]') THEN list_append(s.done, s.now) ELSE s.done END AS f FROM fold)))""",
+        fold=r"""SELECT doc_id, text, list_reduce(list_prepend({'now': '', 'done': CAST([] AS VARCHAR[])}, list_transform(regexp_split_to_array(regexp_replace(text, '\r?\n$', ''), '\r?\n'), lambda l: {'now': l, 'done': CAST([] AS VARCHAR[])})),
+                 lambda a, l: CASE WHEN a.now <> '' AND length(a.now) + length(l.now) + 1 > 1200 THEN {'now': concat(l.now, chr(10)), 'done': list_append(a.done, a.now)} ELSE {'now': concat(a.now, l.now, chr(10)), 'done': a.done} END) AS s FROM documents""",
+    )
+)
 def split_on_budget(spark, d):
-    parts = table(spark, d, "documents").select("doc_id", F.posexplode(prompts.lines_within(F.col("text"), 1200)).alias("part", "body"))
-    return parts.select("doc_id", "part", F.length("body").alias("chars"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(prompts.lines_within(F.col("text"), 1200)).alias("part", "body"))
 
 
-@query()
+@query(
+    oracle(
+        r"""SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN NULL ELSE role END AS title, CASE turn % 3 WHEN 0 THEN nullif(t, '') WHEN 1 THEN t END AS summary, CASE turn % 3 WHEN 0 THEN role ELSE '' END AS topics,
+                   CASE turn % 3 WHEN 2 THEN 'one {brace}' ELSE '' END AS decisions, CASE turn % 3 WHEN 0 THEN 'do it|{"who":"x"}' ELSE '' END AS action_items
+            FROM (SELECT *, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM conversations)"""
+    )
+)
 def summary_json_parse(spark, d):
-    noisy = F.expr("CASE conv_id % 3 WHEN 0 THEN concat('Sure: ', to_json(struct(role AS title, text AS summary, array(role) AS topics)), ' done') WHEN 1 THEN text ELSE concat('{\"title\": \"', role, '\", \"decisions\": \"one {brace}\"} tail') END")
+    noisy = F.expr(
+        """CASE turn % 3 WHEN 0 THEN concat('Sure: ', to_json(struct(concat(' ', role, ' ') AS title, text AS summary, array(role, ' ') AS topics)), ' done') WHEN 1 THEN concat(' ', text) ELSE concat('{"title": "', role, '", "decisions": "one {brace}"} tail {') END"""
+    )
+    # an item that is no string is kept as it is written
+    noisy = F.regexp_replace(noisy, '^Sure: [{]', 'Sure: {"action_items": ["do it", {"who": "x"}, "  "], ')
     parsed = table(spark, d, "conversations").select("conv_id", "turn", parse_summary(noisy).alias("s"))
-    return parsed.select("conv_id", "turn", "s.title", F.length("s.summary").alias("summary_chars"), F.size("s.topics").alias("n_topics"), F.size("s.decisions").alias("n_decisions"))
+    return parsed.select("conv_id", "turn", "s.title", "s.summary", *[F.array_join(f"s.{c}", "|").alias(c) for c in ("topics", "decisions", "action_items")])
 
 
 @query(oracle("SELECT utterance_id, n % 2 = 0 AS edited, CASE WHEN n % 2 = 0 THEN trim(concat(text, ' Bob')) ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY utterance_id) AS n FROM utterances_v)"))

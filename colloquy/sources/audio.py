@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .file_sink import write_files
+
 # File extensions by media type, and media types by extension.
 EXTENSIONS = {
     "audio/mp4": "m4a", "audio/m4a": "m4a", "audio/x-m4a": "m4a", "audio/aac": "m4a", "audio/mpeg": "mp3", "audio/mp3": "mp3", "audio/wav": "wav", "audio/x-wav": "wav", "audio/wave": "wav",
@@ -145,6 +147,28 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     ).where("recording_id <> ''")
 
 
+def ingested(files: DataFrame, blobs: str, now: Column, title: Column | None = None, participants: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take in whole files (path, content; also named by ``title`` and ``participants``): recordings, segments and jobs to add.
+
+    Each file is copied to ``<recording_id>/segments/000001.<ext>`` below ``blobs``
+    as the first and only segment of a new recording, which is processed at once:
+    a transcode job is to be enqueued.  Ids come from path and content, so taking in
+    the same file again makes no other recording.  A file without content is an error.
+    """
+    titled, expected = F.lit(None).cast("string") if title is None else title, F.lit(None).cast("int") if participants is None else participants
+    digest = F.sha2(F.concat(F.col("path").cast("binary"), F.lit(b"\0"), F.col("content")), 256)
+    groups = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    ext = F.coalesce(F.nullif(F.regexp_extract("path", "[^/.][^/]*\\.([^./]+)$", 1), F.lit("")), F.lit("bin"))
+    content = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no such file: "), "path"))).otherwise(F.col("content"))
+    own = files.select(F.concat_ws("-", *groups).alias("recording_id"), titled.alias("title"), expected.alias("participants_expected"), ext.alias("audio_format"), content.alias("content"))
+    key = F.concat("recording_id", F.lit("/segments/000001."), "audio_format")
+    write_files(own.select(key.alias("name"), "content"), blobs)
+    recordings = own.select("recording_id", "title", "participants_expected", "audio_format", F.col("recording_id").alias("storage_key"), F.lit("processing").alias("status"), now.alias("created_at"))
+    segments = own.select("recording_id", F.lit(1).alias("seq"), key.alias("storage_key"), F.lit(0).cast("long").alias("start_ms"), F.octet_length("content").cast("long").alias("bytes"))
+    jobs = own.select("recording_id", F.lit("transcode").alias("kind"), F.lit("{}").alias("payload"))
+    return recordings, segments, jobs
+
+
 def received(files: DataFrame, recordings: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Segments that came in, as rows to upsert, and the live jobs to enqueue for them.
 

@@ -118,3 +118,17 @@ def test_segments_that_do_not_fit(spark, tmp_path, rows):
     with pytest.raises(Exception, match="sample rates|one number|not a WAV"):
         concatenated(df, str(tmp_path)).collect()
     assert files(tmp_path) == {}
+
+
+def test_files_taken_in_twice_are_one_recording(spark, tmp_path):
+    rows = [("/a/talk.m4a", bytearray(b"one")), ("/a.b/talk", bytearray(b"")), ("/a/.hidden", bytearray(b"x"))]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    now = F.lit("2024-01-01").cast("timestamp")
+    first, segments, jobs = audio.ingested(df, str(tmp_path), now, title=F.lit("T"), participants=F.lit(2))
+    again = audio.ingested(df, str(tmp_path), now)[0]
+    ids = {r["recording_id"]: r["audio_format"] for r in first.collect()}
+    assert sorted(ids.values()) == ["bin", "bin", "m4a"] and ids.keys() == {r["recording_id"] for r in again.collect()}
+    assert files(tmp_path).keys() == {f"{i}/segments/000001.{e}" for i, e in ids.items()} == {r["storage_key"] for r in segments.collect()}
+    assert {(r["kind"], r["recording_id"]) for r in jobs.collect()} == {("transcode", i) for i in ids}
+    with pytest.raises(Exception, match="no such file"):
+        audio.ingested(spark.createDataFrame([("/gone", None)], "path string, content binary"), str(tmp_path), now)
