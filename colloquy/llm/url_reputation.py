@@ -6,7 +6,9 @@ registered domains, and from a domain to its hosts; at each level the prior's
 weight comes from the level's own overdispersion (beta-binomial moments).  A
 host with few labels, or none, thus stays near its domain, a host with many is
 judged by them.  A url is allowed if the lower posterior bound of its host's
-share of good pages reaches ``min_good``.  Rules come before reputation.
+share of good pages reaches ``min_good``.  Rules come before reputation: a list of
+any length is a table, joined by the ends of host names, so that each host brings
+its rules along, longest first.
 
 Only DataFrame functions are used.  Hosts are joined to pages by host; a host
 with a large share of all pages is left to the split of skewed joins.
@@ -27,8 +29,8 @@ MIN_GOOD = 0.5
 BOUND = 1.645
 #: Bounds of a prior's weight in pages.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 10_000.0
-#: Rules are settings and compiled into the query; larger lists are refused.
-MAX_RULES = 1000
+#: What stands for the suffix of hosts that are addresses; each of them is a domain of its own.
+ADDRESS = "[address]"
 #: Second labels under which names are registered.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
@@ -71,14 +73,19 @@ def suffix_of(host: Column) -> Column:
     labels = F.split(_bare(host), "\\.")
     n = F.size(labels)
     second = (n >= 3) & F.element_at(labels, -2).isin(*SECOND_LEVEL) & (F.length(F.element_at(labels, -1)) == 2)
-    return F.when(second, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.element_at(labels, -1))
+    return F.when(_is_address(host), ADDRESS).when(second, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.element_at(labels, -1))
 
 
 def domain_of(host: Column) -> Column:
     """The suffix and one label more; the host itself if it has no more."""
     labels = F.split(_bare(host), "\\.")
     n = F.size(F.split(suffix_of(host), "\\.")) + 1
-    return F.when(F.size(labels) <= n, _bare(host)).otherwise(F.array_join(F.slice(labels, -n, n), "."))
+    return F.when(_is_address(host) | (F.size(labels) <= n), _bare(host)).otherwise(F.array_join(F.slice(labels, -n, n), "."))
+
+
+def _is_address(host: Column) -> Column:
+    """Four numbers with dots between, or what stands in brackets."""
+    return _bare(host).rlike("^([0-9]{1,3}[.]){3}[0-9]{1,3}$|^\\[.*\\]$")
 
 
 def _bare(host: Column) -> Column:
@@ -86,15 +93,21 @@ def _bare(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def matching_rule(host: Column, path: Column, rules: Sequence[Rule], what: str) -> Column:
-    """``text`` or ``verdict`` of the longest rule that fits; null if none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    found = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r.text), r.text)):
-        fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
-        found = F.when(fits, F.lit(getattr(rule, what))).otherwise(found)
-    return found
+def rules_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """``rule_host, rule_path, verdict`` of rules given as a list, or as a table with those columns."""
+    if isinstance(rules, DataFrame):
+        return rules.select("rule_host", "rule_path", "verdict")
+    return spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "rule_host string, rule_path string, verdict string")
+
+
+def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host, rules``: the rules whose host is that of ``hosts`` (distinct) or one above it, the longest first; hosts without any are left out."""
+    rules = rules.where("rule_host IS NOT NULL AND rule_path IS NOT NULL").withColumn("text", F.concat("rule_host", "rule_path"))
+    most = rules.agg(F.coalesce(F.max(F.size(F.split("rule_host", "\\."))), F.lit(0))).first()[0]
+    # ends of a host of as many labels as rules have at most
+    ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(F.split("host", "\\.")), F.lit(max(1, most)))), lambda i: F.call_function("substring_index", "host", F.lit("."), -i))).alias("rule_host"))
+    found = ends.join(rules, "rule_host")
+    return found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length("text").alias("length"), "text", "rule_path", "verdict")), asc=False).alias("rules"))
 
 
 def _weight(groups: DataFrame) -> float:
@@ -127,7 +140,7 @@ def host_reputation(labelled: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "good", "mean", (F.col("mean") - BOUND * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (total + 1))).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (), min_good: float = MIN_GOOD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] | DataFrame = (), min_good: float = MIN_GOOD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, lower_bound``.
 
     ``outcomes`` has ``page_id, outcome`` (1 good, 0 bad) for some pages; null
@@ -139,13 +152,11 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = ()
     """
     own = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = outcomes.where("page_id IS NOT NULL AND outcome IS NOT NULL").groupBy("page_id").agg(F.min("outcome").alias("outcome"))
-    reputation = host_reputation(own.select("page_id", "host").join(known, "page_id", "left").select("host", "outcome"))
-    found = own.join(reputation.select("host", "lower"), "host")
+    reputation = host_reputation(own.select("page_id", "host").join(known, "page_id", "left").select("host", "outcome")).select("host", "lower")
+    hosts = reputation.join(rules_of_hosts(reputation.select("host"), rules_table(pages.sparkSession, rules)), "host", "left")
+    found = own.join(hosts, "host").withColumn("rule", F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(0)))
     own_verdict = F.when(F.col("lower") >= min_good, "allow").otherwise("block")
-    host, path = F.col("host"), F.col("path")
-    return found.select(
-        "page_id", "host", "path", matching_rule(host, path, rules, "text").alias("rule"), F.coalesce(matching_rule(host, path, rules, "verdict"), own_verdict).alias("verdict"), F.round("lower", 6).alias("lower_bound")
-    )
+    return found.select("page_id", "host", "path", F.col("rule.text").alias("rule"), F.coalesce("rule.verdict", own_verdict).alias("verdict"), F.round("lower", 6).alias("lower_bound"))
 
 
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +181,10 @@ WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpo
      l AS (SELECT p.host, good.outcome FROM p LEFT JOIN good ON good.doc_id = TRY_CAST(nullif(regexp_extract(p.path, '/([0-9]{1,18})(/|$)', 1), '') AS BIGINT)),
      bare AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS labels FROM l),
      named AS (SELECT host, outcome, labels, len(labels) AS k,
+                      regexp_matches(array_to_string(labels, '.'), '^([0-9]{1,3}[.]){3}[0-9]{1,3}$|^\[.*\]$') AS address,
                       CASE WHEN len(labels) >= 3 AND labels[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND length(labels[-1]) = 2 THEN 2 ELSE 1 END AS s FROM bare),
      hosts AS (SELECT host, count(outcome) AS n, CAST(coalesce(sum(outcome), 0) AS DOUBLE) AS good,
-                      any_value(array_to_string(labels[-s:], '.')) AS suffix, any_value(array_to_string(labels[-least(s + 1, k):], '.')) AS domain FROM named GROUP BY host),
+                      any_value(CASE WHEN address THEN '[address]' ELSE array_to_string(labels[-s:], '.') END) AS suffix, any_value(array_to_string(labels[-(CASE WHEN address THEN k ELSE least(s + 1, k) END):], '.')) AS domain FROM named GROUP BY host),
      overall AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS m FROM hosts),
      sx AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m) AS prior FROM hosts, overall GROUP BY suffix),
      sw AS (SELECT CASE WHEN coalesce(sum(n * (n - 1) * prior * (1 - prior)) FILTER (WHERE n > 1), 0) = 0 OR sum((good - n * prior) ** 2 - n * prior * (1 - prior)) FILTER (WHERE n > 1) <= 0 THEN 10000.0

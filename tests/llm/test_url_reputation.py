@@ -53,3 +53,33 @@ def test_domains_and_suffixes(spark):
     rows = [("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "uk"), ("x.com", "x.com", "com"), ("m.x.com:80", "x.com", "com"), ("localhost", "localhost", "localhost"), ("", "", "")]
     got = spark.createDataFrame([(r[0],) for r in rows], "h string").select("h", U.domain_of(F.col("h")), U.suffix_of(F.col("h"))).collect()
     assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_addresses_are_domains_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("10.0.0.1", "10.0.0.1", "[address]"), ("u@10.0.0.2:80", "10.0.0.2", "[address]"), ("[::1]", "[::1]", "[address]"), ("1.2.3.4.com", "4.com", "com"), ("1.2.3", "2.3", "3")]
+    got = spark.createDataFrame([(r[0],) for r in rows], "h string").select("h", U.domain_of(F.col("h")), U.suffix_of(F.col("h"))).collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_long_lists_of_rules(spark):
+    """Rules as a table of any length, against a loop over all of them."""
+    import random
+
+    rng = random.Random(3)
+    label = lambda: rng.choice(["a", "b", "com", "org", "x-y"])
+    host = lambda: ".".join(label() for _ in range(rng.randint(1, 4)))
+    path = lambda: "".join("/" + rng.choice(["", "p", "qq", "1"]) for _ in range(rng.randint(0, 3)))
+    rules = {(host(), path()): rng.choice(["allow", "block"]) for _ in range(3000)}
+    pages = [(i, f"http://{host()}{path()}") for i in range(400)] + [(400, "http://a..com./p"), (401, "http://" + "a." * 3000 + "com" + "/p" * 3000), (402, None)]
+    table = spark.createDataFrame([(*k, v, 1) for k, v in rules.items()] + [(None, "/", "block", 1), ("a", None, "block", 1)], "rule_host string, rule_path string, verdict string, lower int")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([], "page_id long, outcome int"), table).collect()}
+    for i, url in pages:
+        h, p = "", ""
+        if url:
+            h, _, p = url[7:].partition("/")
+            p = "/" + p if _ else ""
+        fits = [(len(a + b), a + b, v) for (a, b), v in rules.items() if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        want = max(fits, default=None)
+        assert got[i][0] == (want and want[1]) and (want is None or got[i][1] in {v for _, t, v in fits if t == want[1]})
