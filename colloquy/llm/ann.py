@@ -16,7 +16,8 @@ whose probes hold too few goes on along the axes of one table until it has met
 Vectors that are equal are indexed once, with the ``k + 1`` smallest of their
 ids: no more of them can be among the ``k`` nearest of any query.  A bucket is
 cut into as many parts as its counted rows ask for, and queries visit all parts,
-so no task gets an unbounded bucket and none of its rows is left out.
+so no task holds an unbounded bucket and none of its rows is left out; queries are
+not held but pass by a part in batches.
 """
 
 from __future__ import annotations
@@ -134,7 +135,25 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _search(key: tuple, index: pa.Table, probes: pa.Table, dim: int, k: int) -> pa.Table:
+def _passing(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """:func:`_search` over rows sorted by cell, part and ``asks``: those of the index are held until the next part begins."""
+    now, held = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+        cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if batch.num_rows else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+            cell, part, asks = keys[:, a].tolist()
+            if (cell, part) != now:
+                now, held = (cell, part), []
+            rows = pa.Table.from_batches([batch.slice(a, b - a)])
+            if not asks:
+                held.append(rows)
+            elif held:
+                held = [pa.concat_tables(held).combine_chunks()]
+                yield from _search(held[0], rows.combine_chunks(), dim, k).to_batches()
+
+
+def _search(index: pa.Table, probes: pa.Table, dim: int, k: int) -> pa.Table:
     """The ``k`` nearest to each query among the index rows whose bucket it probes."""
     schema = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not index.num_rows or not probes.num_rows:
@@ -258,7 +277,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
     index = classes.select("vector", "ids", F.pmod(F.xxhash64("vector"), F.lit(1 << 30)).alias("salt")).mapInArrow(placed, "cell long, part long, bucket long, vector array<double>, ids array<long>")
     probes = asked.select("vector", "query").mapInArrow(probing, "cell long, part long, buckets array<long>, query long, vector array<double>")
-    met = index.groupBy("cell", "part").cogroup(probes.groupBy("cell", "part")).applyInArrow(lambda key, a, b: _search(key, a, b, dim, k + 1), "query long, vec_id long, score double")
+    # the index rows of a part come first and are held; queries pass by in batches, however many there are
+    both = index.withColumn("asks", F.lit(0)).unionByName(probes.withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").select("cell", "part", "asks", "bucket", "ids", "buckets", "query", "vector")
+    met = dealt.mapInArrow(lambda batches: _passing(batches, dim, k + 1), "query long, vec_id long, score double")
     met = met.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     # a query's own id may be among k + 1, so k others are
     by_query = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
