@@ -12,11 +12,14 @@ no link between different texts is lost from the components:
    Shingles are ordered by their hash, those that many texts hold last, so that a
    passage of many documents makes no long lists.
 3. **Lists.**  In the list of each shingle all members are candidates with the
-   first one.  What is verified joins components; then only pairs of a list that
-   lie in different components and were not tried are candidates, so a large group
-   of copies costs as many tests as it has members.
-
-Nothing is compared that shares no list, and nothing of a list is left out.
+   first one, its lead.  What is verified joins components, so a large group of
+   copies costs about as many tests as it has members.
+4. **Stars.**  Texts that share a list share its lead.  Where the texts of a lead lie
+   in several components, they are compared once more, in blocks of bounded size:
+   a task counts what all its sets have in common by products of matrices and gives
+   back a forest, never pairs.
+
+No two texts that share a list are left untested, unless they are in one component.
 Shingles are 64-bit hashes, texts are told apart by 128 bits of their SHA-256.
 """
 
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import may_hold
-from .simhash import components, simhash
+from .simhash import Forest, components, simhash
 from .simhash import links as simhash_links
 from .skew import join_groups
 from .store import drop, save
@@ -42,14 +45,16 @@ SHINGLE_WORDS = 5
 #: Bits in which the fingerprints of candidates of the first step differ at most.
 RADIUS = 4
 #: A shingle that so many texts hold is ordered last.
-COMMON = 64
+COMMON = 16
 #: Share of a set, by hash, of which the texts that hold a shingle are counted.
 COUNTED = 0.25
 #: Bits of a bitmap that tasks are given: 8 MB at most.
 MAP_BITS = 1 << 26
 _MAP_BLOCK = 32_768
-#: Members of a list, or partners of a text, that one task gets.
+#: Partners of a text that one task gets.
 LOT = 4096
+#: Texts of one block of a star, two of which a task compares, and shingles that it counts at once.
+BLOCK, COLUMNS = 256, 4096
 #: Bytes of text whose rows are handed on at once, about.
 BATCH_BYTES = 1 << 21
 #: Shingles that are hashed at once.
@@ -197,9 +202,9 @@ def prefixes(texts: Texts, similarity: float, width: int, common: tuple[bytes, i
     return texts.each(emit, "digest binary, size long, tokens array<long>, edge long", [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()])
 
 
-def _sets(texts: Texts, pairs: DataFrame, width: int) -> DataFrame:
-    """``digest, tokens``: the whole sets of all texts in ``pairs``, and of a few others."""
-    bitmap, size = _digest_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+def _sets(texts: Texts, digests: DataFrame, width: int) -> DataFrame:
+    """``digest, tokens``: the whole sets of the texts in ``digests``, and of a few others."""
+    bitmap, size = _digest_bitmap(digests)
     emit = lambda d, w: (d, np.unique(shingles(w, width)).view(np.int64)) if _holds(bitmap, size, d) else None
     return save(texts.each(emit, "digest binary, tokens array<long>", [pa.binary(), pa.list_(pa.int64())]), "sets")
 
@@ -236,7 +241,7 @@ def possible(pairs: DataFrame, prefixed: DataFrame, similarity: float) -> DataFr
 def verified(texts: Texts, pairs: DataFrame, prefixed: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs ``a, b`` (digests; a saved table) whose whole sets are so similar."""
     near = possible(pairs, prefixed, similarity)
-    sets = _sets(texts, near, width)
+    sets = _sets(texts, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), width)
     sized = _paired(near, sets).select("a", "b", F.size("x.tokens").alias("n_a"), F.size("y.tokens").alias("n_b"), F.size(F.array_intersect("x.tokens", "y.tokens")).alias("n_both"))
     links = save(sized.where(F.col("n_both") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("n_both"))).select("a", "b"), "verified")
     drop(near)
@@ -265,19 +270,83 @@ def _roots(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("comp"))
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: pairs of a list that lie in different components; ``members`` (saved) has token, digest, size, comp.
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of ``sets`` (sorted, distinct) have in common."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - at)), dtype=np.float32)
+        held[row[a:b], column[a:b] - at] = 1
+        out += held @ held.T
+    return out
+
+
+def _forest(digests: list[bytes], sets: list[np.ndarray], comps: np.ndarray, blocks: np.ndarray, similarity: float) -> list[tuple[bytes, bytes]]:
+    """A forest of the links between different components among the texts of one or two blocks."""
+    if len(sets) < 2 or (comps == comps[0]).all():
+        return []
+    n, both = np.array([len(x) for x in sets]), common_shingles(sets)
+    near = (both >= similarity * (n[:, None] + n[None, :] - both)) & (comps[:, None] != comps[None, :])
+    if len(np.unique(blocks)) > 1:
+        near &= blocks[:, None] != blocks[None, :]
+    i, j = np.nonzero(np.triu(near, 1))
+    forest = Forest(len(sets))
+    forest.join(i, j)
+    tied = np.flatnonzero(forest.parent != np.arange(len(sets)))
+    return [(digests[t], digests[forest.parent[t]]) for t in tied.tolist()]
+
+
+def _star_links(texts: Texts, members: DataFrame, lists: DataFrame, similarity: float, width: int) -> DataFrame:
+    """``a, b``: a forest of the links between components of texts that share a list.
 
-    One of such a pair lies outside of the list's largest component, so only those
-    texts meet the others.
+    ``members`` (saved) has token, digest and comp, ``lists`` (saved) token, lead and n.
     """
-    counts = members.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    lists = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1 AND n > 2")
-    lists = save(lists.select("token", F.col("most.comp").alias("major"), "n", F.ceil(F.col("n") / LOT).alias("lots")), "lists")
-    rows = save(join_groups(may_hold(members, lists, lists.count(), "token"), lists, ["token"], "n"), "open")
-    every = rows.withColumn("lot", F.pmod(F.xxhash64("digest"), F.col("lots"))).select("token", "lot", F.col("digest").alias("y"), F.col("size").alias("size_y"), F.col("comp").alias("comp_y"))
-    minor = rows.where("comp <> major").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("digest").alias("x"), F.col("size").alias("size_x"), F.col("comp").alias("comp_x"))
-    return minor.join(every, ["token", "lot"]).where("comp_x <> comp_y").where(_fits(similarity, "size_x", "size_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    stars = join_groups(members, lists, ["token"], "n").select(F.col("lead.digest").alias("star"), "digest", "comp").distinct()
+    stars = save(stars, "stars")
+    several = stars.groupBy("star").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("n > 2 AND low <> high")
+    several = save(several.select("star", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "several")
+    open_ = save(join_groups(stars, several, ["star"], "n"), "open")
+    drop(stars)
+    sets = _sets(texts, open_.select("digest").distinct(), width)
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
+    rows = open_.join(sets, "digest").select("star", "digest", "comp", block.alias("block"), "blocks", "tokens")
+    # every pair of blocks is a task's work
+    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high"))))
+    dealt = rows.select("star", pairs.alias("p"), "block", "comp", "digest", "tokens").select("star", "p.low", "p.high", "block", "comp", "digest", "tokens")
+    dealt = dealt.repartition("star", "low", "high").sortWithinPartitions("star", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [], [])
+
+        def links() -> pa.RecordBatch:
+            digests, sets, comps, blocks = held
+            found = _forest(digests, sets, np.array(comps), np.array(blocks), similarity) if digests else []
+            return _batch(found, ["a", "b"], [pa.binary(), pa.binary()])
+
+        for batch in batches:
+            tokens = batch.column(6)
+            flat, ends = tokens.flatten().to_numpy(), np.r_[0, np.cumsum(np.asarray(tokens.value_lengths()))].astype(np.int64)
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            rest = [batch.column(i).to_pylist() for i in (5, 4, 3)]
+            for i, key in enumerate(keys):
+                if key != now:
+                    yield links()
+                    now, held = key, ([], [], [], [])
+                for part, value in zip(held, (rest[0][i], np.sort(flat[ends[i] : ends[i + 1]]), rest[1][i], rest[2][i])):
+                    part.append(value)
+        yield links()
+
+    found = save(dealt.mapInArrow(run, "a binary, b binary").distinct(), "across")
+    for table in (open_, sets, several):
+        drop(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,12 +392,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle_wor
     tried = save(stars.unionByName(_simhash_candidates(nodes, radius)).select(unordered).distinct(), "tried")
     first = verified(texts, tried, prefixed, similarity, width)
 
-    placed = save(members.join(_roots(first, nodes), "digest"), "placed")
+    placed = save(members.join(_roots(first, nodes), "digest").select("token", "digest", "comp"), "placed")
     drop(members)
-    rest = save(_across(placed, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
-    links = first
-    if not rest.isEmpty():
-        links = first.unionByName(verified(texts, rest, prefixed, similarity, width))
+    links = first.unionByName(_star_links(texts, placed, lists, similarity, width))
+    drop(placed)
     # a component's smallest id, by text
     placed = save(nodes.join(_roots(links, nodes), "digest").select("digest", "first_id", "comp", "n"), "placed")
     classes = save(placed.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("texts")), "classes")

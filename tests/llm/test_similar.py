@@ -52,6 +52,8 @@ def made(rng):
 def test_components_against_all_pairs(spark, monkeypatch):
     # lists and stars are cut into lots, common shingles are few texts' already
     monkeypatch.setattr(S, "LOT", 3)
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "COLUMNS", 50)
     monkeypatch.setattr(S, "COMMON", 5)
     rng = np.random.default_rng(7)
     rows = made(rng)
@@ -115,3 +117,10 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in S.near_duplicates(df).collect())
     assert got == [("4", "4"), ("4", "4"), ("None", "4"), ("None", "4"), ("None", "None")]
     assert S.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, n)) for n in (1, 5, 80, 200, 0, 33)]
+    got = S.common_shingles(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
