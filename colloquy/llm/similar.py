@@ -15,9 +15,10 @@ no link between different texts is lost from the components:
    first one, its lead.  What is verified joins components, so a large group of
    copies costs about as many tests as it has members.
 4. **Stars.**  Texts that share a list share its lead.  Where the texts of a lead lie
-   in several components, they are compared once more, in blocks of bounded size:
-   a task counts what all its sets have in common by products of matrices and gives
-   back a forest, never pairs.
+   in several components, they are compared once more, in blocks of bounded size: a
+   task counts what all its texts have in common by products of matrices.  First
+   their prefixes tell which texts may be near one of another component, then the
+   whole sets of those give the links, as a forest, never as pairs.
 
 No two texts that share a list are left untested, unless they are in one component.
 Shingles are 64-bit hashes, texts are told apart by 128 bits of their SHA-256.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -228,8 +230,7 @@ def possible(pairs: DataFrame, prefixed: DataFrame, similarity: float) -> DataFr
     prefixes; of the rest they share no more than what that set has left.  Prefixes
     are compared by 32 bits of their shingles, which can only add to what they share.
     """
-    short = prefixed.select("digest", "size", "edge", F.transform("tokens", lambda t: F.shiftright(F.shiftleft(t, 32), 32)).cast("array<int>").alias("tokens"))
-    both = _paired(pairs, short)
+    both = _paired(pairs, _short(prefixed))
     left = {k: F.col(f"{k}.size") - F.size(f"{k}.tokens") for k in "xy"}
     rest = F.when(F.col("x.edge") < F.col("y.edge"), left["x"]).when(F.col("x.edge") > F.col("y.edge"), left["y"]).otherwise(F.greatest(left["x"], left["y"]))
     # repeats of a 32-bit value count, so nothing is missed
@@ -288,67 +289,105 @@ def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(digests: list[bytes], sets: list[np.ndarray], comps: np.ndarray, blocks: np.ndarray, similarity: float) -> list[tuple[bytes, bytes]]:
-    """A forest of the links between different components among the texts of one or two blocks."""
-    if len(sets) < 2 or (comps == comps[0]).all():
-        return []
-    n, both = np.array([len(x) for x in sets]), common_shingles(sets)
-    near = (both >= similarity * (n[:, None] + n[None, :] - both)) & (comps[:, None] != comps[None, :])
-    if len(np.unique(blocks)) > 1:
-        near &= blocks[:, None] != blocks[None, :]
-    i, j = np.nonzero(np.triu(near, 1))
-    forest = Forest(len(sets))
-    forest.join(i, j)
-    tied = np.flatnonzero(forest.parent != np.arange(len(sets)))
-    return [(digests[t], digests[forest.parent[t]]) for t in tied.tolist()]
-
-
-def _star_links(texts: Texts, members: DataFrame, lists: DataFrame, similarity: float, width: int) -> DataFrame:
-    """``a, b``: a forest of the links between components of texts that share a list.
-
-    ``members`` (saved) has token, digest and comp, ``lists`` (saved) token, lead and n.
+@dataclass
+class Block:
+    """Texts of one or two blocks of a star; ``edge`` is where the prefix of a text ends, ``size`` that of its set."""
+
+    digests: list[bytes]
+    tokens: list[np.ndarray]
+    comps: np.ndarray
+    blocks: np.ndarray
+    sizes: np.ndarray
+    edges: np.ndarray
+
+    def apart(self) -> np.ndarray:
+        """Which pairs are this block's to compare: of two components, and of two blocks if there are two."""
+        out = self.comps[:, None] != self.comps[None, :]
+        return out & (self.blocks[:, None] != self.blocks[None, :]) if (self.blocks != self.blocks[0]).any() else out
+
+    def may_link(self, similarity: float) -> list[tuple[bytes]]:
+        """The texts that may be near one of another component; ``tokens`` are the low 32 bits of prefixes."""
+        own = [np.unique(t) for t in self.tokens]
+        # low bits that meet in one text are not to lessen what two have in common
+        spare = np.array([len(t) - len(u) for t, u in zip(self.tokens, own)])
+        left = self.sizes - np.array([len(t) for t in self.tokens])
+        earlier = self.edges[:, None] < self.edges[None, :]
+        rest = np.where(earlier, left[:, None], np.where(earlier.T, left[None, :], np.maximum(left[:, None], left[None, :])))
+        most = common_shingles(own) + spare[:, None] + spare[None, :] + rest
+        both = self.sizes[:, None] + self.sizes[None, :]
+        near = (most * (1 + similarity) >= similarity * both - 1e-6) & (np.minimum(self.sizes[:, None], self.sizes[None, :]) >= similarity * np.maximum(self.sizes[:, None], self.sizes[None, :]) - 1e-6)
+        return [(self.digests[i],) for i in np.flatnonzero((near & self.apart()).any(axis=1)).tolist()]
+
+    def forest(self, similarity: float) -> list[tuple[bytes, bytes]]:
+        """The links between components, as a forest; ``tokens`` are whole sets."""
+        both = common_shingles(self.tokens)
+        near = (both >= similarity * (self.sizes[:, None] + self.sizes[None, :] - both)) & self.apart()
+        forest = Forest(len(self.digests))
+        forest.join(*np.nonzero(np.triu(near, 1)))
+        tied = np.flatnonzero(forest.parent != np.arange(len(self.digests)))
+        return [(self.digests[t], self.digests[forest.parent[t]]) for t in tied.tolist()]
+
+
+def _by_blocks(stars: DataFrame, sides: DataFrame, compare: Callable[[Block], list[tuple]], schema: str) -> DataFrame:
+    """What ``compare`` gives for every pair of blocks of every star, each row once.
+
+    ``stars`` has star, digest and comp, ``sides`` digest, tokens, size and edge.
+    Stars of two texts, whose lead was tried with the other, and those of one
+    component are left out.
     """
-    stars = join_groups(members, lists, ["token"], "n").select(F.col("lead.digest").alias("star"), "digest", "comp").distinct()
     stars = save(stars, "stars")
     several = stars.groupBy("star").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("n > 2 AND low <> high")
     several = save(several.select("star", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "several")
-    open_ = save(join_groups(stars, several, ["star"], "n"), "open")
-    drop(stars)
-    sets = _sets(texts, open_.select("digest").distinct(), width)
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
-    rows = open_.join(sets, "digest").select("star", "digest", "comp", block.alias("block"), "blocks", "tokens")
-    # every pair of blocks is a task's work
+    rows = join_groups(stars, several, ["star"], "n").join(sides, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high"))))
-    dealt = rows.select("star", pairs.alias("p"), "block", "comp", "digest", "tokens").select("star", "p.low", "p.high", "block", "comp", "digest", "tokens")
+    dealt = rows.withColumn("p", pairs).select("star", "p.low", "p.high", "block", "comp", "size", "edge", "digest", "tokens")
     dealt = dealt.repartition("star", "low", "high").sortWithinPartitions("star", "low", "high")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
+        now, held = None, []
 
-        def links() -> pa.RecordBatch:
-            digests, sets, comps, blocks = held
-            found = _forest(digests, sets, np.array(comps), np.array(blocks), similarity) if digests else []
-            return _batch(found, ["a", "b"], [pa.binary(), pa.binary()])
+        def done() -> pa.RecordBatch:
+            found: list[tuple] = []
+            if held:
+                block, comp, size, edge, digests, tokens = zip(*held)
+                if len(set(comp)) > 1:
+                    found = compare(Block(list(digests), list(tokens), np.array(comp), np.array(block), np.array(size), np.array(edge)))
+            return _batch(found, names, [pa.binary()] * len(names))
 
         for batch in batches:
-            tokens = batch.column(6)
+            tokens = batch.column(8)
             flat, ends = tokens.flatten().to_numpy(), np.r_[0, np.cumsum(np.asarray(tokens.value_lengths()))].astype(np.int64)
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            rest = [batch.column(i).to_pylist() for i in (5, 4, 3)]
-            for i, key in enumerate(keys):
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for i, key in enumerate(zip(*columns[:3])):
                 if key != now:
-                    yield links()
-                    now, held = key, ([], [], [], [])
-                for part, value in zip(held, (rest[0][i], np.sort(flat[ends[i] : ends[i + 1]]), rest[1][i], rest[2][i])):
-                    part.append(value)
-        yield links()
-
-    found = save(dealt.mapInArrow(run, "a binary, b binary").distinct(), "across")
-    for table in (open_, sets, several):
-        drop(table)
+                    yield done()
+                    now, held = key, []
+                held.append((*(c[i] for c in columns[3:]), np.sort(flat[ends[i] : ends[i + 1]])))
+        yield done()
+
+    found = save(dealt.mapInArrow(run, schema).distinct(), "compared")
+    drop(stars)
+    drop(several)
     return found
 
 
+def _star_links(texts: Texts, members: DataFrame, lists: DataFrame, prefixed: DataFrame, similarity: float, width: int) -> DataFrame:
+    """``a, b``: a forest of the links between components of texts that share a list.
+
+    ``members`` (saved) has token, digest and comp, ``lists`` (saved) token, lead and n.
+    """
+    stars = save(join_groups(members, lists, ["token"], "n").select(F.col("lead.digest").alias("star"), "digest", "comp").distinct(), "leads")
+    near = _by_blocks(stars, _short(prefixed), lambda b: b.may_link(similarity), "digest binary")
+    sets = _sets(texts, near, width).select("digest", "tokens", F.size("tokens").alias("size"), F.lit(0).alias("edge"))
+    return _by_blocks(stars.join(near, "digest", "left_semi"), sets, lambda b: b.forest(similarity), "a binary, b binary")
+
+
+def _short(prefixed: DataFrame) -> DataFrame:
+    """Prefixes by the low 32 bits of their shingles."""
+    return prefixed.select("digest", "size", "edge", F.transform("tokens", lambda t: F.shiftright(F.shiftleft(t, 32), 32)).cast("array<int>").alias("tokens"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, digest, component_id``.
 
@@ -394,7 +433,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle_wor
 
     placed = save(members.join(_roots(first, nodes), "digest").select("token", "digest", "comp"), "placed")
     drop(members)
-    links = first.unionByName(_star_links(texts, placed, lists, similarity, width))
+    links = first.unionByName(_star_links(texts, placed, lists, prefixed, similarity, width))
     drop(placed)
     # a component's smallest id, by text
     placed = save(nodes.join(_roots(links, nodes), "digest").select("digest", "first_id", "comp", "n"), "placed")
