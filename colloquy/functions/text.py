@@ -79,11 +79,19 @@ def shortened(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))).otherwise(text)
 
 
+def _far(old: Column, new: Column) -> Column:
+    return F.abs(F.length(new) - F.length(old)) > F.greatest(F.floor(F.length(old) / 3), F.lit(12))
+
+
 def accepts_edit(old: Column, new: Column) -> Column:
     """A correction counts if it is not blank, changes something, and changes the length little; white space around it is not counted."""
     own = trimmed(new)
-    far = F.abs(F.length(own) - F.length(old)) > F.greatest(F.floor(F.length(old) / 3), F.lit(12))
-    return (own != "") & (own != old) & ~far
+    return (own != "") & (own != old) & ~_far(old, own)
+
+
+def accepts_padded_edit(old: Column, new: Column) -> Column:
+    """As :func:`accepts_edit` for texts that keep their padding: spaces around either change nothing, but count as length."""
+    return (F.trim(new) != "") & (F.trim(new) != F.trim(old)) & ~_far(old, new)
 
 
 def marked_parts(text: Column, part: Column) -> Column:
