@@ -1,16 +1,15 @@
-"""An approximate index for filtered vector search: an inverted file of half-precision codes.
+"""An index for filtered vector search: an inverted file of half-precision codes.
 
 Vectors are scaled to length 1 and lie in one folder for each cell, which is the
 centroid that they are nearest to.  The centroids are trained on a bounded sample;
-every vector is indexed.  A query visits cells in the order of their centroids'
-similarity and goes on, twice as many cells each time, until as many rows as it asks
-for have come through the filters and the other cells are not expected to hold
-better ones, as a filter behind a fixed number of cells would leave too few.  What
-to expect is told by how many vectors a cell has, how near they are to its centroid
-on average, and the share that passes the filters; what they have across that line
-counts as a random direction.  What came through best is ranked again by the chunks' own vectors, so the
-scores are exact, a chunk that is gone is not found, and one whose vector has
-changed is found by the new one once that is added.
+every vector is indexed.  A query first visits cells in the order of their centroids'
+similarity, twice as many each time, until rows enough have come through the filters
+to rank by the chunks' own vectors.  The last of these is a bar that every row of the
+answer reaches.  Then all cells are visited that may hold a row above it: a cell's
+farthest vector tells how near to the query any of its vectors can be.  The codes that
+reach the bar, less what half precision may have cost them, are ranked by the chunks'
+own vectors, so no row is missed and the scores are exact; a chunk that is gone is not
+found, and one whose vector has changed is found by the new one once that is added.
 """
 
 from __future__ import annotations
@@ -33,13 +32,16 @@ SAMPLE_PER_CELL, MOST_CELLS = 64, 4096
 #: Vectors that a cell should have.
 CELL_ROWS = 2_000
 STEPS = 8
-#: Rows that may be expected to be missed, and candidates that are ranked again, for each one asked for.
-MISSED, RERANKED = 0.02, 10
+#: Candidates that are ranked to find the bar, for each row asked for.
+RERANKED = 10
+#: What half precision may change in a similarity: 2^-11 of each component, and small ones by 2^-25.
+CODE_ERROR = 2.0**-10
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero stays, and a row that is not finite is not a number."""
     size = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return np.divide(x, size, out=np.zeros_like(x), where=size != 0)
 
 
 def train_centroids(sample: np.ndarray, cells: int, steps: int = STEPS) -> np.ndarray:
@@ -64,8 +66,6 @@ class VectorIndex:
     spark: SparkSession
     path: str
     centroids: np.ndarray
-    #: Of each cell the number of vectors and the sum of their similarities to the centroid.
-    filled: np.ndarray
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, cells: int | None = None) -> VectorIndex:
@@ -79,8 +79,9 @@ class VectorIndex:
             cells = min(MOST_CELLS, max(1, math.ceil(known.count() / CELL_ROWS)))
         sample = known.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE_PER_CELL * cells).select("embedding").collect()
         vectors = np.array([r["embedding"] for r in sample], dtype=float) if sample else np.zeros((1, 1))
-        centroids = train_centroids(vectors, cells)
-        index = cls(spark, path, centroids, np.zeros((len(centroids), 2)))
+        finite = vectors[np.isfinite(vectors).all(axis=1)]
+        centroids = train_centroids(finite if len(finite) else np.zeros((1, vectors.shape[1])), cells)
+        index = cls(spark, path, centroids)
         spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
         index.add(known)
         return cls.open(spark, path)
@@ -88,16 +89,18 @@ class VectorIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorIndex:
         rows = sorted((r["cell"], r["centroid"]) for r in spark.read.parquet(f"{path}/centroids").collect())
-        filled = np.zeros((len(rows), 2))
-        for r in spark.read.schema("cell int, n long, near double").parquet(f"{path}/filled").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("near").alias("near")).collect():
-            filled[r["cell"]] = r["n"], r["near"]
-        return cls(spark, path, np.array([c for _, c in rows], dtype=float), filled)
+        return cls(spark, path, np.array([c for _, c in rows], dtype=float))
 
-    def add(self, chunks: DataFrame) -> None:
-        """Add codes of ``chunks``; of one that is there already both stay, and the chunk's own vector decides.
+    def _least(self) -> np.ndarray:
+        """Of each cell the least similarity of a vector to the centroid; 1 where there is none."""
+        least = np.ones(len(self.centroids))
+        # an index from before this was kept does not say, so its cells are always visited
+        for r in self.spark.read.schema("cell int, least double").parquet(f"{self.path}/filled").groupBy("cell").agg(F.min(F.coalesce("least", F.lit(-1.0))).alias("least")).collect():
+            least[r["cell"]] = r["least"]
+        return least
 
-        An index that is open still sees the codes; open it again for what to expect of its cells.
-        """
+    def add(self, chunks: DataFrame) -> None:
+        """Add codes of ``chunks``; of one that is there already both stay, and the chunk's own vector decides."""
         centroids = self.centroids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +109,9 @@ class VectorIndex:
                 x = unit(np.array(vectors, dtype=float).reshape(len(vectors), -1)) if vectors else np.zeros((0, centroids.shape[1]))
                 all_near = x @ centroids.T
                 cell = all_near.argmax(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary()), pa.array(all_near.max(axis=1)), pa.array(cell)], ["chunk_id", "recording_id", "code", "near", "cell"])
+                # what is not finite may be anywhere
+                near = np.nan_to_num(all_near.max(axis=1), nan=-1.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary()), pa.array(near), pa.array(cell)], ["chunk_id", "recording_id", "code", "near", "cell"])
 
         rows = chunks.where("embedding IS NOT NULL").select(F.col("chunk_id").cast("long"), F.col("recording_id").cast("long"), "embedding")
         coded = rows.mapInArrow(run, "chunk_id long, recording_id long, code binary, near double, cell int")
@@ -114,7 +119,7 @@ class VectorIndex:
         # a cell is dealt over several tasks and files, as it may be large
         coded.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("cell").parquet(batch)
         added = self.spark.read.schema("near double, cell int").parquet(batch)
-        added.groupBy("cell").agg(F.count("*").alias("n"), F.sum("near").alias("near")).coalesce(1).write.mode("append").parquet(f"{self.path}/filled")
+        added.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("least")).coalesce(1).write.mode("append").parquet(f"{self.path}/filled")
 
     def _approximate(self, rows: DataFrame, vector: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +130,13 @@ class VectorIndex:
 
         return rows.select("chunk_id", "code").mapInArrow(run, "chunk_id long, near double")
 
-    def _expected(self, cells: list[int], near: np.ndarray, least: float, share: float) -> float:
-        """How many rows of ``cells`` that pass the filters are more similar than ``least``."""
-        n, total = self.filled[cells, 0], self.filled[cells, 1]
-        along = np.clip(total / np.maximum(n, 1), 0, 1) * near[cells]
-        across = np.sqrt(np.maximum(0, 1 - near[cells] ** 2) * np.maximum(0, 1 - np.clip(total / np.maximum(n, 1), 0, 1) ** 2) / max(1, self.centroids.shape[1] - 1))
-        away = (least - along) / np.maximum(across, 1e-9) / math.sqrt(2)
-        return share * float(sum(k * 0.5 * math.erfc(z) for k, z in zip(n, away)))
+    def _nearest(self, similar: np.ndarray) -> np.ndarray:
+        """How similar to the query a vector of each cell can be: its angle to the centroid is at most the farthest one's."""
+        apart = np.arccos(np.clip(similar, -1, 1)) - np.arccos(np.clip(self._least(), -1, 1))
+        return np.where(apart > 0, np.cos(np.maximum(apart, 0)), 1.0)
 
     def candidates(self, scope: Scope, vector: list[float], n: int) -> tuple[DataFrame, int]:
-        """``chunk_id`` of the best of the visited cells that pass the scope's filters, and how many cells those are."""
+        """``chunk_id`` of all rows that pass the scope's filters and may be among the best ``n``, and how many cells were visited."""
         batches = names_in(self.spark, f"{self.path}/codes")
         present = {int(x.removeprefix("cell=")) for b in batches for x in names_in(self.spark, f"{self.path}/codes/{b}") if x.startswith("cell=")}
         if not present:
@@ -143,31 +145,32 @@ class VectorIndex:
         similar = self.centroids @ own
         order = [c for c in np.argsort(-similar, kind="stable").tolist() if c in present]
         codes = self.spark.read.schema("chunk_id long, recording_id long, code binary, batch string, cell int").parquet(f"{self.path}/codes")
-        allowed = scope.chunks.select("chunk_id")
-        at, step, passed, seen = 0, max(1, len(order) // 64), 0, 0.0
-        best: list[tuple[float, int]] = []
-        while at < len(order):
-            cells = order[at : at + step]
-            mine = codes.where(F.col("cell").isin(cells)).join(allowed, "chunk_id", "left_semi")
-            found = self._approximate(mine, own).orderBy(F.desc("near"), "chunk_id").limit(RERANKED * n).collect()
-            # fewer than asked for are all that came through
-            passed += len(found) if len(found) < RERANKED * n else mine.count()
-            seen += self.filled[cells, 0].sum()
-            best = sorted({*best, *((-r["near"], r["chunk_id"]) for r in found)})[: RERANKED * n]
+        allowed = scope.chunks.where("embedding IS NOT NULL").select("chunk_id")
+
+        def visited(cells: list[int]) -> DataFrame:
+            return self._approximate(codes.where(F.col("cell").isin(cells)).join(allowed, "chunk_id", "left_semi"), own)
+
+        at, step, best = 0, max(1, len(order) // 64), {}
+        while at < len(order) and len(best) < n:
+            for r in visited(order[at : at + step]).groupBy("chunk_id").agg(F.max("near").alias("near")).orderBy(F.desc("near"), "chunk_id").limit(RERANKED * n).collect():
+                best[r["chunk_id"]] = max(r["near"], best.get(r["chunk_id"], -2.0))
             at, step = at + step, step * 2
-            if len(best) >= n and self._expected(order[at:], similar, -best[n - 1][0], passed / max(1.0, seen)) <= MISSED * n:
-                break
-        rows = self.spark.createDataFrame(sorted({(i,) for _, i in best}), "chunk_id long")
-        return rows, min(at, len(order))
+        if len(best) < n:
+            return self.spark.createDataFrame([(i,) for i in best], "chunk_id long"), len(order)
+        # codes may be of vectors that have changed, so the bar is of the chunks' own
+        first = self.spark.createDataFrame([(i,) for i in sorted(best, key=lambda i: (-best[i], i))[: RERANKED * n]], "chunk_id long")
+        bar = semantic_scores(scope.chunks.join(F.broadcast(first), "chunk_id"), vector).orderBy(F.desc("score")).limit(n).agg(F.min("score")).first()[0]
+        bar = min(1.0, bar) if bar == bar else 1.0
+        may = self._nearest(similar)
+        cells = [c for c in order if may[c] >= bar - 1e-6]
+        return visited(cells).where(F.col("near") >= bar - CODE_ERROR).select("chunk_id").distinct(), len({*cells, *order[:at]})
 
     def scores(self, scope: Scope, vector: list[float], n: int) -> DataFrame:
-        """``chunk_id, score`` of at most ``RERANKED * n`` candidates, exact."""
+        """``chunk_id, score`` of candidates, exact; the best ``n`` of all chunks are among them."""
         rows, _ = self.candidates(scope, vector, n)
-        # bounded by the candidates asked for
-        mine = scope.chunks.select("chunk_id", "embedding").join(F.broadcast(rows), "chunk_id")
-        return semantic_scores(mine, vector)
+        return semantic_scores(scope.chunks.select("chunk_id", "embedding").join(rows, "chunk_id"), vector)
 
     def search(self, scope: Scope, vector: list[float], limit: int | None = None) -> DataFrame:
-        """The rows of :func:`.search.semantic_search`, approximately: scores and order are exact, a row may be missed."""
+        """The rows of :func:`.search.semantic_search`."""
         limit = clamped(limit, 20, 200)
         return widened(self.scores(scope, vector, limit), scope, limit)

@@ -144,6 +144,18 @@ def test_vector_index_changes_and_hard_rows(spark, tmp_path):
     assert VectorIndex.build(empty.chunks, f"{tmp_path}/none", cells=3).search(empty, [1.0, 0.0]).collect() == []
 
 
+def test_vector_index_misses_no_row(spark, tmp_path):
+    """One row of a tight cell lies far from its centroid and next to the query; copies and a vector that is not finite."""
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(i, i // 20, 0, 1, "", at(0 if i < 2000 else 90)) for i in range(4000)] + [(4000, 200, 0, 1, "", at(44)), (4001, 200, 0, 1, "", [float("nan"), 1.0])]
+    scope = scope_of(spark, rows)
+    index = VectorIndex.build(scope.chunks.where("chunk_id <> 4000"), f"{tmp_path}/cells", cells=2)
+    index.add(scope.chunks.where("chunk_id = 4000"))
+    got, want = ({i for i, _ in hits(rows)} for rows in (index.search(scope, at(60), 20), search.semantic_search(scope, at(60), 20)))
+    assert want == {4001, 4000, *range(2000, 2018)}
+    assert got == want
+
+
 def test_centroids_are_units_and_none_is_lost():
     x = np.repeat(np.eye(4), 30, axis=0)
     c = train_centroids(x, 4)
