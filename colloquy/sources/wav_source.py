@@ -6,11 +6,13 @@
 gives ``path, sample_rate, first_frame, samples``: mono samples in -1..1, a row for
 each ``ROW_FRAMES`` frames.  A partition is a range of at most ``frames`` frames of one
 file, of which it reads those bytes alone; only the headers are read to make the
-partitions.
+partitions.  Among more than ``GROUP_FILES`` files those of at most ``GROUP_BYTES`` share
+partitions of about so many bytes and files, which read the headers too; their rows are the same.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +28,9 @@ from .audio import WavLayout, parse_wav, read_layout
 from .file_sink import opened, write_files
 
 FRAMES, ROW_FRAMES = 960_000, 16_000
+GROUP_FILES, GROUP_BYTES = 500, 32 << 20
+#: Bytes of decoded segments that a task hands on together.
+BATCH_BYTES = 4 << 20
 SCHEMA = "path string, sample_rate int, first_frame long, samples array<float>"
 
 
@@ -40,39 +45,61 @@ class FrameRange(InputPartition):
         super().__init__((self.path, self.first))
 
 
+@dataclass
+class FileGroup(InputPartition):
+    files: list[str]
+    frames: int
+
+    def __post_init__(self) -> None:
+        super().__init__(tuple(self.files))
+
+
 class WavReader(DataSourceReader):
     def __init__(self, path: str, frames: int):
         self.path, self.frames = path.rstrip("/"), frames
 
-    def _files(self, store: fs.FileSystem, path: str) -> list[str]:
+    def _files(self, store: fs.FileSystem, path: str) -> list[tuple[str, int]]:
         info = store.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
         if info.type == fs.FileType.File:
-            return [path]
+            return [(path, info.size)]
         hidden = lambda p: any(x.startswith(("_", ".")) for x in p[len(path) :].split("/"))
-        return sorted(x.path for x in store.get_file_info(fs.FileSelector(path, recursive=True)) if x.type == fs.FileType.File and x.path.lower().endswith(".wav") and not hidden(x.path))
+        return sorted((x.path, x.size) for x in store.get_file_info(fs.FileSelector(path, recursive=True)) if x.type == fs.FileType.File and x.path.lower().endswith(".wav") and not hidden(x.path))
 
-    def partitions(self) -> list[FrameRange]:
+    def partitions(self) -> list[FrameRange | FileGroup]:
         store, path = opened(self.path)
+        files = self._files(store, path)
+        many = len(files) > GROUP_FILES
+        found, group, size = [], [], 0
+        for file, length in files:
+            if not many or length > GROUP_BYTES:
+                found += _ranges(store, file, self.frames)
+                continue
+            if group and (size + length > GROUP_BYTES or len(group) == GROUP_FILES):
+                found.append(FileGroup(group, self.frames))
+                group, size = [], 0
+            group.append(file)
+            size += length
+        return [*found, FileGroup(group, self.frames)] if group else found
+
+    def read(self, part: FrameRange | FileGroup) -> Iterator[pa.RecordBatch]:
+        store, _ = opened(self.path)
+        for range_ in [part] if isinstance(part, FrameRange) else (r for file in part.files for r in _ranges(store, file, part.frames)):
+            with store.open_input_file(range_.path) as f:
+                for first in range(range_.first, range_.first + range_.frames, ROW_FRAMES):
+                    n = min(ROW_FRAMES, range_.first + range_.frames - first)
+                    f.seek(range_.layout.start + first * range_.layout.frame_bytes)
+                    samples = range_.layout.mono(f.read(n * range_.layout.frame_bytes)).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([range_.path]), pa.array([range_.layout.rate], pa.int32()), pa.array([first], pa.int64()), pa.array([samples], pa.list_(pa.float32()))], ["path", "sample_rate", "first_frame", "samples"]
+                    )
 
-        found = []
-        for file in self._files(store, path):
-            with store.open_input_file(file) as f:
-                one = read_layout(f)
-            found += [FrameRange(file, one, first, min(self.frames, one.frames - first)) for first in range(0, one.frames, self.frames)]
-        return found
 
-    def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
-        store, _ = opened(self.path)
-        with store.open_input_file(part.path) as f:
-            for first in range(part.first, part.first + part.frames, ROW_FRAMES):
-                n = min(ROW_FRAMES, part.first + part.frames - first)
-                f.seek(part.layout.start + first * part.layout.frame_bytes)
-                samples = part.layout.mono(f.read(n * part.layout.frame_bytes)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.path]), pa.array([part.layout.rate], pa.int32()), pa.array([first], pa.int64()), pa.array([samples], pa.list_(pa.float32()))], ["path", "sample_rate", "first_frame", "samples"]
-                )
+def _ranges(store: fs.FileSystem, file: str, frames: int) -> list[FrameRange]:
+    with store.open_input_file(file) as f:
+        one = read_layout(f)
+    return [FrameRange(file, one, first, min(frames, one.frames - first)) for first in range(0, one.frames, frames)]
 
 
 class WavFrames(DataSource):
@@ -106,16 +133,30 @@ def concatenated(segments: DataFrame, path: str) -> DataFrame:
     recording may be missing.
     """
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layouts = [read_layout(io.BytesIO(content or b"")) for content in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.rate for x in layouts], pa.int32()), pa.array([x.frames for x in layouts], pa.int64())], ["recording_id", "seq", "rate", "n"])
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["recording_id", "seq", "content"]
         for batch in batches:
-            for rec, seq, content in zip(batch.column(0), batch.column(1), batch.column(2)):
-                rate, samples = parse_wav(content.as_py() or b"")
-                pcm = np.clip(np.round(samples * 32768), -32768, 32767).astype("<i2")
-                yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()], pa.string()), pa.array([seq.as_py()], pa.int32()), pa.array([rate], pa.int32()), pa.array([len(pcm)], pa.int64()), pa.array([pcm.tobytes()], pa.binary())], ["recording_id", "seq", "rate", "n", "content"])
+            at, held, size = 0, [], 0
+            for content in batch.column(2):
+                pcm = np.clip(np.round(parse_wav(content.as_py() or b"")[1] * 32768), -32768, 32767).astype("<i2").tobytes()
+                if held and size + len(pcm) > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), batch.column(1).slice(at, len(held)), pa.array(held, pa.binary())], names)
+                    at, held, size = at + len(held), [], 0
+                held.append(pcm)
+                size += len(pcm)
+            if held:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at), batch.column(1).slice(at), pa.array(held, pa.binary())], names)
 
     kind = segments.schema["recording_id"].dataType
-    own = segments.select(F.col("recording_id").cast("string"), F.col("seq").cast("int"), "content").mapInArrow(decode, "recording_id string, seq int, rate int, n long, content binary")
-    sizes = own.groupBy("recording_id").agg(F.sum("n").alias("n"), F.min("rate").alias("rate"), F.max("rate").alias("most"), F.count("*").alias("n_segments"), F.count_distinct("seq").alias("seqs"))
+    given = segments.select(F.col("recording_id").cast("string"), F.col("seq").cast("int"), "content")
+    own = given.mapInArrow(decode, "recording_id string, seq int, content binary")
+    measured = given.mapInArrow(measure, "recording_id string, seq int, rate int, n long")
+    sizes = measured.groupBy("recording_id").agg(F.sum("n").alias("n"), F.min("rate").alias("rate"), F.max("rate").alias("most"), F.count("*").alias("n_segments"), F.count_distinct("seq").alias("seqs"))
     wrong = F.when(F.col("rate") != F.col("most"), F.raise_error(F.concat(F.lit("several sample rates in recording "), "recording_id"))).when(F.col("n_segments") != F.col("seqs"), F.raise_error(F.concat(F.lit("segments of one number in recording "), "recording_id")))
     sizes = sizes.where(wrong.isNull())
     key = F.concat("recording_id", F.lit("/audio.wav"))

@@ -98,6 +98,24 @@ def test_wav_files_in_ranges_of_frames(spark, tmp_path, monkeypatch):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
 
 
+def test_many_small_wav_files_share_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("colloquy.sources.wav_source.GROUP_FILES", 8)
+    monkeypatch.setattr("colloquy.sources.wav_source.GROUP_BYTES", 4000)
+    for k in range(30):
+        (tmp_path / f"{k:02}.wav").write_bytes(wav(range(k, 10 * k)))
+    (tmp_path / "long.wav").write_bytes(wav([7] * 5000))
+    reader = WavReader(str(tmp_path), 100)
+    parts = reader.partitions()
+    # 50 ranges of the long file; the small ones are a few groups
+    assert len(parts) < 50 + 12
+    got = {}
+    for batch in (b for p in parts for b in reader.read(p)):
+        for r in batch.to_pylist():
+            assert len(r["samples"]) <= 100 and r["first_frame"] % 100 == 0
+            got.setdefault(r["path"].split("/")[-1], {})[r["first_frame"]] = r["samples"]
+    assert {n: [round(x * 32768) for first in sorted(rows) for x in rows[first]] for n, rows in got.items()} == {f"{k:02}.wav": list(range(k, 10 * k)) for k in range(1, 30)} | {"long.wav": [7] * 5000}
+
+
 def test_segments_end_to_end(spark, tmp_path):
     rng = np.random.default_rng(1)
     parts = {(r, s): rng.integers(-32768, 32768, int(rng.integers(0, 3000))) for r in (1, 2) for s in range(12)}
