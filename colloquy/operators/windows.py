@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import trimmed, words
 
@@ -80,22 +85,39 @@ def split_evenly(start: Column, end: Column, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda i: F.struct((start + F.floor(length * i / pieces)).alias("start"), (start + F.floor(length * (i + 1) / pieces)).alias("end")))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once; a lambda would compute what it names again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _running(lengths: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else np.cumsum(x) for x in lengths], dtype="object")
+
+
 def interpolated(text: Column, start: Column, end: Column) -> Column:
     """Array of (pos, token, start_ms, end_ms): the span shared out by token length."""
     tokens = words(text)
-    span = F.greatest(end - start, F.lit(0)).cast("double")
-    total = F.length(F.array_join(tokens, ""))
-    upto = lambda k: F.length(F.array_join(F.slice(tokens, F.lit(1), k), ""))
-    at = lambda k: (start + F.floor(span * upto(k) / total + 0.5)).cast("long")
-    return F.transform(tokens, lambda token, i: F.struct(i.alias("pos"), token.alias("token"), at(i).alias("start_ms"), at(i + 1).alias("end_ms")))
+    given = F.struct(tokens.alias("tokens"), _running(F.transform(tokens, lambda t: F.length(t).cast("long"))).alias("upto"), F.greatest(end - start, F.lit(0)).cast("double").alias("span"), start.alias("start"))
+
+    def placed(g: Column) -> Column:
+        at = lambda upto: (g["start"] + F.floor(g["span"] * upto / F.element_at(g["upto"], -1) + 0.5)).cast("long")
+        return F.transform(
+            g["tokens"], lambda token, i: F.struct(i.alias("pos"), token.alias("token"), at(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(g["upto"], i - 1))).alias("start_ms"), at(F.get(g["upto"], i)).alias("end_ms"))
+        )
+
+    return _bound(given, placed)
 
 
 def spread_evenly(text: Column, length_ms: Column) -> Column:
     """Array of (w, start_ms, end_ms): equal parts of a clip, the last takes what is left."""
-    tokens = words(text)
-    n = F.size(tokens)
-    part = F.floor(length_ms / n)
-    return F.transform(tokens, lambda w, i: F.struct(w.alias("w"), (i * part).alias("start_ms"), F.when(i == n - 1, length_ms).otherwise((i + 1) * part).alias("end_ms")))
+
+    def spread(g: Column) -> Column:
+        n = F.size(g["tokens"])
+        part = F.floor(g["length"] / n)
+        return F.transform(g["tokens"], lambda w, i: F.struct(w.alias("w"), (i * part).alias("start_ms"), F.when(i == n - 1, g["length"]).otherwise((i + 1) * part).alias("end_ms")))
+
+    return _bound(F.struct(words(text).alias("tokens"), length_ms.alias("length")), spread)
 
 
 def words_of_tokens(tokens: DataFrame, keys: list[str], order: str, token: str = "token") -> DataFrame:
