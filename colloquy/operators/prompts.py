@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .windows import joined
 
 BUDGET, LEAST_BUDGET, ROUNDS = 18_000, 2_000, 4
 LOOKAHEAD = 4
+#: Utterances that are aligned at once.
+ALIGNED = 200
 
 
 def transcript(utterances: DataFrame, label: str = "label") -> DataFrame:
@@ -291,11 +294,20 @@ def align_tokens(tokens: list[str], words: list[dict], start: int, end: int) ->
     return out
 
 
+_TIMED = pa.list_(pa.struct([("token", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and words of a few utterances are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ALIGNED):
+            part = batch.slice(at, ALIGNED)
+            tokens = [[{"token": t, "start_ms": a, "end_ms": b} for t, a, b in align_tokens((x or "").split(), w or [], s, e)] for x, w, s, e in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, _TIMED)], ["utterance_id", "tokens"])
+
+
 def timed_tokens(utterances: DataFrame) -> DataFrame:
     """``utterance_id, tokens``: display tokens with times; utterances have ``words`` (w, start_ms, end_ms)."""
 
-    @F.pandas_udf("array<struct<token:string,start_ms:long,end_ms:long>>")
-    def align(text: pd.Series, words: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-        return pd.Series([[{"token": t, "start_ms": a, "end_ms": b} for t, a, b in align_tokens((x or "").split(), list(w) if w is not None else [], int(s), int(e))] for x, w, s, e in zip(text, words, start, end, strict=True)])
-
-    return utterances.select("utterance_id", align("text", "words", "start_ms", "end_ms").alias("tokens"))
+    own = utterances.select("utterance_id", "text", "words", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))
+    return own.mapInArrow(_aligned, f"utterance_id {own.schema['utterance_id'].dataType.simpleString()}, tokens array<struct<token:string,start_ms:bigint,end_ms:bigint>>")
