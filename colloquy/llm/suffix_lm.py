@@ -140,6 +140,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes[first], np.add.reduceat(counts[order], first, dtype=counts.dtype) if len(first) else counts
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted; sorts in place, as nothing goes with the values."""
+    codes = np.concatenate(parts)
+    codes.sort()
+    return codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
+
+
 def _firsts(values: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, dtype=np.int64)
@@ -218,7 +225,8 @@ def _listed(texts: list[bytes], sizes: list[list[int]], learns: list[list[bool]]
 
 def _dealt(codes: np.ndarray, depth: int, cells: int) -> Iterator[tuple[int, np.ndarray]]:
     """The cells of sorted grams, and where their grams are, in order."""
-    cell = _cell(codes, depth, cells)
+    # two bytes for each gram, which are also sorted by their digits
+    cell = _cell(np.arange(1 << 16, dtype=np.int64) << 8 * (depth - 1), depth, cells).astype(np.uint16)[codes >> 8 * (depth - 1)]
     order = np.argsort(cell, kind="stable")
     first = _firsts(cell[order])
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True):
@@ -337,11 +345,12 @@ def _scored(texts: pa.Table, logs: pa.Table, depth: int, cells: int) -> pa.Table
     for codes, _, starts in _opened(texts["texts"][0].as_py(), texts["sizes"][0].as_py(), depth):
         own, inverse = np.unique(codes, return_inverse=True)
         slices.append((own, inverse.astype(np.int32), starts))
-        found.append((own, np.zeros(len(own), dtype=np.int8)))
+        found.append(own)
         held += len(own)
         if held > HELD_GRAMS:
-            found, held = [_merged(found)], 0
-    codes, _ = _merged(found)
+            found, held = [_distinct(found)], 0
+    codes = _distinct(found)
+    del found
     log = np.zeros(len(codes), dtype=np.float32)
     for cell, at in _dealt(codes, depth, cells):
         log[at] = _unpacked(sent[cell][1], sent[cell][0], np.float32)
