@@ -126,6 +126,12 @@ def _laid_flat(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.nda
 
 def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
     """For each position from ``depth`` on: its context, last byte first, then its symbol."""
+    if depth == DEPTH == 6:
+        # two bytes, then four, then six: narrow numbers are put together faster
+        two = flat[1:].astype(np.uint16) << 8 | flat[:-1]
+        four = two[2:].astype(np.uint32) << 16 | two[:-2]
+        code = four[2:-1].astype(np.int64) << 16 | two[:-5]
+        return code << 8 | flat[depth:]
     code = np.zeros(len(flat) - depth, dtype=np.int64)
     for k in range(1, depth + 1):
         code = (code << 8) | flat[depth - k : len(flat) - k]
@@ -134,7 +140,7 @@ def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes = codes[order]
     first = _firsts(codes)
     return codes[first], np.add.reduceat(counts[order], first, dtype=counts.dtype) if len(first) else counts
@@ -183,8 +189,9 @@ class Block:
     def add(self, words: list[list[bytes]], train: np.ndarray) -> None:
         flat, starts, predicted = _laid_flat(words, self.depth)
         lengths = np.diff(np.r_[starts, len(flat)])
-        known = np.flatnonzero(predicted & np.repeat(train, lengths))
-        self.pairs += np.bincount(flat[known - 1].astype(np.int64) << 8 | flat[known], minlength=1 << 16)
+        # the first byte is not predicted, so it follows none
+        known = (predicted & np.repeat(train, lengths))[1:]
+        self.pairs += np.bincount((flat[:-1].astype(np.uint16) << 8 | flat[1:])[known], minlength=1 << 16)
         self.texts.append(pa.compress(flat.tobytes(), codec="zstd", asbytes=True))
         self.lengths.append(lengths.tolist())
         self.learns.append(train.tolist())
@@ -213,7 +220,7 @@ def _listed(texts: list[bytes], sizes: list[list[int]], learns: list[list[bool]]
     for (codes, n, _), train in zip(_opened(texts, sizes, depth), learns, strict=True):
         learned = np.repeat(np.asarray(train, dtype=bool), n)
         own, times = np.unique(codes[learned], return_counts=True)
-        other = np.unique(codes[~learned])
+        other = _distinct([codes[~learned]])
         found += [(own, times.astype(np.uint32)), (other, np.zeros(len(other), dtype=np.uint32))]
         held += len(found[-1][0]) + len(found[-2][0])
         if held > HELD_GRAMS:
@@ -336,17 +343,26 @@ LOGS = pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("n", pa.int64())
 SCORES = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("score", pa.float64())])
 
 
+def _sums(own: np.ndarray, starts: np.ndarray, codes: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """Sums of the logarithms of a slice's grams ``own`` from each of ``starts`` on."""
+    order = np.argsort(own)
+    own = own[order]
+    new = np.r_[True, own[1:] != own[:-1]]
+    each = np.empty(len(own))
+    each[order] = log[np.searchsorted(codes, own[new])][np.cumsum(new) - 1]
+    return np.add.reduceat(each, starts)
+
+
 def _scored(texts: pa.Table, logs: pa.Table, depth: int, cells: int) -> pa.Table:
     """log10 probability of each text of one block with its end."""
     if not texts.num_rows:
         return SCORES.empty_table()
     sent = {cell: (n, raw) for cell, n, raw in zip(*(logs[x].to_pylist() for x in ("cell", "n", "logs")), strict=True)}
-    found, held, slices = [], 0, []
-    for codes, _, starts in _opened(texts["texts"][0].as_py(), texts["sizes"][0].as_py(), depth):
-        own, inverse = np.unique(codes, return_inverse=True)
-        slices.append((own, inverse.astype(np.int32), starts))
-        found.append(own)
-        held += len(own)
+    raw, sizes = texts["texts"][0].as_py(), texts["sizes"][0].as_py()
+    found, held = [], 0
+    for codes, _, _ in _opened(raw, sizes, depth):
+        found.append(_distinct([codes]))
+        held += len(found[-1])
         if held > HELD_GRAMS:
             found, held = [_distinct(found)], 0
     codes = _distinct(found)
@@ -354,7 +370,8 @@ def _scored(texts: pa.Table, logs: pa.Table, depth: int, cells: int) -> pa.Table
     log = np.zeros(len(codes), dtype=np.float32)
     for cell, at in _dealt(codes, depth, cells):
         log[at] = _unpacked(sent[cell][1], sent[cell][0], np.float32)
-    score = np.concatenate([np.add.reduceat(log[np.searchsorted(codes, own)].astype(float)[inverse], starts) for own, inverse, starts in slices])
+    # slices are opened once more, as places for all bytes of a block would take more than its text
+    score = np.concatenate([_sums(own, starts, codes, log) for own, _, starts in _opened(raw, sizes, depth)])
     block = pa.array(np.full(len(score), texts["block"][0].as_py()))
     return pa.table([block, pa.array(np.arange(len(score))), pa.array(score)], schema=SCORES)
 

@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import suffix_lm as L
@@ -93,3 +95,29 @@ def test_the_defaults_are_six_bytes_and_a_count(spark):
     total = sum(len(t) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
     against_plain(spark, rows, L.DEPTH, (L.MIN_COUNT - 0.5) / total)
     assert L.DEPTH == 6
+
+
+def test_scoring_a_block_holds_no_places_of_its_bytes(monkeypatch):
+    monkeypatch.setattr(L, "SLICE_BYTES", 1 << 16)
+    block, texts = L.Block(L.DEPTH), [b"the cat sat on mat %d again" % (i % 50) for i in range(150_000)]
+    for words in L._slices(iter(texts)):
+        block.add(words, np.ones(len(words), dtype=bool))
+    s = block.saved()
+    listed = list(L._listed(s["texts"], s["sizes"], s["learns"], L.DEPTH, 4))
+    # grams of one text have one logarithm each, so a score is their number
+    logs = pa.table({"cell": [c for c, _, _ in listed], "n": [len(x) for _, x, _ in listed], "logs": [L._packed(np.full(len(x), -1, dtype=np.float32)) for _, x, _ in listed]})
+    row = pa.table({"block": [1], "texts": pa.array([s["texts"]], pa.list_(pa.binary())), "sizes": [s["sizes"]]})
+    tracemalloc.start()
+    got = L._scored(row, logs, L.DEPTH, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["score"].to_pylist() == [-(len(t) + 1.0) for t in texts]
+    # the places of all bytes alone would take four times the block
+    assert peak < 4 * block.size, peak / block.size
+
+
+def test_codes_are_the_bytes_before_from_the_last_one_on():
+    flat = np.random.default_rng(1).integers(0, 256, 40).astype(np.uint8)
+    for depth in (2, 5, 6):
+        want = [int.from_bytes(bytes(flat[t - depth : t][::-1]) + bytes(flat[t : t + 1])) for t in range(depth, 40)]
+        assert L._codes(flat, depth).tolist() == want
