@@ -1,6 +1,8 @@
 import time
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from colloquy.operators import speakers as S
@@ -69,3 +71,22 @@ def test_long_recordings_by_rounds(spark, tmp_path, monkeypatch):
     for largest in (40, 100_000):
         got = {(r["recording_id"], r["fragment_no"]): r["cluster"] for r in S.cluster_fragments(df, "stated", largest, str(tmp_path / str(largest))).collect()}
         assert got == want
+
+
+def test_two_blocks_of_clusters_meet_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, n = rng.normal(size=(3000, 4)).round(1), rng.integers(1, 5, 3000)
+    left = pd.DataFrame({"recording_id": 1, "slot": np.arange(3000), "v": list(x), "n": n})
+    right = pd.DataFrame({"other": np.arange(3000), "w": list(x), "m": n}).sample(frac=1, random_state=1)
+    near = np.round((x @ x.T) / (n[:, None] * n), 12)
+    np.fill_diagonal(near, -np.inf)
+    tracemalloc.start()
+    got = S._nearest_clusters(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["slot"].tolist() == list(range(3000)) and got["other"].tolist() == near.argmax(axis=1).tolist() and got["similarity"].tolist() == near.max(axis=1).tolist()
+    # all similarities at once are 72 MB
+    assert peak < 60e6, peak
+    monkeypatch.setattr(S, "CELLS", 1)
+    assert S._nearest_clusters(left[:9], right).equals(got[:9])
+    assert S._nearest_clusters(left[:1], right[right["other"] == 0]).empty
