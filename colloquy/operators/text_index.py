@@ -14,9 +14,12 @@ leaves the index as it was.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +30,34 @@ from .search import Scope, clamped, cover_density, widened
 BUCKETS = 64
 #: Files of one folder and layer: the postings of one lexeme are dealt over so many tasks.
 SPREAD = 8
+#: Chunks of a batch whose places a task sorts at once.
+ROWS = 200
 
 
 def bucket_of(lexeme: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``chunk_id, tokens`` the places of each lexeme of a chunk, in order; a chunk is one row, so nothing is grouped between rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            ids, tokens = batch.slice(i, ROWS).columns
+            sizes = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            named = tokens.flatten().dictionary_encode()
+            if not len(named):
+                continue
+            row, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(named)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            some = np.flatnonzero(pc.fill_null(pc.not_equal(named.dictionary, ""), False).to_numpy(zero_copy_only=False)[named.indices.to_numpy()])
+            key = row[some] << 32 | named.indices.to_numpy()[some]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+            positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(pos[some][order].astype(np.int32)))
+            lexemes_ = named.dictionary.take(pa.array(key[first] & 0xFFFFFFFF)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([lexemes_, ids.take(pa.array(key[first] >> 32)), positions], ["lexeme", "chunk_id", "positions"])
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """Postings under ``path``; ``analyzer`` gives a text's lexemes in order, empty ones only keep a place."""
@@ -50,9 +75,8 @@ class TextIndex:
         return sorted(int(m[1]) for m in marks if int(m[1]) >= whole)
 
     def _postings(self, chunks: DataFrame) -> DataFrame:
-        tokens = chunks.select(F.col("chunk_id").cast("long"), F.posexplode(self.analyzer(F.col("text"))).alias("pos", "lexeme")).where("lexeme <> ''")
-        # a chunk is one row of one task, so its places are collected before anything moves
-        return tokens.groupBy("lexeme", "chunk_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        tokens = chunks.select(F.col("chunk_id").cast("long"), self.analyzer(F.col("text")).alias("tokens"))
+        return tokens.mapInArrow(_places, "lexeme string, chunk_id long, positions array<int>")
 
     def _write(self, number: int, postings: DataFrame, named: DataFrame | None) -> None:
         dealt = postings.withColumn("bucket", bucket_of(F.col("lexeme"), self.buckets)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(self.spread)))

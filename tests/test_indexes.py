@@ -167,3 +167,19 @@ def test_small_files_are_whole(spark, tmp_path):
     write_text(spark, f"{tmp_path}/a/mark", "two")
     assert [n for n in names_in(spark, f"{tmp_path}/a") if not n.startswith(".")] == ["mark"] and open(os.path.join(tmp_path, "a/mark")).read() == "two"
     assert names_in(spark, f"{tmp_path}/absent") == []
+
+
+def test_places_of_a_chunk_are_found_in_its_own_row(spark, tmp_path):
+    rows = [(1, "b a b"), (2, None), (3, ""), (4, "the a the a"), (5, "x " * 3000)] + [(10 + i, "a " * (i % 3)) for i in range(450)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").coalesce(1)
+    for analyzer, stop in ((lambda t: F.split(t, " "), ""), (english_lexemes, "the a")):
+        got = TextIndex(spark, f"{tmp_path}/none", analyzer=analyzer)._postings(chunks)
+        want = {}
+        for i, text in rows:
+            for pos, word in enumerate((text or "").split(" ")):
+                if word and word not in stop.split():
+                    want.setdefault((word, i), []).append(pos)
+        assert sorted((r["lexeme"], r["chunk_id"], list(r["positions"])) for r in got.collect()) == sorted((*k, p) for k, p in want.items())
+        # places are not grouped, so nothing moves before postings are dealt to their folders
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Aggregate" not in plan
