@@ -55,12 +55,16 @@ FREQUENT = 2e-6
 END = 0x0A
 #: Bytes that a task looks at together.
 SLICE_BYTES = 1 << 20
+#: Texts of a batch that a task has as Python objects besides the batch.
+HELD_TEXTS = 200
 #: Bytes of text whose distinct grams are listed together.
 BLOCK_BYTES = 16 << 20
 #: Distinct tokens that a task counts before it hands them on.
 HELD_TOKENS = 300_000
 #: Byte strings that a task lists besides the distinct ones before it merges them.
 HELD_GRAMS = 600_000
+#: Ranges in which a block's distinct byte strings are merged, one after the other.
+RANGES = 16
 #: Training tokens for each cell of the tree.
 CELL_TOKENS = 1 << 21
 
@@ -78,6 +82,12 @@ def _raw(docs: DataFrame, text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
 
+def _values(column: pa.Array) -> Iterator[bytes | None]:
+    """A batch's texts, a few at a time as Python objects."""
+    for k in range(0, len(column), HELD_TEXTS):
+        yield from column.slice(k, HELD_TEXTS).to_pylist()
+
+
 def _slices(texts: Iterator[bytes | None]) -> Iterator[list[list[bytes]]]:
     """Groups of tokenised texts of about SLICE_BYTES, in order."""
     held, size = [], 0
@@ -100,7 +110,7 @@ def token_totals(train: DataFrame) -> DataFrame:
 
         counts: Counter[bytes] = Counter()
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for raw in _values(batch.column(0)):
                 counts.update(_words(raw))
                 counts[b""] += 1
                 if len(counts) > HELD_TOKENS:
@@ -140,7 +150,8 @@ def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(codes)
+    # sorted runs are merged, not sorted anew
+    order = np.argsort(codes, kind="stable")
     codes = codes[order]
     first = _firsts(codes)
     return codes[first], np.add.reduceat(counts[order], first, dtype=counts.dtype) if len(first) else counts
@@ -149,7 +160,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     """Sorted; sorts in place, as nothing goes with the values."""
     codes = np.concatenate(parts)
-    codes.sort()
+    codes.sort(kind="stable" if len(parts) > 1 else None)
     return codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
 
 
@@ -158,6 +169,44 @@ def _firsts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, dtype=np.int64)
 
 
+class Ranges:
+    """Distinct codes of slices, with their counts or alone.
+
+    They lie in ranges of about equal size, and only one range at a time is held
+    twice while it is merged.
+    """
+
+    def __init__(self):
+        self.bounds, self.parts, self.held = None, [[] for _ in range(RANGES)], 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """``codes`` are sorted and distinct."""
+        if not len(codes):
+            return
+        if self.bounds is None:
+            self.bounds = codes[np.arange(1, RANGES) * len(codes) // RANGES]
+        cuts = np.searchsorted(codes, self.bounds).tolist()
+        for part, a, b in zip(self.parts, [0, *cuts], [*cuts, len(codes)], strict=True):
+            if a < b:
+                part.append(codes[a:b] if counts is None else (codes[a:b], counts[a:b]))
+        self.held += len(codes)
+        if self.held > HELD_GRAMS:
+            self.held = 0
+            for i, part in enumerate(self.parts):
+                self.parts[i] = [self._one(part)] if part else part
+
+    @staticmethod
+    def _one(part: list) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+        return _distinct(part) if isinstance(part[0], np.ndarray) else _merged(part)
+
+    def taken(self) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
+        """The merged ranges that are not empty, in order; what is given is no longer held."""
+        for i in range(RANGES):
+            part, self.parts[i] = self.parts[i], []
+            if part:
+                yield self._one(part)
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Numbers, all first bytes before all second ones, compressed."""
     return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
@@ -216,18 +265,19 @@ def _opened(texts: list[bytes], sizes: list[list[int]], depth: int) -> Iterator[
 
 def _listed(texts: list[bytes], sizes: list[list[int]], learns: list[list[bool]], depth: int, cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``cell, codes, counts`` of the distinct grams of a block; the counts are those of its training texts."""
-    found, held = [], 0
+    found = Ranges()
     for (codes, n, _), train in zip(_opened(texts, sizes, depth), learns, strict=True):
         learned = np.repeat(np.asarray(train, dtype=bool), n)
         own, times = np.unique(codes[learned], return_counts=True)
+        found.add(own, times.astype(np.uint32))
         other = _distinct([codes[~learned]])
-        found += [(own, times.astype(np.uint32)), (other, np.zeros(len(other), dtype=np.uint32))]
-        held += len(found[-1][0]) + len(found[-2][0])
-        if held > HELD_GRAMS:
-            found, held = [_merged(found)], 0
-    codes, counts = _merged(found)
-    for cell, at in _dealt(codes, depth, cells):
-        yield cell, codes[at], counts[at]
+        found.add(other, np.zeros(len(other), dtype=np.uint32))
+    dealt: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for codes, counts in found.taken():
+        for cell, at in _dealt(codes, depth, cells):
+            dealt.setdefault(cell, []).append((codes[at], counts[at]))
+    for cell in sorted(dealt):
+        yield cell, *(np.concatenate(x) for x in zip(*dealt.pop(cell), strict=True))
 
 
 def _dealt(codes: np.ndarray, depth: int, cells: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -357,21 +407,22 @@ def _scored(texts: pa.Table, logs: pa.Table, depth: int, cells: int) -> pa.Table
     """log10 probability of each text of one block with its end."""
     if not texts.num_rows:
         return SCORES.empty_table()
-    sent = {cell: (n, raw) for cell, n, raw in zip(*(logs[x].to_pylist() for x in ("cell", "n", "logs")), strict=True)}
     raw, sizes = texts["texts"][0].as_py(), texts["sizes"][0].as_py()
-    found, held = [], 0
+    found = Ranges()
     for codes, _, _ in _opened(raw, sizes, depth):
-        found.append(_distinct([codes]))
-        held += len(found[-1])
-        if held > HELD_GRAMS:
-            found, held = [_distinct(found)], 0
-    codes = _distinct(found)
-    del found
-    log = np.zeros(len(codes), dtype=np.float32)
-    for cell, at in _dealt(codes, depth, cells):
-        log[at] = _unpacked(sent[cell][1], sent[cell][0], np.float32)
+        found.add(_distinct([codes]))
+    sent = {cell.as_py(): _unpacked(x.as_buffer(), n.as_py(), np.float32) for cell, n, x in zip(logs["cell"], logs["n"], logs["logs"], strict=True)}
+    own, log = [], []
+    for codes in found.taken():
+        own.append(codes)
+        log.append(np.zeros(len(codes), dtype=np.float32))
+        for cell, at in _dealt(codes, depth, cells):
+            log[-1][at], sent[cell] = sent[cell][: len(at)], sent[cell][len(at) :]
+    del sent
+    codes, log = np.concatenate(own), np.concatenate(log)
+    del own
     # slices are opened once more, as places for all bytes of a block would take more than its text
-    score = np.concatenate([_sums(own, starts, codes, log) for own, _, starts in _opened(raw, sizes, depth)])
+    score = np.concatenate([_sums(grams, starts, codes, log) for grams, _, starts in _opened(raw, sizes, depth)])
     block = pa.array(np.full(len(score), texts["block"][0].as_py()))
     return pa.table([block, pa.array(np.arange(len(score))), pa.array(score)], schema=SCORES)
 
@@ -414,7 +465,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         block, name, n_docs = Block(depth), uuid.uuid4().int >> 65, 0
         for batch in batches:
             at = 0
-            for words in _slices(batch.column(2).to_pylist()):
+            for words in _slices(_values(batch.column(2))):
                 out = []
                 for w in words:
                     counts = Counter(w)

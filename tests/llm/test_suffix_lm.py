@@ -121,3 +121,35 @@ def test_codes_are_the_bytes_before_from_the_last_one_on():
     for depth in (2, 5, 6):
         want = [int.from_bytes(bytes(flat[t - depth : t][::-1]) + bytes(flat[t : t + 1])) for t in range(depth, 40)]
         assert L._codes(flat, depth).tolist() == want
+
+
+def test_ranges_are_merged_one_at_a_time(monkeypatch):
+    monkeypatch.setattr(L, "HELD_GRAMS", 50_000)
+    rng = np.random.default_rng(5)
+    slices = [np.sort(rng.choice(1 << 20, 40_000, replace=False)) for _ in range(60)]
+    slices.insert(0, np.zeros(0, dtype=np.int64))
+    counted, alone = L.Ranges(), L.Ranges()
+    for codes in slices:
+        counted.add(codes, np.ones(len(codes), dtype=np.uint32))
+        alone.add(codes)
+    codes, counts = (np.concatenate(x) for x in zip(*counted.taken()))
+    assert np.array_equal(np.concatenate(list(alone.taken())), codes)
+    want, times = np.unique(np.concatenate(slices), return_counts=True)
+    assert np.array_equal(codes, want) and np.array_equal(counts, times)
+    assert not any(counted.parts)
+
+
+def test_listing_a_block_holds_its_grams_once():
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(97, 123, 4000).astype(np.uint8).tobytes() for _ in range(1000)]
+    block = L.Block(L.DEPTH)
+    for words in L._slices(iter(texts)):
+        block.add(words, np.arange(len(words)) % 7 != 2)
+    s = block.saved()
+    tracemalloc.start()
+    n = sum(len(codes) for _, codes, _ in L._listed(s["texts"], s["sizes"], s["learns"], L.DEPTH, 8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 3_900_000
+    # a gram's code and count take 12 bytes
+    assert peak < 36 * n, peak / n
