@@ -140,8 +140,11 @@ def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
         # two bytes, then four, then six: narrow numbers are put together faster
         two = flat[1:].astype(np.uint16) << 8 | flat[:-1]
         four = two[2:].astype(np.uint32) << 16 | two[:-2]
-        code = four[2:-1].astype(np.int64) << 16 | two[:-5]
-        return code << 8 | flat[depth:]
+        code = four[2:-1].astype(np.int64)
+        for bits, low in ((16, two[:-5]), (8, flat[depth:])):
+            code <<= bits
+            code |= low
+        return code
     code = np.zeros(len(flat) - depth, dtype=np.int64)
     for k in range(1, depth + 1):
         code = (code << 8) | flat[depth - k : len(flat) - k]
@@ -158,8 +161,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    """Sorted; sorts in place, as nothing goes with the values."""
-    codes = np.concatenate(parts)
+    """Sorted; a single part is sorted in place, as nothing goes with the values."""
+    codes = np.concatenate(parts) if len(parts) > 1 else parts[0]
     codes.sort(kind="stable" if len(parts) > 1 else None)
     return codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
 
@@ -268,10 +271,14 @@ def _listed(texts: list[bytes], sizes: list[list[int]], learns: list[list[bool]]
     found = Ranges()
     for (codes, n, _), train in zip(_opened(texts, sizes, depth), learns, strict=True):
         learned = np.repeat(np.asarray(train, dtype=bool), n)
-        own, times = np.unique(codes[learned], return_counts=True)
-        found.add(own, times.astype(np.uint32))
-        other = _distinct([codes[~learned]])
+        own, other = codes[learned], _distinct([codes[~learned]])
+        # else they stay until the next slice has been opened
+        del codes
+        own.sort()
+        first = _firsts(own)
+        found.add(own[first], np.diff(np.r_[first, len(own)]).astype(np.uint32))
         found.add(other, np.zeros(len(other), dtype=np.uint32))
+        del own, other, first
     dealt: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for codes, counts in found.taken():
         for cell, at in _dealt(codes, depth, cells):
@@ -397,9 +404,9 @@ def _sums(own: np.ndarray, starts: np.ndarray, codes: np.ndarray, log: np.ndarra
     """Sums of the logarithms of a slice's grams ``own`` from each of ``starts`` on."""
     order = np.argsort(own)
     own = own[order]
-    new = np.r_[True, own[1:] != own[:-1]]
+    first = _firsts(own)
     each = np.empty(len(own))
-    each[order] = log[np.searchsorted(codes, own[new])][np.cumsum(new) - 1]
+    each[order] = np.repeat(log[np.searchsorted(codes, own[first])], np.diff(np.r_[first, len(own)]))
     return np.add.reduceat(each, starts)
 
 
@@ -411,6 +418,7 @@ def _scored(texts: pa.Table, logs: pa.Table, depth: int, cells: int) -> pa.Table
     found = Ranges()
     for codes, _, _ in _opened(raw, sizes, depth):
         found.add(_distinct([codes]))
+        del codes
     sent = {cell.as_py(): _unpacked(x.as_buffer(), n.as_py(), np.float32) for cell, n, x in zip(logs["cell"], logs["n"], logs["logs"], strict=True)}
     own, log = [], []
     for codes in found.taken():
