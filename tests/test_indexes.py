@@ -1,11 +1,12 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.functions.english import english_lexemes, stem, stemmed
-from colloquy.operators import search
+from colloquy.functions.english import english_lexemes, english_tokens, stem, stemmed
+from colloquy.operators import search, text_index
 from colloquy.operators.text_index import TextIndex, bucket_of
 from colloquy.operators.vector_index import VectorIndex, train_centroids
 from colloquy.plans.fixtures import view
@@ -183,3 +184,45 @@ def test_places_of_a_chunk_are_found_in_its_own_row(spark, tmp_path):
         # places are not grouped, so nothing moves before postings are dealt to their folders
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
+def test_putting_texts_shuffles_no_postings_and_stores_few_bytes(spark, tmp_path):
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text").coalesce(1)
+    size = os.path.getsize("/root/testdata/sf0.01/documents.parquet")
+    rows = []
+    for i, options in enumerate(({}, {"analyzer": english_lexemes}, {"analyzer": english_lexemes, "cut": english_tokens})):
+        before = shuffled()
+        index = TextIndex(spark, f"{tmp_path}/{i}", buckets=4, **options)
+        index.put(texts)
+        index.put(texts.where("chunk_id % 3 = 0"))
+        assert shuffled() - before < size / 20
+        files = [os.path.join(at, f) for at, _, names in os.walk(f"{tmp_path}/{i}/postings") for f in names if f.endswith(".parquet")]
+        assert sum(map(os.path.getsize, files)) < 1.5 * 4 / 3 * size
+        rows.append(index.postings().select(F.count("*"), F.sum(F.xxhash64("lexeme", "chunk_id", "positions") % 1_000_003)).first())
+    assert rows[1] == rows[2] != rows[0]
+
+
+def test_blocks_hold_what_was_put_into_them(monkeypatch):
+    """Ids at both ends of what a long holds, unordered; blocks of some chunks, one of them longer than a block may be."""
+    ids = [5, -(2**63), 2**63 - 1, 0, -1, 300, 7, None]
+    tokens = [["a", "b", "", "a"], ["b"] * 300 + ["a"], ["a", None, "c"], [], None, ["a"], ["", ""], ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], ["chunk_id", "tokens"])
+    want = sorted((x, i, [k for k, y in enumerate(t) if y == x]) for i, t in zip(ids, tokens) if t and i is not None for x in {*t} if x)
+    rows = lambda blocks: sorted((r["lexeme"], r["chunk_id"], r["positions"]) for b in text_index._postings_of_blocks(blocks) for r in b.to_pylist())
+    for places, size in ((10**6, 10**6), (1, 1), (3, 40), (10**6, 1)):
+        monkeypatch.setattr(text_index, "PLACES", places)
+        monkeypatch.setattr(text_index, "BYTES", size)
+        blocks = list(text_index._blocks_of_tokens(iter([batch, batch.slice(0, 0)]), None))
+        assert rows(iter(blocks)) == want
+        assert rows(text_index._blocks_of_postings(text_index._postings_of_blocks(iter(blocks)))) == want
+    assert len(blocks) == 1
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**63, 2**64 - 1], dtype=np.uint64)
+    data, length = text_index._to_bytes(values)
+    back, end = text_index._from_bytes(data)
+    assert back.tolist() == values.tolist() and np.diff(end, prepend=0).tolist() == length.tolist()
+    assert english_tokens(pa.array(["The Things, and the thing!", None, ""])).to_pylist() == [["", "thing", "", "", "thing"], [], []]
