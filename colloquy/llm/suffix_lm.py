@@ -500,7 +500,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = "block long, pairs array<long>, counts array<long>, texts array<binary>, sizes array<array<long>>, learns array<array<boolean>>, at long, doc_id long, held_out boolean, n_tokens long, common_known long, common_logs double, rare array<binary>, rare_n array<int>"
     # saved, as the names of blocks must not change when a task runs again
-    blocks = save(rows.select("doc_id", "held_out", "raw").mapInArrow(run, schema).withColumn("row_no", F.monotonically_increasing_id()), "blocks")
+    blocks = save(rows.select("doc_id", "held_out", "raw").mapInArrow(run, schema).withColumn("row_no", F.monotonically_increasing_id()), "blocks", wide=True)
 
     # at most 256 * 256 rows
     got = blocks.where("texts IS NOT NULL").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).groupBy("x.pairs").agg(F.sum("x.counts").alias("c")).toPandas()

@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import suffix_lm as L
+from colloquy.llm.store import save
 
 
 def plain(rows, depth, p_min, divergence, smoothing=L.SMOOTHING):
@@ -153,3 +155,30 @@ def test_listing_a_block_holds_its_grams_once():
     assert n > 3_900_000
     # a gram's code and count take 12 bytes
     assert peak < 36 * n, peak / n
+
+
+def test_blocks_lie_in_small_pages_that_no_buffer_holds_whole(spark, monkeypatch):
+    """Executors keep the buffers of Parquet's default codec, which are as large as the largest page they met."""
+    saved = {}
+
+    def spied(df, name, **options):
+        saved[name] = save(df, name, **options)
+        return saved[name]
+
+    def chunks(table):
+        jvm = spark._jvm
+        for file in table.inputFiles():
+            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), spark._jsc.hadoopConfiguration())
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+            for group in reader.getFooter().getBlocks():
+                for chunk in group.getColumns():
+                    yield chunk.getCodec().toString(), chunk.getTotalUncompressedSize() / reader.readOffsetIndex(chunk).getPageCount()
+            reader.close()
+
+    monkeypatch.setattr(L, "save", spied)
+    L.score_texts(spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string")).collect()
+    assert {codec for codec, _ in chunks(saved["blocks"])} == {"ZSTD"}
+    # forty rows of 300 kB each are a page of 12 MB where only every hundredth row is looked at
+    rows = spark.range(0, 40, 1, 1).select(F.expr("cast(repeat(uuid(), 8500) as binary)").alias("x"))
+    assert max(size for _, size in chunks(save(rows, "narrow"))) > 8e6
+    assert max(size for _, size in chunks(save(rows, "wide", wide=True))) < 2e6
