@@ -38,6 +38,8 @@ SPREAD = 8
 PLACES = 1_000_000
 #: Bytes of text that are cut into tokens at once, and bytes of blocks that are opened at once; a row is whole.
 BYTES = 2_000_000
+#: Values that become bytes at once.
+VALUES = 1 << 17
 
 
 def bucket_of(lexeme: Column, buckets: int = BUCKETS) -> Column:
@@ -72,17 +74,22 @@ def _summed(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned values, seven bits a byte, the last byte of each below 128; and the number of bytes of each."""
-    length = np.ones(len(values), dtype=np.int64)
+    done = [_some_to_bytes(values[i : i + VALUES]) for i in range(0, len(values), VALUES)] or [_some_to_bytes(values)]
+    return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+
+
+def _some_to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = np.ones(len(values), dtype=np.uint8)
     for bits in range(7, 64, 7):
         more = values >= np.uint64(1 << bits)
         if not more.any():
             break
         length += more
-    start = np.cumsum(length) - length
-    out = np.empty(int(length.sum()), dtype=np.uint8)
+    end = np.cumsum(length, dtype=np.int64)
+    out = np.empty(int(length.sum(dtype=np.int64)), dtype=np.uint8)
     for i in range(int(length.max(initial=0))):
         some = np.flatnonzero(length > i)
-        out[start[some] + i] = (values[some] >> np.uint64(7 * i) & np.uint64(127)).astype(np.uint8) | np.where(length[some] > i + 1, 128, 0).astype(np.uint8)
+        out[end[some] - length[some] + i] = (values[some] >> np.uint64(7 * i) & np.uint64(127)).astype(np.uint8) | np.where(length[some] > i + 1, 128, 0).astype(np.uint8)
     return out, length
 
 
@@ -98,8 +105,10 @@ def _block_rows(names: pa.Array, code: np.ndarray, chunk: np.ndarray, pos: np.nd
     """``lexeme, block`` from places: the number of a lexeme in ``names``, a chunk's id and a position, in the order of positions."""
     ids, rank = np.unique(chunk, return_inverse=True)
     key = code.astype(np.int64) << 32 | rank
+    del code, chunk, rank
     order = np.argsort(key, kind="stable")
-    key, pos = key[order], pos[order].astype(np.int64)
+    key, pos = key[order], pos[order]
+    del order
     opens = np.concatenate([[True], key[1:] != key[:-1]])
     posting = np.flatnonzero(opens)
     count, key = np.diff(np.concatenate([posting, [len(pos)]])), key[posting]
@@ -119,8 +128,9 @@ def _block_rows(names: pa.Array, code: np.ndarray, chunk: np.ndarray, pos: np.nd
     values[at] = np.where(opens_row, signed, _gaps(of, opens_row)).astype(np.uint64)
     values[at + np.repeat(n, n)] = count.astype(np.uint64)
     values[np.repeat(start + 1 + 2 * n, places) + _within(places)] = _gaps(pos, opens).astype(np.uint64)
+    del at, pos, opens, of, signed, count
     data, length = _to_bytes(values)
-    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(length, start))]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(length, start, dtype=np.int64))]).astype(np.int32)
     blocks = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     return pa.RecordBatch.from_arrays([names.take(pa.array(key[row] >> 32)), blocks], ["lexeme", "block"])
 
@@ -140,15 +150,17 @@ class _Gathered:
         of = np.array([codes.setdefault(x, len(codes)) if x else -1 for x in named.dictionary.to_pylist()] + [-1], dtype=np.int32)
         code = of[pc.fill_null(named.indices, len(of) - 1).to_numpy(zero_copy_only=False)]
         some = code >= 0
-        self.parts.append((code[some], chunk[some], pos[some]))
+        self.parts.append((code[some], chunk[some], pos[some].astype(np.int32)))
         self.n += len(self.parts[-1][0])
         if self.n >= PLACES:
             yield from self.done()
 
     def done(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            yield _block_rows(pa.array(list(self.codes), pa.string()), *(np.concatenate(x) for x in zip(*self.parts)))
-        self.__init__()
+            names, parts = pa.array(list(self.codes), pa.string()), [*zip(*self.parts)]
+            self.__init__()
+            # each kind of array is handed over as it is joined, and not held here
+            yield _block_rows(names, *(np.concatenate(parts.pop(0)) for _ in range(3)))
 
 
 def _blocks_of_tokens(batches: Iterator[pa.RecordBatch], cut: Callable[[pa.Array], pa.Array] | None) -> Iterator[pa.RecordBatch]:
